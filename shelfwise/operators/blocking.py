@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.vectors import dot
+from ..session import cut
 from .tokens import same_brand_key
 
 TOP_K = 5
@@ -28,10 +29,11 @@ def brand_pairs(keys: DataFrame) -> DataFrame:
     containment joins a key to the substrings of longer keys; spelling differences use the
     pigeonhole rule that strings within d edits share one of d + 1 aligned segments.
     """
-    keys = keys.select("brand_key").distinct()
+    keys = cut(keys.select("brand_key").distinct())
     long_keys = keys.where(F.length("brand_key") > fixed.SHORT_BRAND_KEY).withColumn("n", F.length("brand_key"))
     near = _contained(long_keys).unionByName(_misspelled(long_keys))
     near = near.where((F.col("s") != F.col("r")) & same_brand_key(F.col("s"), F.col("r"))).distinct()
+    near = cut(near)
     same = keys.select(F.col("brand_key").alias("key_a"), F.col("brand_key").alias("key_b"))
     forward = near.select(F.col("s").alias("key_a"), F.col("r").alias("key_b"))
     backward = near.select(F.col("r").alias("key_a"), F.col("s").alias("key_b"))
@@ -118,24 +120,36 @@ def tile_plan(listings: DataFrame, pairs: DataFrame, tile_rows: int = TILE_ROWS)
     return placed, sides
 
 
-def _best_of_tile(first: pd.DataFrame, second: pd.DataFrame, k: int) -> list[pd.DataFrame]:
-    """Top k neighbours of every row in both directions; equal similarities rank by listing id."""
-    first, second = first.sort_values("listing_id"), second.sort_values("listing_id")
-    similarity = np.round(
-        np.stack(first["embedding"].to_numpy()).astype("float64")
-        @ np.stack(second["embedding"].to_numpy()).astype("float64").T, SIMILARITY_DECIMALS)
-    out = []
-    for rows, columns, scores in ((first, second, similarity), (second, first, similarity.T)):
-        width = min(k, scores.shape[1])
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-        out.append(pd.DataFrame({
-            "id": np.repeat(rows["listing_id"].to_numpy(), width),
-            "store": np.repeat(rows["store"].to_numpy(), width),
-            "other_id": columns["listing_id"].to_numpy()[order.ravel()],
-            "other_store": columns["store"].to_numpy()[order.ravel()],
-            "similarity": np.take_along_axis(scores, order, axis=1).ravel(),
-        }))
-    return out
+def _top_of_tile(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column positions of every row's top k; columns come in listing order, so ties keep it."""
+    width = min(k, scores.shape[1])
+    columns = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+    return np.repeat(np.arange(len(scores)), width), columns.ravel()
+
+
+def _multiply_bin(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+    """All tiles of a bin: one stacked matrix, sliced per tile side."""
+    frame = frame.sort_values(["tile", "first", "listing_id"], kind="stable", ignore_index=True)
+    tile, first = frame["tile"].to_numpy(), frame["first"].to_numpy()
+    vectors = np.stack(frame["embedding"].to_numpy()).astype("float64")
+    starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (first[1:] != first[:-1])])
+    stops = np.r_[starts[1:], len(frame)]
+    here, there, scores = [], [], []
+    for n in range(len(starts) - 1):
+        if tile[starts[n]] != tile[starts[n + 1]]:
+            continue    # a tile's two sides are neighbours in this order
+        (a, b), (c, d) = (starts[n], stops[n]), (starts[n + 1], stops[n + 1])
+        similarity = np.round(vectors[a:b] @ vectors[c:d].T, SIMILARITY_DECIMALS)
+        for rows, columns, matrix in ((a, c, similarity), (c, a, similarity.T)):
+            i, j = _top_of_tile(matrix, k)
+            here.append(i + rows)
+            there.append(j + columns)
+            scores.append(matrix[i, j])
+    i = np.concatenate(here) if here else np.zeros(0, int)
+    j = np.concatenate(there) if there else np.zeros(0, int)
+    ids, stores = frame["listing_id"].to_numpy(), frame["store"].to_numpy()
+    return pd.DataFrame({"id": ids[i], "store": stores[i], "other_id": ids[j], "other_store": stores[j],
+                         "similarity": np.concatenate(scores) if scores else np.zeros(0)})
 
 
 def neighbours(listings: DataFrame, pairs: DataFrame, top_k: int = TOP_K, tile_rows: int = TILE_ROWS,
@@ -149,21 +163,16 @@ def neighbours(listings: DataFrame, pairs: DataFrame, top_k: int = TOP_K, tile_r
     id_type = dict(listings.dtypes)["listing_id"]
     slim = listings.select("listing_id", "store", "brand_key", "embedding")
     placed, sides = tile_plan(slim, pairs, tile_rows)
+    sides = cut(sides)
     copies = placed.join(sides, ["brand_key", "store", "chunk"])
     weight = sides.groupBy("brand_key", "store", "chunk").agg(F.count(F.lit(1)).alias("tiles")).join(
         slim.groupBy("brand_key", "store").agg(F.count(F.lit(1)).alias("n")), ["brand_key", "store"])
     rows = weight.agg(F.sum(F.col("tiles") * F.least(F.col("n"), F.lit(tile_rows))).alias("rows")).first()["rows"] or 0
     bins = int(rows // bin_rows) + 1
     spec = f"id {id_type}, store string, other_id {id_type}, other_store string, similarity double"
-    empty = pd.DataFrame(columns=["id", "store", "other_id", "other_store", "similarity"])
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
-        parts: list[pd.DataFrame] = []
-        for _, tile in frame.groupby("tile", sort=False):
-            mask = tile["first"].to_numpy()
-            if mask.any() and not mask.all():
-                parts += _best_of_tile(tile[mask], tile[~mask], top_k)
-        return pd.concat(parts, ignore_index=True) if parts else empty
+        return _multiply_bin(frame, top_k)
 
     local = (
         copies.select(F.pmod("tile", F.lit(bins)).alias("bin"), "tile", "first", "listing_id", "store", "embedding")
@@ -184,6 +193,7 @@ def ordered_pairs(df: DataFrame, left: tuple[str, str], right: tuple[str, str])
 def candidates(listings: DataFrame, pairs: DataFrame | None = None, top_k: int = TOP_K,
                tile_rows: int = TILE_ROWS, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Unordered candidate pairs (a, b, similarity): neighbours from either side, each once."""
+    listings = cut(listings.select("listing_id", "store", "brand_key", "embedding"))
     if pairs is None:
         pairs = brand_pairs(listings.select("brand_key"))
     near = neighbours(listings, pairs, top_k, tile_rows, bin_rows)

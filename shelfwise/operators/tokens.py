@@ -82,7 +82,7 @@ def _in(words) -> Column:
 
 
 def has(words, word: Column) -> Column:
-    return word.isin(*words) if words else F.lit(False)
+    return F.array_contains(words_array(words), word) if words else F.lit(False)
 
 
 def only_gender(words: Column, lexicon: Lexicon = DEFAULT) -> Column:

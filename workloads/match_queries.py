@@ -10,11 +10,12 @@ from shelfwise.operators import grouping as G
 from shelfwise.operators import products as PR
 from shelfwise.operators import rules as R
 from shelfwise.operators import tokens as T
-from shelfwise.session import cut, keep
+from shelfwise.session import cut
 
 from . import match_views as M
 from . import views as V
 from .registry import query
+from .stages import stage
 
 SAME_BRAND_SQL = """CASE WHEN least(len(x), len(y)) <= 3 THEN x = y
   ELSE contains(x, y) OR contains(y, x) OR levenshtein(x, y) / greatest(len(x), len(y)) <= 0.35 END"""
@@ -118,7 +119,7 @@ near AS (
 
 @query("topk_same_brand", f"WITH {M.TOKENS_SQL}, {CANDIDATES_SQL} SELECT id, other_store, other_id, rank FROM near")
 def topk_same_brand(spark, folder):
-    rows = M.token_vectors(spark, folder)
+    rows = match_rows(spark, folder)
     near = B.neighbours(rows, B.brand_pairs(rows.select("brand_key")))
     return near.select("id", "other_store", "other_id", F.col("rank").cast("bigint").alias("rank"))
 
@@ -138,7 +139,7 @@ def topk_by_label(spark, folder):
 
 
 def candidate_pairs(spark, folder, rows):
-    return cut(B.candidates(rows.select("listing_id", "store", "brand_key", "embedding")))
+    return cut(B.candidates(rows))
 
 
 PAIRS_SQL = """
@@ -154,8 +155,8 @@ wanted AS (SELECT DISTINCT CASE WHEN (p.store, p.listing_id) < (q.store, q.listi
            FROM label_pairs l JOIN vec p ON p.listing_url = l.url_a JOIN vec q ON q.listing_url = l.url_b)
 SELECT a, b FROM pairs UNION SELECT a, b FROM wanted""")
 def labelled_pairs_added(spark, folder):
-    rows = M.token_vectors(spark, folder)
-    return B.add_labelled(candidate_pairs(spark, folder, rows), rows, M.label_pairs(spark, folder)).select("a", "b")
+    rows = match_rows(spark, folder)
+    return B.add_labelled(match_pairs(spark, folder), rows, M.label_pairs(spark, folder)).select("a", "b")
 
 
 # ---------------------------------------------------------------- rules
@@ -175,13 +176,22 @@ def gender_index(spark, folder):
     return R.split_lines(M.tokens(spark, folder))
 
 
+def match_rows(spark, folder):
+    """Tokenised listings with vectors and split-line flags."""
+    return stage(spark, folder, "match_rows", lambda: cut(R.with_split_flags(cut(M.token_vectors(spark, folder)))))
+
+
+def match_pairs(spark, folder):
+    return stage(spark, folder, "match_pairs", lambda: candidate_pairs(spark, folder, match_rows(spark, folder)))
+
+
 def decisions(spark, folder, labelled=True):
-    rows = keep(R.with_split_flags(M.token_vectors(spark, folder)))
-    pairs = candidate_pairs(spark, folder, rows)
-    labels = M.label_pairs(spark, folder).select("url_a", "url_b", "label") if labelled else None
-    if labelled:
-        pairs = B.add_labelled(pairs, rows, labels)
-    return rows, cut(R.decide(pairs, rows, labels, M.LEXICON))
+    rows, pairs = match_rows(spark, folder), match_pairs(spark, folder)
+    if not labelled:
+        return rows, stage(spark, folder, "ruled", lambda: cut(R.decide(pairs, rows, None, M.LEXICON)))
+    labels = M.label_pairs(spark, folder).select("url_a", "url_b", "label")
+    return rows, stage(spark, folder, "decided", lambda: cut(R.decide(
+        cut(B.add_labelled(pairs, rows, labels)), rows, labels, M.LEXICON)))
 
 
 NAME_STEP = ("name", "gender_marker", "extra_words", "unknown_volume", "generic_pair", "same_name")
@@ -226,16 +236,16 @@ def decision_summary(spark, folder):
 
 def grouped(spark, folder):
     rows, d = decisions(spark, folder)
-    accepted = cut(G.accept_pairs(d, rows))
-    return rows, d, accepted
+    return rows, d, stage(spark, folder, "accepted", lambda: cut(G.accept_pairs(d, rows)))
 
 
 def resolved_products(spark, folder):
     rows, d, accepted = grouped(spark, folder)
-    members = keep(PR.grouped_listings(rows, accepted))
-    groups = keep(PR.group_keys(members))
+    members = stage(spark, folder, "members", lambda: cut(PR.grouped_listings(rows, accepted)))
+    groups = stage(spark, folder, "groups", lambda: cut(PR.group_keys(members)))
     apart = d.where("reason = 'human_different'").select("a", "b")
-    assigned = keep(PR.assign_products(members, groups, PR.split_keys(members, groups, apart)))
+    assigned = stage(spark, folder, "assigned", lambda: cut(
+        PR.assign_products(members, groups, PR.split_keys(members, groups, apart))))
     return rows, members, assigned
 
 
@@ -269,9 +279,9 @@ def listing_status(spark, folder):
 
 def names(spark, folder):
     rows, members, assigned = resolved_products(spark, folder)
-    brands = PR.brand_spelling(rows)
-    table = PR.product_table(assigned, members)
-    return table, PR.unique_names(PR.reference_names(members, assigned, brands, M.LEXICON), table)
+    table = stage(spark, folder, "products", lambda: cut(PR.product_table(assigned, members)))
+    return table, stage(spark, folder, "names", lambda: cut(PR.unique_names(
+        PR.reference_names(members, assigned, PR.brand_spelling(rows), M.LEXICON), table)))
 
 
 @query("reference_listing")
