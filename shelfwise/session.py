@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +66,9 @@ def keep(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder beside the checkpoints, reachable by every executor."""
+    _require_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"

@@ -177,7 +177,9 @@ def card_fields(rows: DataFrame, fields: dict[str, str] = CARD_FIELDS, required:
     first = lambda k: F.nullif(X.squeeze(X.unescape_html(F.regexp_extract("card", "(?s)" + fields[k], 1))), F.lit(""))
     out = rows.select(*[c for c in rows.columns if c != "card"], *[first(k).alias(k) for k in fields])
     no_space = lambda c: F.nullif(F.regexp_replace(c, " ", ""), F.lit(""))
-    out = out.withColumn("price", no_space(F.coalesce("new_price", "plain_price"))).withColumn("old_price", no_space(F.col("old_price"))).drop("new_price", "plain_price")
+    if "plain_price" in fields:
+        out = out.withColumn("price", no_space(F.coalesce("new_price", "plain_price"))).withColumn(
+            "old_price", no_space(F.col("old_price"))).drop("new_price", "plain_price")
     complete = F.lit(True)
     for k in required:
         complete = complete & F.col(k).isNotNull()
