@@ -111,11 +111,13 @@ def tile_plan(listings: DataFrame, pairs: DataFrame, tile_rows: int = TILE_ROWS)
         left.join(pairs.withColumnRenamed("key_a", "brand_key_a"), "brand_key_a")
         .join(right.withColumnRenamed("brand_key_b", "key_b"), "key_b")
         .where(F.col("store_a") < F.col("store_b"))
-        .withColumn("tile", F.xxhash64("brand_key_a", "store_a", "chunk_a", "key_b", "store_b", "chunk_b"))
     )
-    sides = meetings.select("tile", F.lit(True).alias("first"), F.col("brand_key_a").alias("brand_key"),
+    unit = ("brand_key_a", "store_a", "chunk_a", "key_b", "store_b", "chunk_b")
+    # Two 64-bit hashes name a tile: one alone would collide at billions of tiles.
+    meetings = meetings.withColumn("tile", F.xxhash64(*unit)).withColumn("check", F.xxhash64(F.lit(1), *unit))
+    sides = meetings.select("tile", "check", F.lit(True).alias("first"), F.col("brand_key_a").alias("brand_key"),
                             F.col("store_a").alias("store"), F.col("chunk_a").alias("chunk")).unionByName(
-        meetings.select("tile", F.lit(False).alias("first"), F.col("key_b").alias("brand_key"),
+        meetings.select("tile", "check", F.lit(False).alias("first"), F.col("key_b").alias("brand_key"),
                         F.col("store_b").alias("store"), F.col("chunk_b").alias("chunk")))
     return placed, sides
 
@@ -129,14 +131,14 @@ def _top_of_tile(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _multiply_bin(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """All tiles of a bin: one stacked matrix, sliced per tile side."""
-    frame = frame.sort_values(["tile", "first", "listing_id"], kind="stable", ignore_index=True)
-    tile, first = frame["tile"].to_numpy(), frame["first"].to_numpy()
+    frame = frame.sort_values(["tile", "check", "first", "listing_id"], kind="stable", ignore_index=True)
+    tile, check, first = (frame[c].to_numpy() for c in ("tile", "check", "first"))
     vectors = np.stack(frame["embedding"].to_numpy()).astype("float64")
-    starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (first[1:] != first[:-1])])
+    starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (check[1:] != check[:-1]) | (first[1:] != first[:-1])])
     stops = np.r_[starts[1:], len(frame)]
     here, there, scores = [], [], []
     for n in range(len(starts) - 1):
-        if tile[starts[n]] != tile[starts[n + 1]]:
+        if tile[starts[n]] != tile[starts[n + 1]] or check[starts[n]] != check[starts[n + 1]]:
             continue    # a tile's two sides are neighbours in this order
         (a, b), (c, d) = (starts[n], stops[n]), (starts[n + 1], stops[n + 1])
         similarity = np.round(vectors[a:b] @ vectors[c:d].T, SIMILARITY_DECIMALS)
@@ -175,7 +177,7 @@ def neighbours(listings: DataFrame, pairs: DataFrame, top_k: int = TOP_K, tile_r
         return _multiply_bin(frame, top_k)
 
     local = (
-        copies.select(F.pmod("tile", F.lit(bins)).alias("bin"), "tile", "first", "listing_id", "store", "embedding")
+        copies.select(F.pmod("tile", F.lit(bins)).alias("bin"), "tile", "check", "first", "listing_id", "store", "embedding")
         .groupBy("bin").applyInPandas(multiply, spec)
     )
     ranked = Window.partitionBy("id", "other_store").orderBy(F.desc("similarity"), "other_id")

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..session import cut
 
 GRAM = 5
+BROADCAST_NAMES = 200_000    # names of about 100 bytes: 20 MB on every executor; more names are shuffled
 
 
 def normalized(text: Column) -> Column:
@@ -37,7 +39,8 @@ def found_names(texts: DataFrame, names: DataFrame, key: str = "text_id", gram:
     An equi-join on one anchor gram per name: a text contributes each of its distinct grams once and only
     grams some name is anchored on survive the semi join; `locate` then settles the few pairs left.
     """
-    anchors = name_anchors(names, gram)
+    anchors = cut(name_anchors(names, gram))
+    small = anchors.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     rows = texts.select(key, normalized(F.col("text")).alias("body"))
     sizes = anchors.select("size").distinct()
     slim = rows.withColumn("n", F.length("body"))
@@ -46,7 +49,7 @@ def found_names(texts: DataFrame, names: DataFrame, key: str = "text_id", gram:
         .select(key, F.explode(F.array_distinct(F.regexp_extract_all(
             F.col("body"), F.concat(F.lit("(?s)(?=(.{"), F.col("size").cast("string"), F.lit("}))")), F.lit(1)))).alias("gram"))
     )
-    hits = grams.join(anchors, "gram").select(key, "product_id", F.col("key").alias("name_key"))
+    hits = grams.join(F.broadcast(anchors) if small else anchors, "gram").select(key, "product_id", F.col("key").alias("name_key"))
     placed = hits.join(rows, key).withColumn("start", F.expr("instr(body, name_key)"))
     return placed.where("start > 0").select(key, "product_id", "start", F.length("name_key").alias("size"))
 
