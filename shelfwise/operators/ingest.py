@@ -24,18 +24,22 @@ NEW_SHARE = 0.10
 def parsed_cards(cards: DataFrame) -> DataFrame:
     """Every card with its parsed columns and `problem`, null when it can be loaded. Narrow."""
     missing = F.coalesce(F.trim("url") == "", F.lit(True)) | F.coalesce(F.trim("name") == "", F.lit(True))
-    code = F.coalesce(F.nullif("concentration", F.lit("")), X.extract_concentration(F.col("name")))
-    parsed = X.to_concentration(code)
-    size = F.coalesce(F.nullif("volume", F.lit("")), X.extract_volume(X.expand_abbreviations(F.col("name"))))
-    url = normalize_url(F.col("url"), F.col("store"))
+    # One projection per step: a text expression used several times is computed once, and no
+    # generated method grows past the compiler's limit.
+    steps = cards.select(
+        "*", missing.alias("_missing"), normalize_url(F.col("url"), F.col("store")).alias("listing_url"),
+        F.coalesce(F.nullif("concentration", F.lit("")), X.extract_concentration(F.col("name"))).alias("_code"),
+        X.expand_abbreviations(F.col("name")).alias("_expanded"))
+    steps = steps.select("*", F.trim(F.coalesce(F.nullif("volume", F.lit("")), X.extract_volume(F.col("_expanded")))).alias("_size"),
+                         X.to_concentration(F.col("_code")).alias("_parsed"))
     problem = (
-        F.when(missing, "missing url/name").when(code.isNotNull() & parsed.isNull(), "unknown concentration")
+        F.when(F.col("_missing"), "missing url/name").when(F.col("_code").isNotNull() & F.col("_parsed").isNull(), "unknown concentration")
         .when(X.bad_price(F.col("current_price")) | X.bad_price(F.col("previous_price")), "unrecognized price"))
-    return cards.select(
-        "store", "file", "scraped_at", "position", problem.alias("problem"), url.alias("listing_url"),
-        store_sku(F.col("store"), url).alias("store_sku"), F.trim("name").alias("raw_name"),
-        F.nullif(F.trim("brand"), F.lit("")).alias("raw_brand"), parsed.alias("parsed_concentration"),
-        F.when(F.coalesce(F.col("volume_note") == "", F.lit(True)), X.to_volume_ml(size)).alias("parsed_volume_ml"),
+    return steps.select(
+        "store", "file", "scraped_at", "position", problem.alias("problem"), "listing_url",
+        store_sku(F.col("store"), F.col("listing_url")).alias("store_sku"), F.trim("name").alias("raw_name"),
+        F.nullif(F.trim("brand"), F.lit("")).alias("raw_brand"), F.col("_parsed").alias("parsed_concentration"),
+        F.when(F.coalesce(F.col("volume_note") == "", F.lit(True)), X.to_volume_ml(F.col("_size"))).alias("parsed_volume_ml"),
         X.to_price(F.col("current_price")).alias("price"), X.to_price(F.col("previous_price")).alias("list_price"),
         F.coalesce(F.col("availability") != fixed.OUT_OF_STOCK, F.lit(True)).alias("is_available"),
         X.image_url(F.col("image_url")).alias("image_url"), X.declared_gender(F.col("declared_gender")).alias("declared_gender"))

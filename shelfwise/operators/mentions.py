@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from ..session import cut
+from ..session import cut, spread
 
 GRAM = 5
 BROADCAST_NAMES = 200_000    # names of about 100 bytes: 20 MB on every executor; more names are shuffled
@@ -23,33 +23,42 @@ def normalized(text: Column) -> Column:
 
 
 def name_anchors(names: DataFrame, gram: int = GRAM) -> DataFrame:
-    """Each name with its rarest gram among all names, so frequent openings do not join every text."""
-    rows = names.select("product_id", normalized(F.col("name")).alias("key")).where("key <> ''").withColumn("n", F.length("key"))
-    size = F.least("n", F.lit(gram))
-    grams = rows.select("product_id", "key", size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("at")).select(
-        "product_id", "key", "size", F.col("at"), F.substring(F.col("key"), F.col("at"), F.col("size")).alias("gram"))
-    uses = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    best = grams.join(uses, "gram").groupBy("product_id", "key").agg(F.min(F.struct("uses", "at", "gram", "size")).alias("b"))
-    return best.select("product_id", "key", F.col("b.gram").alias("gram"), F.col("b.size").alias("size"))
+    """product_id, key, size, anchor: what a text must hold to mention the name.
+
+    A name of three words or more is anchored on an inner word (size 0), which a text can only hold as a
+    whole word; a shorter one on a character gram. The anchor rarest among all names is taken, so
+    frequent words do not join every text.
+    """
+    rows = names.select("product_id", normalized(F.col("name")).alias("key")).where("key <> ''").withColumn("words", F.split("key", " "))
+    inner = rows.where(F.size("words") >= 3).select(
+        "product_id", "key", F.lit(0).alias("size"), F.explode(F.array_distinct(F.slice("words", 2, F.size("words") - 2))).alias("anchor"))
+    short = rows.where(F.size("words") < 3).withColumn("size", F.least(F.length("key"), F.lit(gram)))
+    grams = short.select("product_id", "key", "size", F.explode(_grams(F.col("key"), F.col("size"))).alias("anchor"))
+    offered = inner.unionByName(grams)
+    uses = offered.groupBy("size", "anchor").agg(F.count(F.lit(1)).alias("uses"))
+    best = offered.join(uses, ["size", "anchor"]).groupBy("product_id", "key").agg(F.min(F.struct("uses", "size", "anchor")).alias("b"))
+    return best.select("product_id", "key", F.col("b.size").alias("size"), F.col("b.anchor").alias("anchor"))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    pattern = F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
 
 
 def found_names(texts: DataFrame, names: DataFrame, key: str = "text_id", gram: int = GRAM) -> DataFrame:
     """key, product_id, start, size of every name contained in a text, whole texts read.
 
-    An equi-join on one anchor gram per name: a text contributes each of its distinct grams once and only
-    grams some name is anchored on survive the semi join; `locate` then settles the few pairs left.
+    An equi-join of a text's distinct words (and, only when names of one or two words exist, its distinct
+    grams) with the names' anchors; `instr` then settles the few pairs left.
     """
     anchors = cut(name_anchors(names, gram))
     small = anchors.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    rows = texts.select(key, normalized(F.col("text")).alias("body"))
-    sizes = anchors.select("size").distinct()
-    slim = rows.withColumn("n", F.length("body"))
-    grams = (
-        slim.join(F.broadcast(sizes), F.col("n") >= F.col("size"))
-        .select(key, F.explode(F.array_distinct(F.regexp_extract_all(
-            F.col("body"), F.concat(F.lit("(?s)(?=(.{"), F.col("size").cast("string"), F.lit("}))")), F.lit(1)))).alias("gram"))
-    )
-    hits = grams.join(F.broadcast(anchors) if small else anchors, "gram").select(key, "product_id", F.col("key").alias("name_key"))
+    rows = spread(texts.select(key, normalized(F.col("text")).alias("body")))
+    grams = rows.select(key, F.lit(0).alias("size"), F.explode(F.array_distinct(F.split("body", " "))).alias("anchor"))
+    sizes = [r["size"] for r in anchors.where("size > 0").select("size").distinct().collect()]    # at most `gram` values
+    for size in sizes:
+        grams = grams.unionByName(rows.select(key, F.lit(size).alias("size"), F.explode(_grams(F.col("body"), F.lit(size))).alias("anchor")))
+    hits = grams.join(F.broadcast(anchors) if small else anchors, ["size", "anchor"]).select(key, "product_id", F.col("key").alias("name_key"))
     placed = hits.join(rows, key).withColumn("start", F.expr("instr(body, name_key)"))
     return placed.where("start > 0").select(key, "product_id", "start", F.length("name_key").alias("size"))
 

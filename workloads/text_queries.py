@@ -11,6 +11,7 @@ from shelfwise.operators import catalog as C
 from shelfwise.operators import embed as E
 from shelfwise.operators import ingest as I
 from shelfwise.operators import mentions as H
+from shelfwise.session import spread
 from shelfwise.sources import labels as L
 from shelfwise.sources import payloads as Y
 from shelfwise.sources import tables as T
@@ -68,7 +69,7 @@ w AS (SELECT p_partkey AS k, p_name || ' ' || CASE p_partkey % 9 WHEN 0 THEN 'ED
 
 
 def written(spark, folder):
-    p = V.table(spark, folder, "part")
+    p = spread(V.table(spark, folder, "part"))
     size = F.col("p_size").cast("string")
     k = F.col("p_partkey") % 9
     tail = (F.when(k == 0, "EDP 1,5 L").when(k == 1, "edt 1.000 ml").when(k == 2, F.concat(F.lit("Eau de Parfum "), size, F.lit("ml"))).when(k == 3, "x3 un")
