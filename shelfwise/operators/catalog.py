@@ -27,16 +27,12 @@ def product_summary(products: DataFrame, readings: DataFrame, listings: DataFram
                     order: Sequence[str] = ("scraped_at",), offers: DataFrame | None = None) -> DataFrame:
     """The catalog table: every product with its lowest price, offer statistics, image and last known price.
 
-    Each part is already one row per product_id, so the four left joins are co-partitioned.
+    Offers are aggregated once; the image is the only other part, as it also ranks unread listings.
     """
     if offers is None:
         offers = P.current_offers(readings, listings, since, order)
-    rows = (
-        products.join(P.cheapest_offer(offers), "product_id", "left")
-        .join(P.offer_stats(offers), "product_id", "left")
-        .join(P.product_image(readings, listings, order), "product_id", "left")
-        .join(P.last_known_price(offers), "product_id", "left")
-    )
+    rows = products.join(P.offer_rollup(offers), "product_id", "left").join(
+        P.product_image(readings, listings, order), "product_id", "left")
     hidden = F.col("lowest_price").isNull()
     for column in ("last_known_price", "last_known_price_store", "last_known_price_at"):
         rows = rows.withColumn(column, F.when(hidden, F.col(column)))

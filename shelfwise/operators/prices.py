@@ -72,37 +72,46 @@ def _live() -> Column:
     return F.col("is_available") & ~F.col("is_stale")
 
 
-def cheapest_offer(offers: DataFrame) -> DataFrame:
-    """Cheapest available fresh offer per product; equal prices go to the first store name."""
-    best = F.min(F.struct("price", "store"))
-    return (
-        offers.where(_live()).groupBy("product_id").agg(best.alias("b"))
-        .select("product_id", F.col("b.price").alias("lowest_price"), F.col("b.store").alias("lowest_price_store"))
-    )
-
+def offer_rollup(offers: DataFrame) -> DataFrame:
+    """Everything the catalog shows about a product's offers, in one pass over them.
 
-def offer_stats(offers: DataFrame) -> DataFrame:
-    """Newest reading, best discount, stores with stock and highest price per product."""
-    live = _live()
+    Cheapest live offer (equal prices go to the first store name), newest reading, best live discount,
+    stores with stock, highest live price, and the cheapest stale price of listings in stock when last
+    read (the newest reading breaks ties).
+    """
+    live, stale = _live(), F.col("is_available") & F.col("is_stale")
     saving = percent(F.col("list_price") - F.col("price"), F.col("list_price"))
+    newest_first = -F.unix_micros(F.col("scraped_at").cast("timestamp"))
     return offers.groupBy("product_id").agg(
+        F.min(F.when(live, F.struct("price", "store"))).alias("low"),
         F.max("scraped_at").alias("last_updated"),
         F.max(F.when(live & discounted(F.col("price"), F.col("list_price")), saving)).alias("best_discount_percent"),
         F.array_sort(F.collect_set(F.when(live, F.col("store")))).alias("stores"),
         F.max(F.when(live, F.col("price"))).alias("highest_price"),
-    ).withColumn("store_count", F.size("stores"))
+        F.min(F.when(stale, F.struct("price", "store", newest_first.alias("turn"), "scraped_at"))).alias("known"),
+    ).select(
+        "product_id", F.col("low.price").alias("lowest_price"), F.col("low.store").alias("lowest_price_store"),
+        "last_updated", "best_discount_percent", "stores", F.size("stores").alias("store_count"), "highest_price",
+        F.col("known.price").alias("last_known_price"), F.col("known.store").alias("last_known_price_store"),
+        F.col("known.scraped_at").alias("last_known_price_at"))
+
+
+def cheapest_offer(offers: DataFrame) -> DataFrame:
+    """Products with a live offer, and the cheapest one."""
+    best = F.min(F.struct("price", "store"))
+    return offers.where(_live()).groupBy("product_id").agg(best.alias("b")).select(
+        "product_id", F.col("b.price").alias("lowest_price"), F.col("b.store").alias("lowest_price_store"))
+
+
+def offer_stats(offers: DataFrame) -> DataFrame:
+    """Newest reading, best discount, stores with stock and highest price per product."""
+    return offer_rollup(offers).select("product_id", "last_updated", "best_discount_percent", "stores", "store_count", "highest_price")
 
 
 def last_known_price(offers: DataFrame) -> DataFrame:
-    """Cheapest stale price among listings in stock when last read; the newest reading breaks ties."""
-    rank = F.min_by(F.struct("price", "store", "scraped_at"),
-                    F.struct("price", "store", -F.unix_micros(F.col("scraped_at").cast("timestamp"))))
-    return (
-        offers.where(F.col("is_available") & F.col("is_stale")).groupBy("product_id").agg(rank.alias("b"))
-        .select("product_id", F.col("b.price").alias("last_known_price"),
-                F.col("b.store").alias("last_known_price_store"),
-                F.col("b.scraped_at").alias("last_known_price_at"))
-    )
+    """Products whose in-stock listings include stale readings, with the cheapest of those."""
+    return offer_rollup(offers).where("last_known_price IS NOT NULL").select(
+        "product_id", "last_known_price", "last_known_price_store", "last_known_price_at")
 
 
 def product_image(readings: DataFrame, listings: DataFrame, order: Sequence[str] = ("scraped_at",)) -> DataFrame:
@@ -139,8 +148,9 @@ def history_check(readings: DataFrame, window_days: int = HISTORY_WINDOW_DAYS, k
     checked = (
         series.join(current, key)
         .where((F.col("scraped_at") >= start) & (F.col("scraped_at") <= F.col("current_at")))
-        .groupBy(key, "current_at", "current_price", "current_list_price", "current_available")
+        .groupBy(key)
         .agg(
+            *[F.first(c).alias(c) for c in ("current_at", "current_price", "current_list_price", "current_available")],
             F.max(F.when(usable, F.struct("price", "scraped_at"))).alias("ref"),
             F.min("scraped_at").alias("observed_from"),
             F.count(F.lit(1)).alias("points_in_window"),

@@ -102,7 +102,7 @@ def sequential_groups(nodes, decisions):
 def test_grouping_equals_the_sequential_walk(spark, component_rows):
     rng = random.Random(component_rows + 1)
     nodes, decisions = {}, []
-    for graph_number in range(40 if component_rows else 6):
+    for graph_number in range(40 if component_rows else 3):
         ids_ = [graph_number * 100 + i for i in range(rng.randint(2, 9))]
         for n in ids_:
             nodes[n] = (f"s{rng.randrange(3)}", rng.choice(["k1", "k2", None]), rng.choice(["w", "v"]))

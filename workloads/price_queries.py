@@ -40,8 +40,7 @@ def latest_reading_stale(spark, folder):
 SELECT product_id, lowest_price, lowest_price_store, best_discount_percent, store_count
 FROM lowest JOIN stats USING (product_id)""")
 def cheapest_offer(spark, folder):
-    o = offers(spark, folder)
-    return P.cheapest_offer(o).join(P.offer_stats(o), "product_id").select(
+    return P.offer_rollup(offers(spark, folder)).where("lowest_price IS NOT NULL").select(
         "product_id", "lowest_price", "lowest_price_store", "best_discount_percent",
         F.col("store_count").cast("bigint").alias("store_count"))
 
@@ -63,6 +62,11 @@ def last_known_price(spark, folder):
     return P.last_known_price(offers(spark, folder)).withColumn("last_known_price_at", V.stamp("last_known_price_at"))
 
 
+@query("lowest_price", V.OFFERS + "SELECT product_id, lowest_price, lowest_price_store FROM lowest")
+def lowest_price(spark, folder):
+    return P.cheapest_offer(offers(spark, folder))
+
+
 @query("product_image", V.OFFERS + "SELECT product_id, image_url FROM image")
 def product_image(spark, folder):
     return P.product_image(V.readings(spark, folder), V.listings(spark, folder), ORDER)
