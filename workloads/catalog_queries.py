@@ -133,10 +133,10 @@ def product_detail(spark, folder):
 
 
 @query("variants", V.SUMMARY + f"""
-SELECT {SHOWN}, presentation, volume_ml FROM summary s WHERE {ON_SALE_SQL} AND product_id <> 7
-  AND fragrance_id = (SELECT fragrance_id FROM products WHERE product_id = 7)""")
+SELECT {SHOWN}, presentation, volume_ml FROM summary s WHERE {ON_SALE_SQL} AND product_id <> 13
+  AND fragrance_id = (SELECT fragrance_id FROM products WHERE product_id = 13)""")
 def variants(spark, folder):
-    return shown(C.on_sale(C.variants(summary(spark, folder), 7), V.listings(spark, folder)), "presentation", "volume_ml")
+    return shown(C.on_sale(C.variants(summary(spark, folder), 13), V.listings(spark, folder)), "presentation", "volume_ml")
 
 
 @query("variant_counts", f"WITH {V.PRODUCTS_SQL} SELECT product_id, count(*) OVER (PARTITION BY fragrance_id) - 1 AS variants FROM products")

@@ -12,6 +12,18 @@ from .ingest_queries import store_totals
 from .registry import query
 
 
+def drain(spark, stream, purpose, mode="append"):
+    """Drain a job. In a local session its state gets one partition per core instead of the cluster default."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        return J.drain(stream, work_folder(spark, purpose), mode)
+    finally:
+        spark.conf.set(key, before)
+
+
 def event_stream(spark, folder):
     schema = V.table(spark, folder, "events").schema
     rows = J.file_stream(spark, schema, folder, "parquet", "events.parquet")
@@ -25,26 +37,26 @@ WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS listing_id, t
 
 @query("stream_files", STREAM_SQL + " SELECT listing_id, count(*) AS readings, min(price) AS low, max(price) AS high FROM e GROUP BY 1")
 def stream_files(spark, folder):
-    rows = J.drain(event_stream(spark, folder), work_folder(spark, "files"))
+    rows = drain(spark, event_stream(spark, folder), "files")
     return rows.groupBy("listing_id").agg(F.count(F.lit(1)).alias("readings"), F.min("price").alias("low"), F.max("price").alias("high"))
 
 
 @query("stream_first_of_day", STREAM_SQL + " SELECT listing_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, 1 AS readings FROM e GROUP BY 1, 2")
 def stream_first_of_day(spark, folder):
-    rows = J.drain(J.first_of_day(event_stream(spark, folder)), work_folder(spark, "first"))
+    rows = drain(spark, J.first_of_day(event_stream(spark, folder)), "first")
     return rows.groupBy("listing_id", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("readings"))
 
 
 @query("stream_daily", STREAM_SQL + """
 SELECT listing_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(price) AS low, max(price) AS high, arg_max(price, (ts, price)) AS last FROM e GROUP BY 1, 2""")
 def stream_daily(spark, folder):
-    rows = J.drain(J.daily_band(event_stream(spark, folder)), work_folder(spark, "daily"), "update")
+    rows = drain(spark, J.daily_band(event_stream(spark, folder)), "daily", "update")
     return J.newest_update(rows, ["listing_id", "day"]).withColumn("day", F.to_date("day").cast("string"))
 
 
 @query("stream_latest", STREAM_SQL + " SELECT listing_id, arg_max(price, (ts, price)) AS price, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS scraped_at FROM e GROUP BY 1")
 def stream_latest(spark, folder):
-    rows = J.drain(J.latest_price(event_stream(spark, folder)), work_folder(spark, "latest"), "update")
+    rows = drain(spark, J.latest_price(event_stream(spark, folder)), "latest", "update")
     return J.newest_update(rows, ["listing_id"]).select("listing_id", "price", V.stamp("scraped_at").alias("scraped_at"))
 
 
@@ -54,4 +66,4 @@ def stream_drop_alerts(spark, folder):
     source = work_folder(spark, "totals")
     store_totals(spark, folder).withColumn("scraped_at", F.col("scraped_at").cast("timestamp")).write.parquet(source)
     totals = spark.readStream.schema("store string, scraped_at timestamp, key string, total long").option("maxFilesPerTrigger", 10000).parquet(source)
-    return J.drain(J.drop_alerts(totals), work_folder(spark, "drops")).drop("batch").withColumn("scraped_at", V.stamp("scraped_at"))
+    return drain(spark, J.drop_alerts(totals), "drops").drop("batch").withColumn("scraped_at", V.stamp("scraped_at"))
