@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from ..session import cut
+from . import mixing, packing, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,31 @@ def op2_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query("op6_mixing")
+def op6_mixing(spark, folder):
+    documents = table(spark, folder, "documents")
+    sized = cut(documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.array("source").alias("sources")))
+    mix = mixing.plan_mix(sized, "doc_id", "size", "sources")
+    taken = mixing.with_targets(mix.decide(sized, "doc_id", "size", "sources"), mix, "source")
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 @query("op7_packing")
 def op7_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: The fixed rules of the URL filter: action, host and path.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query("op10_url_rules")
+def op10_url_rules(spark, folder):
+    """Labels of documents reach urls by the document number that ends a url's path; bad is toxic or of low quality."""
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:/|[.]html)?(?:[?#].*)?$', 1) AS bigint)")
+    bad = labels.select(F.col("doc_id").alias("number"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    labelled = pages.select("url", number.alias("number")).join(bad, "number")
+    judged = url_rules.judge(pages, URL_RULES, url_rules.mine(labelled, "url", "bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
