@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, packing, token_counts, url_rules
+from . import mixing, packing, site_style, token_counts, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op10_url_rules(spark, folder):
     labelled = pages.select("url", number.alias("number")).join(bad, "number")
     judged = url_rules.judge(pages, URL_RULES, url_rules.mine(labelled, "url", "bad"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_main_text")
+def op9_main_text(spark, folder):
+    return site_style.extract(table(spark, folder, "pages"))
