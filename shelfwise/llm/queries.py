@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, near_duplicates, packing, site_style, token_counts, url_rules
+from . import mixing, near_duplicates, packing, quality, site_style, token_counts, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def judged(scored: DataFrame, held_out, least: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+#: Least score of a good text, and of a toxic one.
+GOOD, TOXIC = 0.7, 0.5
+
+
+def quality_model(documents, labels):
+    return quality.train(documents, labels.where(training.fold(F.col("doc_id"), 4) != 2))
+
+
+@query("op1_quality")
+def op1_quality(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(documents, table(spark, folder, "labels"))
+    return judged(quality.score(documents, model, keep=["doc_id"]), training.fold(F.col("doc_id"), 4) == 2, GOOD)
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
