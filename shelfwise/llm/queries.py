@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, near_duplicates, packing, quality, site_style, token_counts, training, url_rules
+from . import mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,17 @@ def op2_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def toxicity_model(documents, labels):
+    return toxicity.train(documents, labels.where(training.fold(F.col("doc_id"), 5) != 0))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    net = toxicity_model(documents, table(spark, folder, "labels"))
+    return judged(toxicity.score(documents, net, keep=["doc_id"]), training.fold(F.col("doc_id"), 5) == 0, TOXIC)
+
+
 @query("op6_mixing")
 def op6_mixing(spark, folder):
     documents = table(spark, folder, "documents")
