@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules
+from . import code_search, mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules, vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,24 @@ def op3_toxicity(spark, folder):
     return judged(toxicity.score(documents, net, keep=["doc_id"]), training.fold(F.col("doc_id"), 5) == 0, TOXIC)
 
 
+@query("op4_near_vectors")
+def op4_near_vectors(spark, folder):
+    return vector_links.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op5_nearest_codes", """
+WITH coded AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS code FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, list_sum([abs(p[1] - p[2]) FOR p IN list_zip(q.code, r.code)]) AS distance
+  FROM coded q JOIN coded r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs) WHERE rank <= 10
+""")
+def op5_nearest_codes(spark, folder):
+    """The ten nearest sign codes of every embedding whose id is divisible by 50, among all."""
+    return code_search.nearest_codes(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op6_mixing")
 def op6_mixing(spark, folder):
     documents = table(spark, folder, "documents")
