@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .training import Adam, one_label, sample, sigmoid
+from .training import Adam, one_label, sample, sigmoid, unused
 
 #: Texts that a training sample holds at most, about; training is on the driver.
 SAMPLE = 24_000
@@ -188,7 +188,7 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
 def _score(batches: Iterator[pa.RecordBatch], model: Model, column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, column):
-            yield part.select(keep).append_column("__score", pa.array(model.scores(features(part.column(column)))))
+            yield part.select(keep).append_column("score", pa.array(model.scores(features(part.column(column)))))
 
 
 def score(documents: DataFrame, model: Model, text_column: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -197,6 +197,7 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", out: st
     A column named like the result is replaced. One scan without a shuffle; repeated rows are scored each; an empty table stays empty.
     """
     keep = documents.columns if keep is None else keep
-    kinds = T.StructType([*(documents.schema[c] for c in keep), T.StructField("__score", T.DoubleType())])
+    name = unused(keep, out)
+    kinds = T.StructType([*(documents.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     scored = documents.mapInArrow(lambda b: _score(b, model, text_column, keep), kinds)
-    return scored.withColumn(out, F.col("__score")).drop("__score")
+    return scored if name == out else scored.withColumn(out, F.col(name)).drop(name)

@@ -27,6 +27,13 @@ def sample(frame: DataFrame, key: str, most: int, seed: str) -> DataFrame:
     return frame.where(F.col(key).isNotNull() & (place < int((1 << 40) * (most / total))))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it as long as some column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 class Adam:
     """Adam steps on a dict of arrays."""
 
