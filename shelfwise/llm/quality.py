@@ -185,10 +185,10 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     return fit(x[positive], x, prior)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, column: str, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, column):
-            yield part.select(keep).append_column("score", pa.array(model.scores(features(part.column(column)))))
+            yield part.select(keep).append_column(name, pa.array(model.scores(features(part.column(column)))))
 
 
 def score(documents: DataFrame, model: Model, text_column: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -199,5 +199,5 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", out: st
     keep = documents.columns if keep is None else keep
     name = unused(keep, out)
     kinds = T.StructType([*(documents.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
-    scored = documents.mapInArrow(lambda b: _score(b, model, text_column, keep), kinds)
+    scored = documents.mapInArrow(lambda b: _score(b, model, text_column, keep, name), kinds)
     return scored if name == out else scored.withColumn(out, F.col(name)).drop(name)
