@@ -143,50 +143,76 @@ def _look(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Ite
         yield batch.select(["a", "b"]).take(pa.array(kept))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile; a tile's rows of different sides (or all, on the diagonal) and components are compared."""
-    held: list[pa.RecordBatch] = []
+TILE_KEY = ["key", "i", "j"]
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        keys = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        signs = _signatures(table.column("signature").combine_chunks(), size)
-        ids, component, block, lowest = (table.column(c).to_numpy() for c in ("id", "component", "block", "lowest"))
-        found = [np.zeros((2, 0), np.int64)]
-        for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)]):
-            if keys[1, first] == keys[2, first]:
-                one, two = np.triu_indices(last - first, 1)
-            else:
-                side = block[first:last] == keys[1, first]
-                one, two = (x.ravel() for x in np.meshgrid(np.flatnonzero(side), np.flatnonzero(~side), indexing="ij"))
-            one, two = one + first, two + first
-            apart = (component[one] != component[two]) & ~lowest[one] & ~lowest[two]
-            one, two = one[apart], two[apart]
-            for k in range(0, len(one), 65536):
-                kept = surviving(signs[one[k:k + 65536]], signs[two[k:k + 65536]], threshold, BATCH, MISS) + k
-                pair = np.stack([ids[one[kept]], ids[two[kept]]])
-                found.append(np.sort(pair, axis=0))
-        flat = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["a", "b"])
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows come sorted by tile; each table given holds all rows of one tile."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("key", "i", "j")]
-        same = np.all([batch.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)], axis=0)
-        tail = int(np.argmax(same[::-1] == False)) if not same.all() else batch.num_rows  # noqa: E712
-        if tail < batch.num_rows:
-            held.append(batch.slice(0, batch.num_rows - tail))
-            yield compare(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(batch.num_rows - tail))
-        if len(held) > 1:
-            before = [held[0].column(c)[0].as_py() for c in ("key", "i", "j")]
-            if before != last:
-                yield compare(pa.Table.from_batches(held[:-1]))
-                held = held[-1:]
+        keys = np.stack([batch.column(c).to_numpy() for c in TILE_KEY])
+        edges = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        for first, last in zip([0, *edges], [*edges, batch.num_rows]):
+            part = batch.slice(first, last - first)
+            if not part.num_rows:
+                continue
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in TILE_KEY):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
     if held:
-        yield compare(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _apart(tile: pa.Table, size: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a tile, of different blocks (or one, on the diagonal) and components, whose signatures survive.
+
+    The smallest row of a bucket has met all others before.
+    """
+    signs = _signatures(tile.column("signature").combine_chunks(), size)
+    component, block, lowest = (tile.column(c).to_numpy() for c in ("component", "block", "lowest"))
+    i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    for row in np.flatnonzero((block == i) & ~lowest).tolist():
+        others = (component != component[row]) & ~lowest & (block == j)
+        if i == j:
+            others[:row + 1] = False
+        two = np.flatnonzero(others)
+        if len(two):
+            kept = surviving(np.broadcast_to(signs[row], (len(two), size)), signs[two], threshold, BATCH, MISS)
+            if len(kept):
+                yield np.full(len(kept), row), two[kept]
+
+
+def _with_survivors(batches: Iterator[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that are in a surviving pair."""
+    for tile in _whole_tiles(batches):
+        alive = np.zeros(tile.num_rows, bool)
+        for one, two in _apart(tile, size, threshold):
+            alive[one] = alive[two] = True
+        yield from tile.filter(pa.array(alive)).to_batches()
+
+
+def _joined(batches: Iterator[pa.RecordBatch], size: int, threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each tile verified on full sets, as many as join its components: no pair is looked up that is joined already."""
+    for tile in _whole_tiles(batches):
+        ids, labels = tile.column("id").to_numpy(), tile.column("component").to_numpy().copy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles").combine_chunks()]
+        found = []
+        for one, two in _apart(tile, size, threshold):
+            for a, b in zip(one.tolist(), two.tolist()):
+                if labels[a] != labels[b] and similar(sets[a], sets[b], percent):
+                    labels[labels == labels[b]] = labels[a]
+                    found.append((ids[a], ids[b]))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, neither empty, have a Jaccard similarity of at least `percent`."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -199,15 +225,9 @@ def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = []
-        for k, (one, two) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-            a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-            if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                continue
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            common = int((b[at] == a).sum())
-            if 100 * common >= percent * (len(a) + len(b) - common):
-                kept.append(k)
+        pairs = zip(batch.column("set_a"), batch.column("set_b"))
+        kept = [k for k, (a, b) in enumerate(pairs)
+                if similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent)]
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
@@ -248,10 +268,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     rest = (known.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "lowest", "block"))
-    rest = rest.join(signs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = cut(rest.mapInArrow(lambda b: _tiles(b, size, threshold), "a long, b long").distinct())
-    if not is_empty(pairs):
-        more = cut(_verified(pairs, plain, width, percent, broadcast_ids))
+    schema = "key long, i int, j int, id long, component long, lowest boolean, block int, signature binary"
+    alive = cut(_by_tile(rest.join(signs, "id").select(*(f.split()[0] for f in schema.split(", ")))).mapInArrow(
+        lambda b: _with_survivors(b, size, threshold), schema))
+    if not is_empty(alive):
+        sets = _sets(plain, alive.select("id").distinct(), width, broadcast_ids)
+        more = cut(_by_tile(alive.join(sets, "id")).mapInArrow(lambda b: _joined(b, size, threshold, percent), "a long, b long"))
         if not is_empty(more):
             settled = components(settled.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
@@ -268,12 +290,21 @@ def _looked(pairs: DataFrame, signs: DataFrame, size: int, threshold: float) ->
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(lambda b: _look(b, size, threshold), "a long, b long")
 
 
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+
+
+def _sets(plain: DataFrame, ids: DataFrame, width: int, broadcast_ids: int) -> DataFrame:
+    """(id, shingles) of some documents; only their texts are read into sets."""
+    ids = cut(ids)
+    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return cut(plain.join(wanted, "id", "left_semi").mapInArrow(lambda b: _set_rows(b, width), "id long, shingles binary").dropDuplicates(["id"]))
+
+
 def _verified(pairs: DataFrame, plain: DataFrame, width: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """Pairs whose full sets are similar enough; only candidates' texts are read into sets."""
+    """Pairs whose full sets are similar enough."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = cut(plain.join(wanted, "id", "left_semi").mapInArrow(lambda b: _set_rows(b, width), "id long, shingles binary").dropDuplicates(["id"]))
+    sets = _sets(plain, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, broadcast_ids)
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
     return both.select("a", "b", "set_a", "set_b").mapInArrow(lambda b: _exact(b, percent), "a long, b long")
