@@ -23,10 +23,10 @@ from . import vectors
 SAMPLE, PROBED = 20_000, 400
 #: Members that a cell should have on average, and most centres of a half.
 MEMBERS, MOST_CENTRES = 48, 1024
-#: Share of pairs at the threshold that one side's traversal must reach; a pair is found if either side's does.
+#: Share of pairs at the threshold that are found, that is, reached by either side's traversal.
 RECALL = 0.99
 #: Rows of a cell compared at once in a task.
-TILE = 1024
+TILE = 2048
 #: Crowded cells that are broadcast; with more, cells are joined with their sizes by a shuffle.
 BROADCAST_CELLS = 200_000
 ROUNDS = 12
@@ -78,8 +78,16 @@ class Grid:
         return cells[np.argsort(total[inside], kind="stable")]
 
 
+def _from(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far x's traversal must go to reach y's cell."""
+    (a, b), home = grid.excess(x), grid.home(y)
+    return a[np.arange(len(x)), home // len(grid.right)] + b[np.arange(len(x)), home % len(grid.right)]
+
+
 def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = RECALL, seed: int = 5) -> Grid:
-    """Codebooks by k-means; the reach covers `recall` of neighbours made at the threshold, their difference in both halves or in either."""
+    """Codebooks by k-means; the reach covers `recall` of pairs made at the threshold, from one side or the other.
+
+    Pairs are made to differ in both halves and in either alone, and the hardest kind counts."""
     draw = np.random.default_rng(seed)
     half = max(sample.shape[1] // 2, 1)
     count = int(np.clip(round((rows / MEMBERS) ** 0.5), 1, min(MOST_CENTRES, max(len(sample) // 8, 1))))
@@ -96,9 +104,7 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = RECALL,
         noise -= (noise * at).sum(axis=1, keepdims=True) * at
         size = np.sqrt((noise ** 2).sum(axis=1, keepdims=True))
         near = threshold * at + (1 - threshold ** 2) ** 0.5 * noise / np.maximum(size, 1e-12)
-        cells = grid.home(near)
-        a, b = grid.excess(at)
-        needed.append(np.quantile(a[np.arange(len(at)), cells // len(grid.right)] + b[np.arange(len(at)), cells % len(grid.right)], recall))
+        needed.append(np.quantile(np.minimum(_from(grid, at, near), _from(grid, near, at)), recall))
     grid.reach = float(max(needed)) + 1e-9
     return grid
 
