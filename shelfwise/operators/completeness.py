@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,64 +180,57 @@ def totals_history(totals: DataFrame, keep: int = HISTORY) -> DataFrame:
     return totals.join(newest.select("store", "scraped_at"), ["store", "scraped_at"])
 
 
-class DropTracker:
-    """Baselines and streaks of one store's totals; plain state so a batch and a stream share it."""
-
-    def __init__(self, state: dict | None = None) -> None:
-        state = state or {}
-        self.base: dict[str, int] = state.get("base", {})
-        self.streak: dict[str, list] = state.get("streak", {})
-        self.recent: list | None = state.get("recent")
-
-    def dump(self) -> dict:
-        return {"base": self.base, "streak": self.streak, "recent": self.recent}
-
-    def read(self, totals: dict[str, int]) -> list[dict]:
-        """One row per key: verdict ok, alert, accepted or reorganized; the store row carries the raised limit."""
-        store_base, store_total = self.base.get("store"), totals.get("store")
-        steady = store_base is None or (store_total or 0) >= store_base * (1 - DROP_SHARE)
-        rows, share = [], None
-        for key, total in totals.items():
-            base = self.base.get(key)
-            verdict, run = "ok", 0
-            if base is not None and total < base * (1 - DROP_SHARE):
-                if key != "store" and steady:
-                    verdict = "reorganized"
-                else:
-                    start, run = self.streak.get(key, (None, 0))
-                    near = start is not None and abs(total - start) <= start * STREAK_TOLERANCE
-                    start, run = (start, run + 1) if near else (total, 1)
-                    verdict = "accepted" if run >= ACCEPT_AFTER else "alert"
-                    if verdict == "alert":
-                        self.streak[key] = [start, run]
-                    elif key == "store":
-                        share = (base - total) / base
-            if verdict != "alert":
-                self.base[key] = total
-                self.streak.pop(key, None)
-            rows.append({"key": key, "total": total, "base": base, "verdict": verdict, "run": run, "limit": None})
-        limit = self._raised(share, store_total)
-        for row in rows:
-            if row["key"] == "store" and limit is not None:
-                row["limit"] = limit + LIMIT_MARGIN
-        return rows
-
-    def _raised(self, share: float | None, total: int | None) -> float | None:
-        """The accepted drop stays in force for the next runs that stay near it."""
-        if share is not None:
-            self.recent = [share, total, 0]
-            return share
-        if self.recent is None:
-            return None
-        kept, anchor, age = self.recent
-        if total is not None and age + 1 < ACCEPT_AFTER and abs(total - anchor) <= anchor * STREAK_TOLERANCE:
-            self.recent = [kept, anchor, age + 1]
-            return kept
-        self.recent = None
+#: Of a key (the store or a category): the total it is judged by, and the level and length of a run of low totals.
+KEY_STATE = ["base", "level", "run"]
+REVIEW = ["store", "scraped_at", "key", "total", "base", "verdict", "run", "limit"]
+DROP_SCHEMA = "store string, scraped_at timestamp, key string, total long, base long, verdict string, run int, limit double"
+
+
+def judge_snapshot(state: pd.DataFrame, totals: pd.Series) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Verdicts on one snapshot's totals by key, and the state after it, all keys at once.
+
+    A total is low if it falls short of its base by more than a share. Low categories of a store that holds up are reorganized. Other low
+    totals alert, until as many near each other came in a row as make the level accepted. All but alerts become the new base.
+    """
+    known = state.reindex(totals.index)
+    low = totals < known["base"] * (1 - DROP_SHARE)
+    whole = state["base"].get("store", np.nan)
+    holds = np.isnan(whole) or totals.get("store", 0) >= whole * (1 - DROP_SHARE)
+    moved = low & (totals.index != "store") & holds
+    counted = low & ~moved
+    again = counted & ((totals - known["level"]).abs() <= known["level"] * STREAK_TOLERANCE)
+    run = (known["run"].where(again, 0) + 1).where(counted, 0)
+    verdict = np.select([moved, counted & (run >= ACCEPT_AFTER), counted], ["reorganized", "accepted", "alert"], "ok")
+    open_ = verdict == "alert"
+    after = pd.DataFrame({"base": known["base"].where(open_, totals), "level": known["level"].where(again, totals).where(open_), "run": run.where(open_, 0.0)})
+    return pd.DataFrame({"total": totals, "base": known["base"], "verdict": verdict, "run": run}), after.combine_first(state)
+
+
+def raised_limit(accepted: tuple[float, float, int] | None, rows: pd.DataFrame) -> tuple[float, float, int] | None:
+    """The store's accepted drop (share, total, age) after a snapshot: new with its acceptance, in force while the next totals stay near it."""
+    if "store" not in rows.index:
+        return None
+    store = rows.loc["store"]
+    if store["verdict"] == "accepted":
+        return (store["base"] - store["total"]) / store["base"], store["total"], 0
+    if accepted is None or accepted[2] + 2 > ACCEPT_AFTER or abs(store["total"] - accepted[1]) > accepted[1] * STREAK_TOLERANCE:
         return None
+    return accepted[0], accepted[1], accepted[2] + 1
 
 
-DROP_SCHEMA = "store string, scraped_at timestamp, key string, total long, base long, verdict string, run int, limit double"
+def review_snapshots(frame: pd.DataFrame) -> pd.DataFrame:
+    """All totals of one store's snapshots (store, scraped_at, key, total) with their verdicts, judged oldest first."""
+    state, accepted, out = pd.DataFrame(columns=KEY_STATE, dtype=float), None, []
+    for at, snapshot in frame.groupby("scraped_at", sort=True):
+        rows, state = judge_snapshot(state, snapshot.set_index("key")["total"].astype(float))
+        accepted = raised_limit(accepted, rows)
+        limit = np.nan if accepted is None else accepted[0] + LIMIT_MARGIN
+        rows["limit"] = np.where(rows.index == "store", limit, np.nan)
+        out.append(rows.reset_index(names="key").assign(scraped_at=at))
+    if not out:
+        return pd.DataFrame(columns=REVIEW)
+    every = pd.concat(out).assign(store=frame["store"].iloc[0])
+    return every.astype({"total": "int64", "base": "Int64", "run": "int32"})[REVIEW]
 
 
 def drop_review(totals: DataFrame, keep: int = HISTORY) -> DataFrame:
@@ -244,14 +238,5 @@ def drop_review(totals: DataFrame, keep: int = HISTORY) -> DataFrame:
 
     The fold is inherently ordered; a store brings at most `keep` snapshots to its task.
     """
-    def review(frame: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = DropTracker(), []
-        for at, snapshot in frame.sort_values("scraped_at").groupby("scraped_at", sort=True):
-            ordered = snapshot.assign(is_store=snapshot["key"] == "store").sort_values(["is_store", "key"])
-            for row in tracker.read({k: int(v) for k, v in zip(ordered["key"], ordered["total"])}):
-                out.append({"store": frame["store"].iloc[0], "scraped_at": at, **row})
-        return pd.DataFrame(out, columns=["store", "scraped_at", "key", "total", "base", "verdict", "run", "limit"]).astype(
-            {"base": "Int64", "limit": "float64"})
-
     recent = totals_history(totals, keep).select("store", F.col("scraped_at").cast("timestamp").alias("scraped_at"), "key", "total")
-    return recent.groupBy("store").applyInPandas(review, DROP_SCHEMA)
+    return recent.groupBy("store").applyInPandas(review_snapshots, DROP_SCHEMA)

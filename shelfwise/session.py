@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 
@@ -73,11 +74,3 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     _require_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that arrives in fewer splits than there are cores.
-
-    A small table in one file would feed a single task; an input with enough splits is returned as is.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -111,7 +111,9 @@ def volume_of(name: Column, written: Column) -> tuple[Column, Column]:
 def from_store_api(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Store API products with attribute arrays: brand, format, concentration and declared gender by taxonomy."""
     p = rows.withColumn("p", F.from_json(payload, STORE_API)).withColumn("name", X.squeeze(X.unescape_html(F.coalesce("p.name", F.lit("")))))
-    terms = lambda t: attribute_terms(F.col("p.attributes"), t)
+    taxonomies = ("pa_marcas", "pa_formato", "pa_concentracion", "pa_genero")
+    p = p.withColumn("terms", F.struct(*(attribute_terms(F.col("p.attributes"), t).alias(t) for t in taxonomies)))
+    terms = lambda t: F.col(f"terms.{t}")
     size, note = volume_of(F.col("name"), F.get(terms("pa_formato"), F.lit(0)))
     by_term = F.get(F.filter(F.transform(terms("pa_concentracion"), X.extract_concentration), lambda c: c.isNotNull()), F.lit(0))
     price, full = F.col("p.prices.price"), F.col("p.prices.regular_price")

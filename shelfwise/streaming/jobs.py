@@ -6,16 +6,17 @@ leaves the result as a table, restartable from its checkpoint.
 
 from __future__ import annotations
 
-import json
+import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.completeness import DropTracker
+from ..operators.completeness import DROP_SCHEMA, HISTORY, review_snapshots
 from ..schemas import SNAPSHOT
 
 DAY = 24 * 3600 * 1000
@@ -101,25 +102,27 @@ def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 d
         follow, LATEST_SCHEMA, "at long, price long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-DROP_SCHEMA = "store string, scraped_at timestamp, key string, total long, base long, verdict string, run int, limit double"
+def drop_alerts(totals: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """Verdicts on totals (store, scraped_at, key, total) as they arrive, in update mode: each batch reviews its stores' newest snapshots anew.
 
+    State is a store's newest `keep` snapshots, as in the batch review. So neither the order of arrival nor how a snapshot's totals are
+    spread over files and batches matters; newest_review() reads the result.
+    """
+    def review(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = pd.read_json(io.StringIO(state.get[0]), orient="split", convert_dates=False, dtype={"key": str}) if state.exists else None
+        for frame in frames:
+            new = frame[["scraped_at", "key", "total"]].assign(scraped_at=frame["scraped_at"].astype("int64"))
+            known = new if known is None else pd.concat([known, new])
+            known = known.drop_duplicates(["scraped_at", "key"], keep="last")
+            known = known[known["scraped_at"].isin(np.sort(known["scraped_at"].unique())[-keep:])]
+        state.update((known.to_json(orient="split", index=False),))
+        yield review_snapshots(known.assign(store=key[0], scraped_at=pd.to_datetime(known["scraped_at"], unit="ns")))
 
-def drop_alerts(totals: DataFrame) -> DataFrame:
-    """Verdicts on totals as snapshots arrive, keyed by store: a category's verdict needs the store's total.
+    exact = totals.withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    return exact.groupBy("store").applyInPandasWithState(review, DROP_SCHEMA, "snapshots string", "update", GroupStateTimeout.NoTimeout)
 
-    totals: store, scraped_at, key, total; all totals of a snapshot arrive in one file.
-    """
-    columns = ["store", "scraped_at", "key", "total", "base", "verdict", "run", "limit"]
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = DropTracker(json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(frames), ignore_index=True)
-        out = []
-        for at, snapshot in rows.groupby("scraped_at", sort=True):
-            ordered = snapshot.assign(is_store=snapshot["key"] == "store").sort_values(["is_store", "key"])
-            for row in tracker.read({k: int(v) for k, v in zip(ordered["key"], ordered["total"])}):
-                out.append({"store": key[0], "scraped_at": at, **row})
-        state.update((json.dumps(tracker.dump()),))
-        yield pd.DataFrame(out, columns=columns).astype({"base": "Int64", "limit": "float64"})
-
-    return totals.groupBy("store").applyInPandasWithState(judge, DROP_SCHEMA, "tracker string", "append", GroupStateTimeout.NoTimeout)
+
+def newest_review(drained: DataFrame) -> DataFrame:
+    """Each store's last review, of all those drained."""
+    last = drained.groupBy("store").agg(F.max("batch").alias("batch"))
+    return drained.join(F.broadcast(last), ["store", "batch"]).drop("batch")

@@ -167,24 +167,64 @@ def totals(spark, rows):
 
 
 def test_drop_review_baseline_streak_acceptance(spark):
-    frame = totals(spark, [(0, "store", 501), (1, "store", 358), (2, "store", 360), (3, "store", 357), (4, "store", 357), (5, "store", 357), (6, "store", 357)])
+    """A fall of a quarter alerts twice, is accepted the third time, and its raised limit holds for two more runs."""
+    frame = totals(spark, [(d, "store", t) for d, t in enumerate([1000, 750, 760, 745, 744, 750, 748])])
     got = [(r["verdict"], r["run"], r["limit"] and round(r["limit"], 3)) for r in C.drop_review(frame).orderBy("scraped_at").collect()]
-    raised = round((501 - 357) / 501 + 0.03, 3)
+    raised = round(255 / 1000 + 0.03, 3)
     assert got == [("ok", 0, None), ("alert", 1, None), ("alert", 2, None), ("accepted", 3, raised), ("ok", 0, raised), ("ok", 0, raised), ("ok", 0, None)]
 
 
 def test_category_drop_is_a_reorganisation_while_the_store_holds(spark):
-    frame = totals(spark, [(0, "store", 480), (0, "c1", 479), (1, "store", 482), (1, "c1", 77), (1, "c2", 405)])
-    assert {(r["key"], r["verdict"]) for r in C.drop_review(frame).where("total <> 479 AND total <> 480").collect()} == {("store", "ok"), ("c1", "reorganized"), ("c2", "ok")}
+    frame = totals(spark, [(0, "store", 900), (0, "c1", 890), (1, "store", 905), (1, "c1", 120), (1, "c2", 780)])
+    assert {(r["key"], r["verdict"]) for r in C.drop_review(frame).where("total not in (890, 900)").collect()} == {("store", "ok"), ("c1", "reorganized"), ("c2", "ok")}
 
 
-def test_streamed_alerts_equal_the_batch(spark):
-    frame = totals(spark, [(d, k, t) for d, t in enumerate([500, 420, 422, 300, 421, 419]) for k in ("store", "c")])
+@pytest.mark.parametrize("per_batch", [1, 2, 100])
+def test_streamed_alerts_equal_the_batch(spark, per_batch):
+    """However files, snapshots and batches are cut, late ones included."""
+    frame = totals(spark, [(d, k, t - (k == "c") * d) for d, t in enumerate([500, 420, 422, 300, 421, 419, 330, 331, 329]) for k in ("store", "c")])
     source = work_folder(spark, "totals")
-    frame.repartition(1).write.parquet(source)
-    stream = spark.readStream.schema(frame.schema).parquet(source)
-    key = lambda r: (r["scraped_at"], r["key"], r["verdict"], r["run"])
-    assert sorted(map(key, J.drain(J.drop_alerts(stream), work_folder(spark, "d")).collect())) == sorted(map(key, C.drop_review(frame).collect()))
+    frame.repartition(5, F.rand(3)).write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", per_batch).parquet(source)
+    key = lambda r: (r["scraped_at"], r["key"], r["verdict"], r["run"], r["base"] or 0, r["limit"] or 0)
+    drained = J.drain(J.drop_alerts(stream, keep=6), work_folder(spark, "d"), "update")
+    assert sorted(map(key, J.newest_review(drained).collect())) == sorted(map(key, C.drop_review(frame, keep=6).collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_drop_review_against_a_plain_fold(spark, seed):
+    """The rules spelt out key by key, over random totals."""
+    import random
+    draw = random.Random(seed)
+    rows = [(d, k, draw.choice([100, 98, 85, 70, 71, 69])) for d in range(25) for k in ("store", "a", "b") if k == "store" or draw.random() < 0.8]
+    base, runs, want, kept = {}, {}, [], None
+    for day in range(25):
+        now = {k: t for d, k, t in rows if d == day}
+        steady, fresh = "store" not in base or now["store"] >= base["store"] * 0.9, None
+        for k, t in now.items():
+            b, verdict, run = base.get(k), "ok", 0
+            if b is not None and t < b * 0.9:
+                if k != "store" and steady:
+                    verdict = "reorganized"
+                else:
+                    level, n = runs.get(k, (t, 0))
+                    level, run = (level, n + 1) if abs(t - level) <= 0.03 * level else (t, 1)
+                    verdict = "accepted" if run == 3 else "alert"
+                    runs[k] = (level, run)
+            want.append((day, k, verdict, run))
+            if verdict != "alert":
+                fresh = (b - t) / b if verdict == "accepted" and k == "store" else fresh
+                base[k] = t
+                runs.pop(k, None)
+        kept = (fresh, now["store"], 0) if fresh else (kept[0], kept[1], kept[2] + 1) if kept and kept[2] < 2 and abs(now["store"] - kept[1]) <= 0.03 * kept[1] else None
+        want.append((day, "limit", kept and round(kept[0] + 0.03, 6)))
+    got = []
+    for r in C.drop_review(totals(spark, rows)).collect():
+        day = (r["scraped_at"] - DAY).days
+        got.append((day, r["key"], r["verdict"], r["run"]))
+        if r["key"] == "store":
+            got.append((day, "limit", r["limit"] and round(r["limit"], 6)))
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_label_files_of_both_families(spark, tmp_path):

@@ -62,8 +62,8 @@ def stream_latest(spark, folder):
 
 @query("stream_drop_alerts")
 def stream_drop_alerts(spark, folder):
-    """The daily totals arrive as a table and are judged as a stream; equals the batch review."""
+    """The daily totals arrive file by file and are judged as a stream; equals the batch review."""
     source = work_folder(spark, "totals")
-    store_totals(spark, folder).withColumn("scraped_at", F.col("scraped_at").cast("timestamp")).write.parquet(source)
-    totals = spark.readStream.schema("store string, scraped_at timestamp, key string, total long").option("maxFilesPerTrigger", 10000).parquet(source)
-    return drain(spark, J.drop_alerts(totals), "drops").drop("batch").withColumn("scraped_at", V.stamp("scraped_at"))
+    store_totals(spark, folder).withColumn("scraped_at", F.col("scraped_at").cast("timestamp")).repartition(4).write.parquet(source)
+    totals = spark.readStream.schema("store string, scraped_at timestamp, key string, total long").option("maxFilesPerTrigger", 2).parquet(source)
+    return J.newest_review(drain(spark, J.drop_alerts(totals), "drops", "update")).withColumn("scraped_at", V.stamp("scraped_at"))

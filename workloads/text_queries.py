@@ -11,7 +11,6 @@ from shelfwise.operators import catalog as C
 from shelfwise.operators import embed as E
 from shelfwise.operators import ingest as I
 from shelfwise.operators import mentions as H
-from shelfwise.session import spread
 from shelfwise.sources import labels as L
 from shelfwise.sources import payloads as Y
 from shelfwise.sources import tables as T
@@ -69,7 +68,7 @@ w AS (SELECT p_partkey AS k, p_name || ' ' || CASE p_partkey % 9 WHEN 0 THEN 'ED
 
 
 def written(spark, folder):
-    p = spread(V.table(spark, folder, "part"))
+    p = V.table(spark, folder, "part")
     size = F.col("p_size").cast("string")
     k = F.col("p_partkey") % 9
     tail = (F.when(k == 0, "EDP 1,5 L").when(k == 1, "edt 1.000 ml").when(k == 2, F.concat(F.lit("Eau de Parfum "), size, F.lit("ml"))).when(k == 3, "x3 un")
@@ -363,12 +362,12 @@ def fill_vectors(spark, folder):
 # ---------------------------------------------------------------- mentions
 
 NAMES_SQL = r"""
-names AS (SELECT item_id AS product_id, lower(trim(regexp_replace(replace(regexp_extract(text, '^[^.\n]+'), '*', ''), '\s+', ' ', 'g'))) AS key FROM benchmark),
+names AS (SELECT item_id AS product_id, lower(trim(regexp_replace(replace(text, '*', ''), '\s+', ' ', 'g'))) AS key FROM benchmark),
 bodies AS (SELECT doc_id AS text_id, lower(trim(regexp_replace(replace(text, '*', ''), '\s+', ' ', 'g'))) AS body FROM documents)"""
 
 
 def names_and_texts(spark, folder):
-    names = V.table(spark, folder, "benchmark").select(F.col("item_id").alias("product_id"), F.regexp_extract("text", r"^[^.\n]+", 0).alias("name"))
+    names = V.table(spark, folder, "benchmark").select(F.col("item_id").alias("product_id"), F.col("text").alias("name"))
     return V.table(spark, folder, "documents").select(F.col("doc_id").alias("text_id"), "text"), names
 
 
