@@ -20,10 +20,12 @@ from . import words
 from .training import Adam, one_label, sample, sigmoid, unused
 
 #: Texts that a training sample holds at most, about, of each label; training is on the driver.
-SAMPLE = 2_500
+SAMPLE = 3_000
 WINDOW, STRIDE = 32, 16
 DIMENSION, HIDDEN = 4, 8
 ROUNDS, BATCH, RATE, EMBEDDING_RATE = 5, 128, 0.01, 0.005
+#: Steps of a round at least; few texts are gone through several times.
+LEAST_STEPS = 40
 #: Share of labels taken as wrong: words of some toxic texts are lost, and the network shouldn't learn such texts by heart.
 SMOOTH = 0.05
 #: Windows that a task scores at once.
@@ -228,11 +230,18 @@ def _index(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarr
     return codes[np.where(step < length, first + step, first)]
 
 
-def _odds(rows: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Log odds of toxicity of the texts that have a row, less the overall ones; rare rows are drawn to zero."""
-    pairs = np.unique(owner * size + rows)
-    ones = np.bincount(pairs[toxic[pairs // size]] % size, minlength=size)
-    both = np.bincount(pairs % size, minlength=size)
+def _odds(own: Rows, codes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Log odds of toxicity of the texts that have a row, less the overall ones; rare rows are drawn to zero. Texts go in a few at a time."""
+    ones, both = np.zeros(size), np.zeros(size)
+    words_known = len(own.starts) - 1
+    for start in range(0, len(toxic), 64):
+        ends = offsets[start:start + 65]
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        seen = np.unique(text * words_known + codes[ends[0]:ends[-1]])
+        rows = own.of(seen % words_known)
+        pairs = np.unique(np.repeat(seen // words_known, np.diff(rows.starts)) * size + rows.rows)
+        both += np.bincount(pairs % size, minlength=size)
+        ones += np.bincount(pairs[toxic[start:start + 64][pairs // size]] % size, minlength=size)
     share = toxic.mean()
     chance = (ones + SHRINK * share) / (both + SHRINK)
     return np.log(chance / (1 - chance)) - np.log(share / (1 - share))
@@ -252,11 +261,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 1
         net.weights["fit"][:] = 0, np.log(share / (1 - share))
         return net
     lex = lexicon(distinct)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    own = np.unique(text_of * len(distinct) + codes)
     for name, size in TABLES.items():  # the first dimension of each embedding starts from the odds of its rows
-        rows = lex[name].of(own % len(distinct))
-        net.weights[name][:, 0] = _odds(rows.rows, np.repeat(own // len(distinct), np.diff(rows.starts)), toxic, size)
+        net.weights[name][:, 0] = _odds(lex[name], codes, offsets, toxic, size)
     by_word = net.inputs(lex)[:, ::DIMENSION].sum(axis=1)
     draw = np.random.default_rng(seed)
     table = np.full((int(length.max()), len(first)), -1e9, np.float32)
@@ -271,7 +277,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 1
         worst = worst[np.append(owner[worst][1:] != owner[worst][:-1], True)]
         other = draw.integers(0, len(first), len(worst))
         chosen = np.concatenate((worst, other[~toxic[owner[other]]]))
-        for part in np.array_split(draw.permutation(chosen), max(1, len(chosen) // BATCH)):
+        passes = -(-LEAST_STEPS * BATCH // max(len(chosen), BATCH))
+        order = np.concatenate([draw.permutation(chosen) for _ in range(passes)])
+        for part in np.array_split(order, max(1, len(order) // BATCH)):
             part = part[np.argsort(-length[part], kind="stable")]
             index = _index(codes, first[part], length[part])
             used, index_flat = np.unique(index, return_inverse=True)
@@ -292,14 +300,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 1
                 moment[name][where] += (sums ** 2).mean(axis=1, keepdims=True)
                 net.weights[name][where] -= EMBEDDING_RATE * sums / (np.sqrt(moment[name][where]) + 1e-6)
         logits = net.window_logits(lex, codes, first, length)
-    _calibrate(net, owner, logits, toxic)
+    most = np.full(len(texts), -np.inf)
+    np.maximum.at(most, owner, logits)
+    _calibrate(net, most, toxic)
     return net
 
 
-def _calibrate(net: Network, owner: np.ndarray, logits: np.ndarray, toxic: np.ndarray) -> None:
+def _calibrate(net: Network, most: np.ndarray, toxic: np.ndarray) -> None:
     """A slope and shift that turn a text's worst logit into a chance, labels weighed alike."""
-    most = np.full(len(toxic), -np.inf)
-    np.maximum.at(most, owner, logits)
     known = np.isfinite(most)
     y, x = toxic[known].astype(float), most[known]
     if not 0 < y.sum() < len(y):
@@ -326,10 +334,10 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     return fit([t or "" for t in rows["text"]], rows["label"].to_numpy() == 1)
 
 
-def _score(batches: Iterator[pa.RecordBatch], net: Network, column: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], net: Network, column: str, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, column):
-            yield part.select(keep).append_column("score", pa.array(net.scores(part.column(column)), pa.float64()))
+            yield part.select(keep).append_column(name, pa.array(net.scores(part.column(column)), pa.float64()))
 
 
 def score(documents: DataFrame, net: Network, text_column: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -340,5 +348,5 @@ def score(documents: DataFrame, net: Network, text_column: str = "text", out: st
     keep = documents.columns if keep is None else keep
     name = unused(keep, out)
     kinds = T.StructType([*(documents.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
-    scored = documents.mapInArrow(lambda b: _score(b, net, text_column, keep), kinds)
+    scored = documents.mapInArrow(lambda b: _score(b, net, text_column, keep, name), kinds)
     return scored if name == out else scored.withColumn(out, F.col(name)).drop(name)
