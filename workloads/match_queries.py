@@ -218,11 +218,11 @@ def decide_with_labels(spark, folder):
     return decisions(spark, folder)[1].select("a", "b", F.round("similarity", 4).alias("similarity"), "kind", "reason")
 
 
-@query("human_labels_win", f"WITH {M.TOKENS_SQL}, {CANDIDATES_SQL}, {PAIRS_SQL}, {M.LABELS_SQL}" + """
+@query("human_labels_win", f"WITH {M.LISTINGS_SQL}, {M.LABELS_SQL}" + """
 SELECT CASE WHEN (p.store, p.listing_id) < (q.store, q.listing_id) THEN p.listing_id ELSE q.listing_id END AS a,
        CASE WHEN (p.store, p.listing_id) < (q.store, q.listing_id) THEN q.listing_id ELSE p.listing_id END AS b,
        CASE label WHEN 'same' THEN 'auto' WHEN 'different' THEN 'veto' ELSE 'review' END AS kind, 'human_' || label AS reason
-FROM label_pairs l JOIN vec p ON p.listing_url = l.url_a JOIN vec q ON q.listing_url = l.url_b""")
+FROM label_pairs l JOIN m p ON p.listing_url = l.url_a JOIN m q ON q.listing_url = l.url_b""")
 def human_labels_win(spark, folder):
     return decisions(spark, folder)[1].where(F.startswith("reason", F.lit("human_"))).select("a", "b", "kind", "reason")
 
