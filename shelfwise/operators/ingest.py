@@ -14,9 +14,11 @@ from ..functions import text as X
 from ..functions.urls import normalize_url, store_sku
 from .prices import local_day
 
+# fixed values: thresholds that results depend on
 MAX_DEACTIVATION_SHARE = 0.25
 MAX_SNAPSHOTS_WITHOUT_PRICE = 3
 NEW_SHARE = 0.10
+# end fixed values
 
 
 # ------------------------------------------------------------------ cards to listings

@@ -6,13 +6,15 @@ SQL over arrays; tokenize_listings computes them once per listing so that pair r
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.fixed import DEFAULT, Lexicon
 from ..functions.text import (
-    expand_set_contents, fold, found, matches, replace_all, squeeze, title_case, words_array)
+    expand_set_contents, fold, found, matches, repair_encoding, replace_all, squeeze, title_case, words_array)
 
 STRINGS = "array<string>"
 
@@ -45,6 +47,16 @@ def name_with_declared_gender(name: Column, declared: Column) -> Column:
     return F.when(code.isNull(), name).otherwise(F.concat(name, F.lit(" "), code))
 
 
+def scan_listings(listings: DataFrame, stores: Sequence[str]) -> DataFrame:
+    """The listings that matching reads: active, with a vector, of the chosen stores; names repaired, the declared gender in the name.
+
+    listings: listing_id, store, is_active, embedding, raw_name, declared_gender and others, which are kept. Filters come first, so a
+    columnar source is pruned by them.
+    """
+    wanted = listings.where(F.col("is_active") & F.col("embedding").isNotNull() & F.col("store").isin(*stores))
+    return repair_encoding(wanted, "raw_name").withColumn("raw_name", name_with_declared_gender(F.col("raw_name"), F.col("declared_gender")))
+
+
 def name_with_gender_words(store: Column, name: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Store gender codes written as words."""
     written = name

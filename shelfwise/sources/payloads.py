@@ -267,7 +267,11 @@ def needs_detail(volume: Column, concentration: Column, name: Column) -> Column:
     return concentration.isNull() | (volume.isNull() & X.extract_volume(X.expand_abbreviations(name)).isNull())
 
 
-def enrich(products: DataFrame, details: DataFrame, sources: Sequence[str], volume_line: str = r"(?i)(?:Contenido|Formato):\s*([^\n]+)") -> DataFrame:
+# fixed value: the line of a detail text that states the size
+VOLUME_LINE = r"(?i)(?:Contenido|Formato):\s*([^\n]+)"
+
+
+def enrich(products: DataFrame, details: DataFrame, sources: Sequence[str], volume_line: str = VOLUME_LINE) -> DataFrame:
     """Missing size and concentration from detail texts, sources in order, with where each came from.
 
     details: url, source, text. Sources are pivoted by conditional aggregates (their number is fixed),

@@ -256,3 +256,19 @@ def store_duplicates(spark, folder):
 def same_store_products(spark, folder):
     rows, members, assigned = Q.resolved_products(spark, folder)
     return E.same_store_products(PR.listing_status(members, assigned), rows)
+
+
+@query("reassign_listings", f"WITH {OLD_SQL}" + """,
+status AS (SELECT listing_id, CASE WHEN listing_id % 5 <> 0 THEN product_key END AS product_key, CASE WHEN listing_id % 5 = 0 THEN 'pending' ELSE 'matched' END AS status FROM plan),
+ids AS (SELECT product_key, min(product_id) AS product_id FROM existing WHERE product_id % 3 <> 0 GROUP BY 1),
+settled AS (SELECT listing_id, coalesce(i.product_id, p.product_id) AS product_id, status FROM previous p JOIN status USING (listing_id) LEFT JOIN ids i USING (product_key))
+SELECT listing_id, CASE WHEN product_id % 7 = 0 THEN product_id + 1 ELSE product_id END AS product_id, status, round(0.1234 + listing_id % 3, 3) AS confidence FROM settled""")
+def reassign_listings(spark, folder):
+    """Resolved listings take their product's id, pending ones keep theirs, displaced rows are followed."""
+    plan, existing, previous, _ = run_tables(spark, folder)
+    pending = F.col("listing_id") % 5 == 0
+    status = plan.select("listing_id", F.when(~pending, F.col("product_key")).alias("product_key"), F.when(pending, "pending").otherwise("matched").alias("status"),
+                         (F.lit(0.1234) + F.col("listing_id") % 3).alias("confidence"))
+    ids = existing.where("product_id % 3 <> 0").groupBy("product_key").agg(F.min("product_id").alias("product_id"))
+    moved = previous.select("product_id").distinct().where("product_id % 7 = 0").withColumn("holder", F.col("product_id") + 1)
+    return I.reassign_listings(previous, status, ids, moved)

@@ -11,6 +11,7 @@ from shelfwise.operators import catalog as C
 from shelfwise.operators import embed as E
 from shelfwise.operators import ingest as I
 from shelfwise.operators import mentions as H
+from shelfwise.operators import tokens
 from shelfwise.sources import labels as L
 from shelfwise.sources import payloads as Y
 from shelfwise.sources import tables as T
@@ -434,3 +435,17 @@ def export_check(spark, folder):
 def listing_scan(spark, folder):
     """Active listings of the chosen stores: both filters sit on the listing table before anything is joined."""
     return V.listings(spark, folder).where(F.col("is_active") & F.col("store").isin("store1", "store2", "store4")).select("listing_id")
+
+
+@query("listing_names", """
+SELECT p_partkey AS listing_id, p_name || ' né' || CASE p_size % 4 WHEN 0 THEN ' (M)' WHEN 1 THEN ' (H)' ELSE '' END AS raw_name
+FROM part JOIN embeddings ON vec_id = p_partkey WHERE embedding IS NOT NULL AND p_partkey % 7 <> 0 AND p_partkey % 6 IN (1, 2, 4)""")
+def listing_names(spark, folder):
+    """Listings as matching reads them: names were read in the wrong encoding, some shops declare a gender."""
+    gender = F.when(F.col("p_size") % 4 == 0, "female").when(F.col("p_size") % 4 == 1, "male").when(F.col("p_size") % 4 == 2, "unisex")
+    listings = V.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("listing_id"), F.concat(F.lit("store"), (F.col("p_partkey") % 6).cast("string")).alias("store"),
+        (F.col("p_partkey") % 7 != 0).alias("is_active"), F.concat("p_name", F.lit(" nÃ©")).alias("raw_name"), gender.alias("declared_gender"))
+    vectors = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("listing_id"), "embedding")
+    scanned = tokens.scan_listings(listings.join(vectors, "listing_id", "left"), ("store1", "store2", "store4"))
+    return scanned.select("listing_id", "raw_name")
