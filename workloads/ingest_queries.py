@@ -191,7 +191,44 @@ def totals_history(spark, folder):
     return C.totals_history(store_totals(spark, folder), 20).select("store", F.to_date("scraped_at").cast("string").alias("day"), "key", "total")
 
 
-@query("drop_alerts")
+# The fold over a store's newest 60 snapshots: first the store's own total, then its categories, which the store's total can excuse.
+FOLD = """, {state} AS (
+  SELECT {ids}, 0 AS n, CAST(NULL AS BIGINT) AS total, CAST(NULL AS BIGINT) AS prior, CAST(NULL AS BIGINT) AS base, CAST(NULL AS DOUBLE) AS level, 0 AS streak,
+    0 AS run, CAST(NULL AS VARCHAR) AS verdict FROM {start}
+  UNION ALL
+  SELECT {ids}, n + 1, t, base, CASE WHEN t IS NULL OR verdict_now = 'alert' THEN base ELSE t END, CASE WHEN t IS NULL THEN level WHEN verdict_now = 'alert' THEN near_level END,
+    CASE WHEN t IS NULL THEN streak WHEN verdict_now = 'alert' THEN run_now ELSE 0 END, run_now, verdict_now
+  FROM (SELECT *, CASE WHEN moved THEN 'reorganized' WHEN counted AND run_now >= 3 THEN 'accepted' WHEN counted THEN 'alert' ELSE 'ok' END AS verdict_now
+    FROM (SELECT *, CASE WHEN near THEN streak + 1 WHEN counted THEN 1 ELSE 0 END AS run_now, CASE WHEN near THEN level ELSE t END AS near_level
+      FROM (SELECT *, counted AND level IS NOT NULL AND abs(t - level) <= level * 0.03 AS near
+        FROM (SELECT *, low AND NOT moved AS counted
+          FROM (SELECT {source}, x.total AS t, coalesce(x.total < s.base * (1 - 0.10), false) AS low, {moved} AS moved
+            FROM {state} s JOIN {snapshots})))))) """
+DROP_SQL = f"WITH RECURSIVE {CARDS_SQL}" + """,
+totals AS (SELECT store, day AS seen, 'store' AS key, count(*) AS total FROM cards GROUP BY 1, 2
+           UNION ALL SELECT store, day, 'c' || CAST(event_id % 2 AS VARCHAR), count(*) FROM cards GROUP BY 1, 2, event_id % 2),
+times AS (SELECT store, seen, row_number() OVER (PARTITION BY store ORDER BY seen) AS n FROM (
+  SELECT store, seen, row_number() OVER (PARTITION BY store ORDER BY seen DESC) AS age FROM (SELECT DISTINCT store, seen FROM totals)) WHERE age <= 60),
+whole AS (SELECT store, n, total FROM times LEFT JOIN totals USING (store, seen) WHERE key = 'store'),
+keys AS (SELECT DISTINCT store, key FROM totals WHERE key <> 'store'),
+parts AS (SELECT k.store, k.key, t.n, x.total FROM keys k JOIN times t ON t.store = k.store LEFT JOIN totals x ON x.store = t.store AND x.seen = t.seen AND x.key = k.key)""" + FOLD.format(
+    state="store_state", ids="store", start="(SELECT DISTINCT store FROM times)", source="s.store, s.n, s.base, s.level, s.streak", moved="false",
+    snapshots="whole x ON x.store = s.store AND x.n = s.n + 1") + FOLD.format(
+    state="key_state", ids="store, key", start="keys", source="s.store, s.key, s.n, s.base, s.level, s.streak",
+    moved="coalesce(x.total < s.base * (1 - 0.10), false) AND (w.prior IS NULL OR w.total >= w.prior * (1 - 0.10))",
+    snapshots="parts x ON x.store = s.store AND x.key = s.key AND x.n = s.n + 1 JOIN store_state w ON w.store = s.store AND w.n = s.n + 1") + """,
+raised AS (
+  SELECT store, 0 AS n, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS BIGINT) AS anchor, 0 AS age FROM (SELECT DISTINCT store FROM times)
+  UNION ALL
+  SELECT r.store, r.n + 1, CASE WHEN s.verdict = 'accepted' THEN (s.prior - s.total) / s.prior WHEN r.age < 2 AND abs(s.total - r.anchor) <= r.anchor * 0.03 THEN r.share END,
+    CASE WHEN s.verdict = 'accepted' THEN s.total ELSE r.anchor END, CASE WHEN s.verdict = 'accepted' THEN 0 ELSE r.age + 1 END
+  FROM raised r JOIN store_state s ON s.store = r.store AND s.n = r.n + 1),
+judged AS (SELECT store, n, 'store' AS key, total, prior, verdict, run, share + 0.03 AS "limit" FROM store_state JOIN raised USING (store, n)
+           UNION ALL SELECT store, n, key, total, prior, verdict, run, NULL FROM key_state WHERE total IS NOT NULL)
+SELECT store, strftime(CAST(seen AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS scraped_at, key, total, prior AS base, verdict, run, "limit" FROM judged JOIN times USING (store, n) WHERE n > 0"""
+
+
+@query("drop_alerts", DROP_SQL)
 def drop_alerts(spark, folder):
     return C.drop_review(store_totals(spark, folder)).withColumn("scraped_at", V.stamp("scraped_at"))
 

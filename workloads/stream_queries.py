@@ -8,7 +8,7 @@ from shelfwise.session import work_folder
 from shelfwise.streaming import jobs as J
 
 from . import views as V
-from .ingest_queries import store_totals
+from .ingest_queries import DROP_SQL, store_totals
 from .registry import query
 
 
@@ -60,7 +60,7 @@ def stream_latest(spark, folder):
     return J.newest_update(rows, ["listing_id"]).select("listing_id", "price", V.stamp("scraped_at").alias("scraped_at"))
 
 
-@query("stream_drop_alerts")
+@query("stream_drop_alerts", DROP_SQL)
 def stream_drop_alerts(spark, folder):
     """The daily totals arrive file by file and are judged as a stream; equals the batch review."""
     source = work_folder(spark, "totals")

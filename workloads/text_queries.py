@@ -377,7 +377,15 @@ def found_names(spark, folder):
     return H.found_names(*names_and_texts(spark, folder)).select("text_id", "product_id", "start")
 
 
-@query("mentions")
+@query("mentions", f"WITH RECURSIVE {NAMES_SQL}" + """,
+hits AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start, size DESC, product_id) AS i FROM (
+  SELECT text_id, product_id, instr(body, key) AS start, length(key) AS size FROM bodies JOIN names ON key <> '' AND contains(body, key))),
+walk AS (
+  SELECT text_id, i, product_id, start, start + size AS free, true AS kept FROM hits WHERE i = 1
+  UNION ALL
+  SELECT h.text_id, h.i, h.product_id, h.start, CASE WHEN h.start >= w.free THEN h.start + h.size ELSE w.free END, h.start >= w.free
+  FROM walk w JOIN hits h ON h.text_id = w.text_id AND h.i = w.i + 1)
+SELECT text_id, product_id, start FROM walk WHERE kept""")
 def mentions(spark, folder):
     return H.mentions(*names_and_texts(spark, folder))
 
