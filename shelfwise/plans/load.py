@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import completeness as C
@@ -82,11 +82,29 @@ def load(heads: DataFrame, cards: DataFrame, listings: DataFrame, prices: DataFr
         kept = I.without_today(prices, offered, zone)
     fresh = offered.join(kept.select("listing_id", "scraped_at"), ["listing_id", "scraped_at"], "left_anti").select(*offered.columns)
     fresh = cut(fresh)
+    unknown = actions.where("action <> 'upsert'").join(listings.select("store", "listing_url"), ["store", "listing_url"], "left_anti")
+    owners = listings.select("listing_id", "store")
+    counted = {
+        "unknown": unknown, "kept_today": found.join(already, ["store", "listing_url"], "left_semi"),
+        "replaced_today": prices.join(kept, ["listing_id", "scraped_at"], "left_anti").join(owners, "listing_id") if replace_today else found.limit(0),
+        "still_in": held.where("held")}
+    for name, rows in counted.items():
+        state = state.join(rows.groupBy("store").agg(F.count(F.lit(1)).alias(name)), "store", "left").fillna(0, [name])
     return Loaded(updated, fresh, kept, load_stats(state, updated, actions, fresh, gone))
 
 
+def _notes() -> Column:
+    """What an operator should know beside the completeness notes, only where it holds."""
+    said = [(F.col("step") != "done", F.concat(F.lit("unfinished: step "), F.coalesce("step", F.lit("unknown")))),
+            (F.col("blocked"), F.lit("deactivation blocked: too many listings would go")), (F.col("alert"), F.lit("total fell: nothing is deactivated")),
+            (F.col("price_not_read") > 0, F.concat(F.lit("prices not read: "), F.col("price_not_read").cast("string"))),
+            (F.col("unknown") > 0, F.concat(F.lit("unknown listings skipped: "), F.col("unknown").cast("string"))),
+            (F.col("still_in") > 0, F.concat(F.lit("listings kept without a price: "), F.col("still_in").cast("string")))]
+    return F.array_compact(F.array(*(F.when(holds, text) for holds, text in said)))
+
+
 def load_stats(state: DataFrame, updated: DataFrame, actions: DataFrame, fresh: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """One audit row per store."""
+    """One audit row per store. Skipped are cards that can't be read, and listings that are only touched or seen but not known."""
     changes = updated.groupBy("store").agg(
         F.count_if(F.col("change") == "inserted").alias("inserted"), F.count_if(F.col("change") == "updated").alias("updated"))
     added = fresh.join(updated.select("listing_id", "store"), "listing_id").groupBy("store").agg(F.count(F.lit(1)).alias("prices_added"))
@@ -100,5 +118,6 @@ def load_stats(state: DataFrame, updated: DataFrame, actions: DataFrame, fresh:
     return rows.select(
         "store", "file", "scraped_at", F.col("n_products").alias("products"),
         F.when(F.col("step") == "done", "full").otherwise("prices_only").alias("mode"), F.col("stop_label").alias("stop_reason"),
-        "complete", "inserted", "updated", "prices_added", "skipped", "unpriced", "price_not_read",
-        leaving.alias("deactivated"), "notes")
+        "complete", "inserted", "updated", "prices_added",
+        (F.col("skipped") + F.col("unknown")).alias("skipped"), "unpriced", "price_not_read", "kept_today", "replaced_today",
+        leaving.alias("deactivated"), F.concat(F.coalesce("notes", F.array().cast("array<string>")), _notes()).alias("notes"))

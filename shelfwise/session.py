@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -121,9 +121,9 @@ def test_load_parses_gates_and_is_idempotent(spark, tmp_path):
     again, stats = run(spark, path, done.listings.drop("change"), done.kept_prices.unionByName(done.prices))
     assert [(s["inserted"], s["updated"], s["prices_added"]) for s in stats] == [(0, 3, 0)]
     kept, stats = run(spark, path, done.listings.drop("change"), done.prices, keep_priced_today=True)
-    assert [(s["updated"], s["prices_added"]) for s in stats] == [(1, 0)]
+    assert [(s["updated"], s["prices_added"], s["kept_today"], s["replaced_today"]) for s in stats] == [(1, 0, 2, 0)]
     swapped, stats = run(spark, path, done.listings.drop("change"), done.prices, replace_today=True)
-    assert stats[0]["prices_added"] == 2 and swapped.kept_prices.count() == 0
+    assert stats[0]["prices_added"] == 2 and swapped.kept_prices.count() == 0 and (stats[0]["kept_today"], stats[0]["replaced_today"]) == (0, 2)
 
 
 def test_load_deactivates_only_within_the_limit(spark, tmp_path):
@@ -145,6 +145,7 @@ def test_unfinished_snapshot_only_touches_known_listings(spark, tmp_path):
     listings, prices = empty_tables(spark)
     done, _ = run(spark, write(first, snapshot(products=[product(1)], site_total=1, products_seen=1)), listings, prices)
     late, stats = run(spark, write(second, snapshot(step="listing", day=1, products=[product(1, "$1.500"), product(2)])), done.listings.drop("change"), done.prices)
+    assert stats[0]["skipped"] == 1 and {"unfinished: step listing", "unknown listings skipped: 1"} <= set(stats[0]["notes"])
     assert stats[0]["mode"] == "prices_only" and late.listings.count() == 1 and late.prices.count() == 1
 
 

@@ -377,7 +377,8 @@ def unpriced_kinds(spark, folder):
 
 @query("load_stats", f"WITH {LOAD_SQL}" + """
 SELECT coalesce(s.store, o.store) AS store, count(*) FILTER (WHERE o.listing_id IS NULL) AS inserted,
-  count(*) FILTER (WHERE o.listing_id IS NOT NULL AND s.listing_id IS NOT NULL) AS updated, count(s.price) AS prices_added
+  count(*) FILTER (WHERE o.listing_id IS NOT NULL AND s.listing_id IS NOT NULL) AS updated, count(s.price) AS prices_added,
+  count(s.listing_id) AS products, count(s.listing_id) - count(s.price) AS unpriced, 0 AS skipped, 0 AS kept_today, 0 AS replaced_today, 'full' AS mode, 'all_pages' AS stop_reason
 FROM old_listings o FULL JOIN snap s ON s.listing_id = o.listing_id GROUP BY 1""")
 def load_stats(spark, folder):
     """The whole load: raw cards of every store through parsing, gates, upsert and append."""
@@ -400,7 +401,7 @@ def load_stats(spark, folder):
     old = prices.select(F.col("listing_id").cast("string").alias("listing_id"), "price", F.lit(None).cast("bigint").alias("list_price"),
                         F.lit("CLP").alias("currency"), F.lit(True).alias("is_available"), "scraped_at")
     done = load(h, raw, wide, old, stop_rules={}, total_rules={}, max_share=1.0)
-    return done.stats.select("store", "inserted", "updated", "prices_added")
+    return done.stats.select("store", "inserted", "updated", "prices_added", "products", "unpriced", "skipped", "kept_today", "replaced_today", "mode", "stop_reason")
 
 
 # ---------------------------------------------------------------- runs
