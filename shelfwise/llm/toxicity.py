@@ -30,6 +30,8 @@ LEAST_STEPS = 40
 SMOOTH = 0.05
 #: Windows that a task scores at once.
 TOGETHER = 4096
+#: Words whose rows are looked up at once.
+SOME_WORDS = 20_000
 #: Weight of the overall share of toxic texts, in texts, against a row's own counts.
 SHRINK = 4.0
 
@@ -54,6 +56,17 @@ Lexicon = dict[str, Rows]
 
 
 def lexicon(distinct: list[str]) -> Lexicon:
+    """The rows of all words, found for some of them at a time."""
+    parts = [_lexicon(distinct[i:i + SOME_WORDS]) for i in range(0, len(distinct), SOME_WORDS)] or [_lexicon([])]
+    out = {}
+    for name in TABLES:
+        ends = np.cumsum([0, *(len(p[name].rows) for p in parts)])
+        starts = [p[name].starts[:-1] + end for p, end in zip(parts, ends)]
+        out[name] = Rows(np.concatenate([p[name].rows for p in parts]), np.append(np.concatenate(starts), ends[-1]))
+    return out
+
+
+def _lexicon(distinct: list[str]) -> Lexicon:
     """A word's own row, those of its byte 3- and 5-grams, and those of its first 4 to 8 bytes.
 
     Punctuation around a word is dropped, unless it is all there is; words are marked at both ends.
@@ -89,7 +102,7 @@ def lexicon(distinct: list[str]) -> Lexicon:
 
 
 def _slots(hashes: np.ndarray, table: str) -> np.ndarray:
-    return (words.mix(hashes) % np.uint64(TABLES[table])).astype(np.int64)
+    return (words.mix(hashes) % np.uint64(TABLES[table])).astype(np.int32)
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +115,12 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _mean_rows(table: np.ndarray, own: Rows) -> np.ndarray:
-    return (np.add.reduceat(table[own.rows], own.starts[:-1], axis=0) / np.diff(own.starts)[:, None]).astype(np.float32)
+    out = np.empty((len(own.starts) - 1, table.shape[1]), np.float32)
+    for i in range(0, len(out), SOME_WORDS):
+        starts = own.starts[i:i + SOME_WORDS + 1]
+        sums = np.add.reduceat(table[own.rows[starts[0]:starts[-1]]], starts[:-1] - starts[0], axis=0)
+        out[i:i + SOME_WORDS] = sums / np.diff(starts)[:, None]
+    return out
 
 
 class Network:
@@ -239,7 +257,7 @@ def _odds(own: Rows, codes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray,
         text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         seen = np.unique(text * words_known + codes[ends[0]:ends[-1]])
         rows = own.of(seen % words_known)
-        pairs = np.unique(np.repeat(seen // words_known, np.diff(rows.starts)) * size + rows.rows)
+        pairs = np.unique(np.repeat(seen // words_known, np.diff(rows.starts)) * size + rows.rows.astype(np.int64))
         both += np.bincount(pairs % size, minlength=size)
         ones += np.bincount(pairs[toxic[start:start + 64][pairs // size]] % size, minlength=size)
     share = toxic.mean()
@@ -265,11 +283,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 1
         net.weights[name][:, 0] = _odds(lex[name], codes, offsets, toxic, size)
     by_word = net.inputs(lex)[:, ::DIMENSION].sum(axis=1)
     draw = np.random.default_rng(seed)
-    table = np.full((int(length.max()), len(first)), -1e9, np.float32)
-    for t in range(len(table)):
+    logits = np.full(len(first), -1e9, np.float32)
+    for t in range(int(length.max())):
         live = length > t
-        table[t, live] = by_word[codes[first[live] + t]]
-    logits = table.max(axis=0)
+        logits[live] = np.maximum(logits[live], by_word[codes[first[live] + t]])
     optimiser = Adam({k: v for k, v in net.weights.items() if k not in TABLES}, RATE, 1e-3)
     moment = {name: np.zeros((rows, 1), np.float32) for name, rows in TABLES.items()}
     for _ in range(rounds):
