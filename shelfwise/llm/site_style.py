@@ -8,7 +8,6 @@ notices and comments are unimportant, and elements that name themselves the arti
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
