@@ -242,7 +242,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     threshold = percent / 100
     bands, rows = banding(threshold)
     size = bands * rows
-    plain = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    plain = words.small_batches(documents).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = cut(plain.mapInArrow(lambda b: _sign(b, width, bands, rows),
                                   "id long, n_shingles long, one long, two long, signature binary, bands array<long>"))
     same = ["one", "two", "n_shingles"]

@@ -199,5 +199,5 @@ def score(documents: DataFrame, model: Model, text_column: str = "text", out: st
     keep = documents.columns if keep is None else keep
     name = unused(keep, out)
     kinds = T.StructType([*(documents.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
-    scored = documents.mapInArrow(lambda b: _score(b, model, text_column, keep, name), kinds)
+    scored = words.small_batches(documents).mapInArrow(lambda b: _score(b, model, text_column, keep, name), kinds)
     return scored if name == out else scored.withColumn(out, F.col(name)).drop(name)

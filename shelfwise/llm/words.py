@@ -11,11 +11,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once in a task; bounds a task's memory, results do not depend on it.
 SLICE_BYTES = 4 << 20
 
 
+#: Rows that Spark hands to a task's Python at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, with its session set to hand texts to Python in batches of few rows: they bound the memory of both sides."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", frame.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return frame
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about `limit` bytes of one text column, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
