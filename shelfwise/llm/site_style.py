@@ -2,8 +2,9 @@
 
 The DOMs of one host are merged into a tree of element paths. A path that looks the same wherever it occurs, in its children
 (presentation) or in its text (content), tells little: its entropy-based importance is low, and the branches of a page that are
-made of such paths are removed. What elements are called speaks for itself: navigation, headers, footers, asides, forms, adverts,
-notices and comments are unimportant, and elements that name themselves the article are kept as a whole, whatever repeats in them.
+made of nothing else are removed. What elements are called is known before: navigation, headers, footers, asides, forms, adverts,
+notices and comments are unimportant, and where elements name themselves the article, the text is theirs. Repeated branches go inside
+them too; only an article of which nothing would be left is a copy, not boilerplate, and stays whole.
 """
 
 from __future__ import annotations
@@ -125,26 +126,44 @@ def clean(parts: Iterator[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _is_leaf(node: dom.Node) -> bool:
-    """A branch of text and inline elements alone."""
-    return all(isinstance(c, str) or c.tag in dom.INLINE or c.tag == "br" for c in _walk_children(node))
+def _leaves(root: dom.Node) -> set[int]:
+    """Ids of the branches of text and inline elements alone."""
+    out: set[int] = set()
+    for node in reversed(list(_walk(root))):
+        if all(isinstance(c, str) or c.tag == "br" or c.tag in dom.INLINE and id(c) in out for c in node.children):
+            out.add(id(node))
+    return out
 
 
-def _walk_children(node: dom.Node) -> Iterator[dom.Node | str]:
-    stack = list(node.children)
-    while stack:
-        at = stack.pop()
-        yield at
-        if not isinstance(at, str):
-            stack.extend(at.children)
+def enclose(root: dom.Node) -> None:
+    """Put runs of text and inline elements that stand beside blocks each in an element of its own, so that they are branches too."""
+    leaves = _leaves(root)
+    for node in list(_walk(root)):
+        if id(node) in leaves:
+            continue
+        kept: list[dom.Node | str] = []
+        run: list[dom.Node | str] = []
+        for child in [*node.children, None]:
+            if isinstance(child, str) or child is not None and (child.tag == "br" or child.tag in dom.INLINE and id(child) in leaves):
+                run.append(child)
+                continue
+            if any(not isinstance(c, str) or c.strip() for c in run):
+                own = dom.Node("span", {}, node)
+                own.children, run = run, [own]
+            kept.extend(run)
+            run = []
+            if child is not None:
+                kept.append(child)
+        node.children = kept
 
 
 def style_nodes(root: dom.Node) -> Iterator[tuple[dom.Node, int, int, bool]]:
     """(element, path, feature, is text): a leaf's feature is its text, another element's the sequence of its children's styles."""
+    leaves = _leaves(root)
     stack = [(root, 0)]
     while stack:
         node, path = stack.pop()
-        if _is_leaf(node):
+        if id(node) in leaves:
             text = clean(_text(node))
             if text:
                 yield node, path, _key("text", path, text), True
@@ -156,14 +175,16 @@ def style_nodes(root: dom.Node) -> Iterator[tuple[dom.Node, int, int, bool]]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (path, feature) of each page without an element that names itself the article."""
+    """Distinct (path, feature) of each page, and each of its paths once with is_text null."""
     for batch in batches:
         for part in words.slices(batch, "html"):
             rows = []
             for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 root = dom.parse(source or "")
-                if settle(root) == [root]:
-                    rows.extend({(host, path, feature, text) for _, path, feature, text in style_nodes(root)})
+                settle(root)
+                enclose(root)
+                own = {(host, path, feature, text) for _, path, feature, text in style_nodes(root)}
+                rows.extend(own | {(host, path, 0, None) for _, path, _, _ in own})
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())],
@@ -174,22 +195,26 @@ def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: fl
     """(host, key, importance, styles): the style tree's paths and texts of little importance.
 
     Presentation of a path: the entropy of its styles over the pages that have it, to base their number. A text of a path: one minus
-    the entropy of its spread, so 1 if one page has it, 0 if all have. Counts are summed per page first, so a hot host is no one's group.
+    the entropy of its spread, so 1 if one page has it, 0 if all pages with the path have. All pages of a host take part. Counts are
+    summed per page first, so a hot host is no one's group; a host without unimportant texts has no rows, as nothing of its pages can go.
     """
     seen = pages.mapInArrow(_features, "host string, path long, feature long, is_text boolean")
     each = seen.groupBy("host", "path", "is_text", "feature").agg(F.count(F.lit(1)).alias("n"))
     each = cut(each)
     paths = each.groupBy("host", "path").agg(
-        F.sum("n").alias("m"), F.sum(F.when(~F.col("is_text"), F.col("n"))).alias("styled"), F.sum(F.col("is_text").cast("int")).alias("texts"),
+        F.sum(F.when(F.col("is_text").isNull(), F.col("n"))).alias("m"), F.sum(F.when(~F.col("is_text"), F.col("n"))).alias("styled"),
         F.sum(F.when(~F.col("is_text"), F.col("n") * F.log("n"))).alias("nlogn"), F.sum((~F.col("is_text")).cast("int")).alias("styles"))
     paths = paths.where(F.col("m") >= min_pages)
-    shape = paths.where("styled > 0").select(
-        "host", F.col("path").alias("key"), ((F.log("m") - F.col("nlogn") / F.col("styled")) / F.log("m")).alias("importance"),
-        F.col("styles").cast("int").alias("styles"))
-    repeated = each.where("is_text and n > 1").select("host", "path", "feature", "n")
-    texts = repeated.join(paths.select("host", "path", "m"), ["host", "path"]).select(
+    # importance under min_importance means n > m ** (1 - min_importance), and m is min_pages at least
+    repeated = each.where(F.col("is_text") & (F.col("n") > 1) & (F.col("n") > min_pages ** (1 - min_importance) - 1e-6))
+    texts = repeated.select("host", "path", "feature", "n").join(paths.select("host", "path", "m"), ["host", "path"]).select(
         "host", F.col("feature").alias("key"), (1 - F.log("n") / F.log("m")).alias("importance"), F.lit(0).alias("styles"))
-    return shape.unionByName(texts).where(F.col("importance") < min_importance)
+    texts = cut(texts.where(F.col("importance") < min_importance))
+    shape = paths.where("styled > 0").join(texts.select("host").distinct(), "host", "left_semi").select(
+        "host", F.col("path").alias("key"),
+        ((F.log("styled") - F.col("nlogn") / F.col("styled")) / F.log(F.greatest("m", "styled"))).alias("importance"),
+        F.col("styles").cast("int").alias("styles"))
+    return shape.where(F.col("importance") < min_importance).unionByName(texts)
 
 
 def importance(root: dom.Node, known: dict[int, tuple[float, int]], damping: float = DAMPING) -> None:
@@ -207,14 +232,31 @@ def importance(root: dom.Node, known: dict[int, tuple[float, int]], damping: flo
         node.weight = (1 - share) * own + share * mean
 
 
+def prune(root: dom.Node, min_importance: float) -> None:
+    """Remove the branches that, like everything in them, are of little importance."""
+    leaves = _leaves(root)
+    stays: set[int] = set()
+    for node in reversed(list(_walk(root))):
+        below = False
+        if id(node) not in leaves:
+            node.children = [c if isinstance(c, str) or id(c) in stays else " " for c in node.children]
+            below = any(not isinstance(c, str) or c.strip() for c in node.children)
+        if below or node.weight >= min_importance:
+            stays.add(id(node))
+
+
 def main_text(source: str | None, known: dict[int, tuple[float, int]], min_importance: float = MIN_IMPORTANCE) -> str:
     root = dom.parse(source or "")
     mains = settle(root)
-    if mains == [root] and known:
+    texts = [clean(_text(m)) for m in mains]
+    if known:
+        enclose(root)
         importance(root, known)
-        for node in list(_walk(root)):
-            node.children = [c if isinstance(c, str) or c.weight >= min_importance else " " for c in node.children]
-    return " ".join(t for t in (clean(_text(m)) for m in mains) if t)
+        prune(root, min_importance)
+        left = [clean(_text(m)) for m in mains]
+        if mains == [root] or any(left):
+            texts = left
+    return " ".join(t for t in texts if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], min_importance: float) -> Iterator[pa.RecordBatch]:

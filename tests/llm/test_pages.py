@@ -110,3 +110,26 @@ def test_importance_is_entropy(spark):
     import math
     low = site_style.unimportant(frame.select("host", "html"), 5, 0.2).where("styles = 0").collect()
     assert [round(r["importance"], 6) for r in low] == [round(1 - math.log(8) / math.log(10), 6)]
+
+
+def test_repeated_branches_inside_articles_go(spark):
+    """Blocks and loose lines without a name, on most pages of a host, go from inside its articles, beside many other paragraphs; copies stay whole."""
+    def page(host, i, block, story):
+        paragraphs = "".join(f"<p>{story} {k}</p>" for k in range(20))
+        return f"http://{host}/{i}", f"<body><article><h1>T{i}</h1>{paragraphs}<p>{block}</p><div><p>Licence</p><p>{block} too</p></div>Share <b>this</b></article></body>"
+
+    rows = [page("big.com", i, "Read our promo", f"story {i}") for i in range(40)] + [page("small.com", i, "Read our promo", f"s{i}") for i in range(3)]
+    rows += [(f"http://copies.com/{i}", "<article><p>all pages</p><p>are copies</p></article>") for i in range(10)]
+    rows += [("http://big.com/plain", "<body><div>Licence</div><div><p>a page of its own</p></div></body>")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["url"]: r["text"] for r in site_style.extract(frame).collect()}
+    assert got["http://big.com/7"] == "T7 " + " ".join(f"story 7 {k}" for k in range(20))
+    assert got["http://small.com/1"] == "T1 " + " ".join(f"s1 {k}" for k in range(20)) + " Read our promo Licence Read our promo too Share this"
+    assert got["http://copies.com/3"] == "all pages are copies" and got["http://big.com/plain"] == "Licence a page of its own"
+
+
+def test_a_branch_with_something_of_its_own_stays(spark):
+    """Presentation alone removes nothing: what a page alone says stays, however uniform its elements are."""
+    rows = [(i, f"http://h.com/{i}", f"<body><div>{''.join(f'<p>item {k}</p>' for k in range(30))}<p>only {i}</p></div></body>") for i in range(50)]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"only {r['page_id']}" for r in got)
