@@ -37,7 +37,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def _search(table: pa.Table, radius: int, k: int, segments: int) -> pa.Table:
-    """Codes of one key whose segment is exactly `radius` bits from the query's: each query's k nearest among them.
+    """Codes of one key whose segment is exactly `radius` bits from the query's: each query's k nearest among them, of ties the lowest numbers.
 
     Rows are codes (query null) or queries; `away` is the distance of a query's key from the group's.
     """
@@ -107,7 +107,8 @@ def nearest_codes(frame: DataFrame, asks: Column, id_column: str = "vec_id", vec
     salted = _lowest(coded.select("id", "code").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), ["code", "salt"], k + 1)
     holders = cut(_lowest(salted.drop("salt"), ["code"], k + 1))
     lists = holders.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    index = cut(lists.withColumn("id", F.monotonically_increasing_id()))
+    # numbered in the order of their smallest ids: of codes equally far, a search keeps those that the result's ties go to
+    index = cut(lists.orderBy(F.col("ids")[0], "code").withColumn("id", F.monotonically_increasing_id()))
     asking = coded.where("asks").select("code").distinct()
     open_ = cut(asking.withColumn("id", F.monotonically_increasing_id()).withColumn("kth", F.lit(length).cast("long")))
     queries, found = open_, None

@@ -150,3 +150,21 @@ def test_code_search_of_few_rows(spark):
     assert [tuple(r) for r in code_search.nearest_codes(one, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1)]
     assert code_search.nearest_codes(one, F.lit(False)).count() == 0
     assert code_search.nearest_codes(one.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_code_search_of_near_copies(spark, tile):
+    """Many distinct codes as far as the kth one, in one key of most segments: the smallest ids win."""
+    draw = np.random.default_rng(5)
+    signs = -np.ones((1 + 64 + 200, 64))
+    signs[np.arange(1, 65), np.arange(64)] = 1
+    for row in signs[65:]:
+        row[draw.choice(64, 2, replace=False)] = 1
+    ids = [0, *(int(i) for i in draw.permutation(np.arange(1, len(signs))))]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, signs)], "vec_id long, embedding array<double>").repartition(7)
+    got = code_search.nearest_codes(frame, F.col("vec_id") % 40 == 0, k=10, tile=tile)
+    rows = [tuple(r) for r in got.orderBy("query_id", "rank").collect()]
+    for q in range(0, len(ids), 40):
+        far = (signs != signs[ids.index(q)]).sum(axis=1)
+        want = sorted((int(d), i) for d, i in zip(far, ids) if i != q)[:10]
+        assert [(d, i) for asker, _, i, d in rows if asker == q] == want
