@@ -72,12 +72,12 @@ def _lexicon(distinct: list[str]) -> Lexicon:
     Punctuation around a word is dropped, unless it is all there is; words are marked at both ends.
     """
     bare = [w.strip(_PUNCTUATION) or w for w in distinct]
-    flat = np.frombuffer(("\x01" + "\x01\x01".join(bare) + "\x01").encode(), np.uint8).astype(np.uint64)
-    mark = flat == 1
-    edge = np.cumsum(mark)
-    owner = (edge - 1) // 2
-    begin = np.flatnonzero(mark)[::2]
-    end = np.flatnonzero(mark)[1::2] + 1
+    encoded = [w.encode() for w in bare]
+    flat = np.frombuffer(b"\x01" + b"\x01\x01".join(encoded) + b"\x01", np.uint8).astype(np.uint64)
+    size_of = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 2  # with a mark at both ends; words may hold the mark's byte too
+    end = np.cumsum(size_of)
+    begin = end - size_of
+    owner = np.repeat(np.arange(len(bare)), size_of)
     hashes, owners = [], []
     for size in (3, 5):
         n = max(len(flat) - size + 1, 0)

@@ -94,3 +94,17 @@ def test_folds_and_labels(spark):
     assert [r["f"] for r in frame.collect()] == [zlib.crc32(str(i).encode()) % 5 for i in (-3, 0, 1, 10**12)] + [None]
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0), (3, None)], "k long, y int")
     assert sorted(tuple(r) for r in training.one_label(labels, "k", "y").collect()) == [(1, 1), (2, 0)]
+
+
+def test_words_that_hold_the_mark(spark):
+    """U+0001 isn't white space: words may hold it, at their ends or alone, and don't change other words' rows."""
+    odd = ["\x01", "a\x01b", "\x01\x01\x01", "ç\x01", "\x01x"]
+    plain = ["insult", "!!", "naïve", "of"]
+    mixed, alone = toxicity.lexicon([w for pair in zip(odd, [*plain, "z"]) for w in pair]), toxicity.lexicon(plain)
+    for name in toxicity.TABLES:
+        ours = mixed[name].of(np.arange(len(plain)) * 2 + 1)
+        assert (ours.rows == alone[name].rows).all() and (ours.starts == alone[name].starts).all() and (np.diff(mixed[name].starts) > 0).all()
+    texts = [(i, f"some words \x01 and od\x01d {i} {'insult' * (i % 2)}\x01") for i in range(20)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    net = toxicity.train(documents, documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert toxicity.score(documents, net).where("score between 0 and 1").count() == 20
