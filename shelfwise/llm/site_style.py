@@ -34,12 +34,15 @@ ASIDE_TAGS = frozenset(
     "audio video map datalist".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
+#: Telling as a part of a name too (post-comments, ad-slot).
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner nav navbar navigation "
-    "menu menubar breadcrumb breadcrumbs crumbs header masthead topbar footer colophon sidebar aside rail widget widgets cookie cookies "
-    "consent gdpr privacy notice notices alert popup modal overlay newsletter subscribe subscription signup signin login register paywall "
-    "share sharing social follow comment comments commentlist disqus respond reply replies discussion related recommended recommendations "
-    "trending popular pagination pager toolbar search searchbox copyright legal disclaimer hidden".split())
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsored nav navbar navigation menubar breadcrumb breadcrumbs colophon "
+    "footer gdpr newsletter paywall share sharing comment comments commentlist disqus pagination pager searchbox".split())
+#: Telling only as a whole name, outside an article: in others, and of layouts, they name much else (content-with-sidebar, section.legal).
+VAGUE_NAMES = frozenset(
+    "sponsor promo promoted promotion banner menu crumbs header masthead topbar sidebar aside rail widget widgets cookie cookies consent privacy "
+    "notice notices alert popup modal overlay subscribe subscription signup signin login register social follow respond reply replies discussion "
+    "related recommended recommendations trending popular toolbar search copyright legal disclaimer hidden".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody post-content entry-content article-body article-content main-content post-body story-body".split())
 NEVER_ASIDE = frozenset("html body article main".split())
@@ -52,18 +55,34 @@ def _named(node: dom.Node) -> str:
     return f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
 
 
+def _is_hidden(node: dom.Node) -> bool:
+    return "hidden" in node.attributes or node.attributes.get("aria-hidden", "").lower() == "true"
+
+
+def _is_certain(node: dom.Node) -> bool:
+    """Hidden, or by its tag, role or a whole name not part of the article."""
+    if node.tag in ASIDE_TAGS - {"form"} or _is_hidden(node):
+        return True
+    if not node.attributes:
+        return False
+    if node.attributes.get("role", "").lower() in ASIDE_ROLES - {"form"} or re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I):
+        return True
+    return bool(ASIDE_WORDS & set(_named(node).lower().split()))
+
+
 def is_aside(node: dom.Node, inside_main: bool) -> bool:
     """By name: not part of the article."""
-    if node.tag in ASIDE_TAGS or "hidden" in node.attributes or node.attributes.get("aria-hidden", "").lower() == "true":
+    if node.tag == "form" or _is_hidden(node) or node.tag == "header" and not inside_main:
         return True
-    if node.tag == "header" and not inside_main:
-        return True
-    if node.tag in NEVER_ASIDE and not inside_main or not node.attributes:
+    if node.tag in NEVER_ASIDE and not inside_main:
         return False
-    if node.attributes.get("role", "").lower() in ASIDE_ROLES or re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I):
+    if _is_certain(node) or node.attributes.get("role", "").lower() == "form":
         return True
-    own = set(_WORDS.findall(_CAMEL.sub("-", _named(node)).lower())) & ASIDE_WORDS
-    return bool(own - {"header"} if inside_main else own)
+    return bool(node.attributes) and bool(ASIDE_WORDS & set(_WORDS.findall(_CAMEL.sub("-", _named(node)).lower())))
+
+
+def is_vague(node: dom.Node) -> bool:
+    return bool(node.attributes) and node.tag not in NEVER_ASIDE and bool(VAGUE_NAMES & set(_named(node).lower().split()))
 
 
 def is_main(node: dom.Node) -> bool:
@@ -79,25 +98,56 @@ def _key(*parts: object) -> int:
 
 
 def settle(root: dom.Node) -> list[dom.Node]:
-    """Drop what is aside by name; return the article's elements, or the root where none names itself so."""
+    """Drop what is aside by name; return the article's elements, or the root where none names itself so.
+
+    What holds an article is dropped only if it is certainly aside (articles among comments) and there is an article elsewhere.
+    Vague names count outside articles only, and never for all the text of a page.
+    """
+    nodes = list(_walk(root))
+    order = {id(n): i for i, n in enumerate(nodes)}
+    full, holds = set(), set()
+    for node in reversed(nodes):
+        if any(c.strip() if isinstance(c, str) else id(c) in full for c in node.children):
+            full.add(id(node))
+        if id(node) in full and is_main(node) or any(not isinstance(c, str) and id(c) in holds for c in node.children):
+            holds.add(id(node))
+    elsewhere, stack = False, [(root, False)]
+    while stack and not elsewhere:
+        node, inside = stack.pop()
+        inside = inside or is_main(node)
+        for child in node.children:
+            if isinstance(child, str):
+                elsewhere |= inside and bool(child.strip())
+            elif id(child) in full and (not _is_certain(child) or child.tag in NEVER_ASIDE and not inside and not _is_hidden(child)):
+                stack.append((child, inside))
     mains: list[dom.Node] = []
+    vague: list[dom.Node] = []
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         kept = []
         for child in node.children:
             if not isinstance(child, str):
-                if is_aside(child, inside):
+                held = id(child) in holds and not (elsewhere and _is_certain(child))
+                if is_aside(child, inside) and not held:
                     child = " " if child.tag not in dom.INLINE else ""
                 else:
                     own = is_main(child)
                     if own and not inside:
                         mains.append(child)
+                    elif not inside and id(child) not in holds and is_vague(child):
+                        vague.append(child)
                     stack.append((child, inside or own))
             kept.append(child)
         node.children = kept
     mains = [m for m in mains if "".join(_text(m)).strip()]
-    order = {id(n): i for i, n in enumerate(_walk(root))}
+    if vague and not mains:
+        inner = {id(n): n.children for n in vague}
+        for node in vague:
+            node.children = []
+        if not "".join(_text(root)).strip():
+            for node in vague:
+                node.children = inner[id(node)]
     return sorted(mains, key=lambda n: order[id(n)]) or [root]
 
 

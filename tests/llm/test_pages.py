@@ -133,3 +133,22 @@ def test_a_branch_with_something_of_its_own_stays(spark):
     rows = [(i, f"http://h.com/{i}", f"<body><div>{''.join(f'<p>item {k}</p>' for k in range(30))}<p>only {i}</p></div></body>") for i in range(50)]
     got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"only {r['page_id']}" for r in got)
+
+
+NAMED = [
+    ("<div class='content-with-sidebar'><article>a</article></div>", "a"), ("<div id='no-sidebar'><div class=x><p>a</p></div></div>", "a"),
+    ("<div class='page sidebar'><main>a<div class=sidebar>b</div></main></div>", "a b"), ("<div class='has-nav'><article>a</article><nav>n</nav></div>", "a"),
+    ("<form id=aspnetForm><div class=header>h</div><article>a<form>f</form></article></form>", "a"),
+    ("<article><p>a</p><section class='legal'>b</section><p class='notice'>c</p><p class='share'>no</p></article>", "a b c"),
+    ("<article>a</article><div class='comments'><article class=comment>no</article></div>", "a"), ("<div class='comments'><article>a</article></div>", "a"),
+    ("<main><p>a</p><div class='comments'><article class=comment>no</article></div></main>", "a"),
+    ("<aside><article>no</article></aside><main>a</main>", "a"), ("<div style='display:none'><article>a</article></div>", "a"),
+    ("<div class=sidebar>no</div><div class='related items'>no</div><p>a</p>", "a"), ("<div class='legal'><p>a</p></div>", "a"),
+    ("<article hidden>no</article><article>a</article>", "a"), ("<article hidden>a</article>", "a"),
+    ("<div class=sidebar><article> </article></div><p>a</p>", "a"), ("<div class='site-social-widget-area'><p>a</p></div>", "a"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), NAMED)
+def test_names_never_drop_the_article(source, want):
+    assert site_style.main_text(source, {}) == want
