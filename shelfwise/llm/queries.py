@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import code_search, mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules, vector_links
+from . import code_search, fill_middle, mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules, vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,26 @@ def op8_near_duplicates(spark, folder):
 @query("op9_main_text")
 def op9_main_text(spark, folder):
     return site_style.extract(table(spark, folder, "pages"))
+
+
+FILL_MIDDLE_SQL = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+cuts AS (
+  SELECT doc_id, text, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, least(a, b) AS i, greatest(a, b) AS j,
+    substring(text, 1, least(a, b)) AS p, substring(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m, substring(text, greatest(a, b) + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+@query("op11_fill_middle", FILL_MIDDLE_SQL)
+def op11_fill_middle(spark, folder):
+    done = fill_middle.fill_middle(table(spark, folder, "documents"), keep=["doc_id"])
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored, 256).alias("restored_sha256"))
