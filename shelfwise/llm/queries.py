@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import code_search, fill_middle, mixing, near_duplicates, packing, quality, site_style, token_counts, toxicity, training, url_rules, vector_links
+from . import code_search, fill_middle, mixing, near_duplicates, packing, quality, secret_scan, site_style, token_counts, toxicity, training, url_rules, vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,20 @@ def op11_fill_middle(spark, folder):
     restored = fill_middle.restore(F.col("output"), F.col("form"))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(restored, 256).alias("restored_sha256"))
+
+
+@query("op12_secrets")
+def op12_secrets(spark, folder):
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    rank = F.create_map(*(F.lit(x) for pair in zip(secret_scan.KINDS, range(3)) for x in pair))
+    both = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return found.select("doc_id", *(count(k) for k in secret_scan.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                        joined(both).alias("spans"), F.size("added").cast("long").alias("n_added"), "layers", "unopened")
