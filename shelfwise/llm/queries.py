@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import code_search, fill_middle, mixing, near_duplicates, packing, quality, secret_scan, site_style, token_counts, toxicity, training, url_rules, vector_links
+from . import code_search, fill_middle, mixing, near_duplicates, packing, periodic, quality, secret_scan, site_style, token_counts, toxicity, training, url_rules, vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,24 @@ def op12_secrets(spark, folder):
         s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return found.select("doc_id", *(count(k) for k in secret_scan.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
                         joined(both).alias("spans"), F.size("added").cast("long").alias("n_added"), "layers", "unopened")
+
+
+def with_planted_repeats(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): of about a tenth of the ids, chosen by crc32, the words from a drawn place on repeat with a drawn period; a null id is left alone."""
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = documents.select("doc_id", "text", draw.alias("h"), F.when(draw % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    placed = found.select("doc_id", "text", "w", F.size("w").alias("n"), F.expr("h div 10").alias("g"))
+    placed = placed.select("*", (F.col("g") % F.greatest("n", F.lit(1))).cast("int").alias("a"))
+    placed = placed.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    repeated = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(a, n - 1), i -> w[a + (i - a) % p])), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, folder):
+    found = periodic.periodic_runs(with_planted_repeats(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
