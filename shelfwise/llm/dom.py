@@ -28,12 +28,11 @@ BORDER_P = frozenset("table td th caption button object template html body div a
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "path", "weight")
+    __slots__ = ("tag", "attributes", "children", "parent", "weight")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
-        self.path = 0
         self.weight = 1.0
 
 

@@ -1,19 +1,26 @@
 """Main text of pages by a site style tree.
 
-The DOMs of one host are merged into a tree of element paths. A path that looks the same wherever it occurs, in its children
-(presentation) or in its text (content), tells little: its entropy-based importance is low, and the branches of a page that are
-made of nothing else are removed. What elements are called is known before: navigation, headers, footers, asides, forms, adverts,
-notices and comments are unimportant, and where elements name themselves the article, the text is theirs. Repeated branches go inside
-them too; only an article of which nothing would be left is a copy, not boilerplate, and stays whole.
+The whole DOMs of one host are merged into a tree of element paths. A path that looks the same wherever it occurs, in its children
+(presentation) or in what its text is made of (content: the whole text, its words, link targets and attributes), tells little: its entropy-based
+importance is low, and the branches of a page that are made of nothing else are removed, inside articles too; only an article of which nothing
+would be left is a copy, not boilerplate, and stays whole.
+
+What elements are called is known before and enters as a prior. Navigation, headers, footers, asides, forms, adverts, notices and comments
+are of no importance, whatever the tree says; where elements name themselves the article, only whole texts that repeat count
+against it, not words. Names never empty a page: an element around all of its text isn't judged by its name, and where nothing would be
+left, names count for nothing, but for elements that the markup language itself sets apart.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +32,12 @@ from .url_rules import host_of
 MIN_PAGES, MIN_IMPORTANCE = 5, 0.2
 #: Weight of a node's own presentation against its children's, as a power of its number of styles.
 DAMPING = 0.9
-#: Unimportant paths up to which they are broadcast; beyond, pages are joined with their host's by a shuffle, hot hosts in parts.
-BROADCAST_PATHS, PARTS = 500_000, 64
+#: Content that stands on fewer pages of a path than this power of their number is the page's own: its entropy counts as 0.
+OWN_POWER = 0.5
+#: A leaf's words, links and attributes count against it if it has so many: few may repeat by chance.
+LEAST_EVIDENCE = 4
+#: Entries of the style tree up to which they go to every task as two arrays (12 bytes each); beyond, pages are sorted beside their host's.
+BROADCAST_ENTRIES, PAGES_PER_PART = 2_000_000, 20_000
 
 #: Fixed words: what elements that are not the article, and those that are, call themselves.
 ASIDE_TAGS = frozenset(
@@ -34,22 +45,24 @@ ASIDE_TAGS = frozenset(
     "audio video map datalist".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Telling as a part of a name too (post-comments, ad-slot).
-ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsored nav navbar navigation menubar breadcrumb breadcrumbs colophon "
-    "footer gdpr newsletter paywall share sharing comment comments commentlist disqus pagination pager searchbox".split())
-#: Telling only as a whole name, outside an article: in others, and of layouts, they name much else (content-with-sidebar, section.legal).
+#: Whole names that are telling inside articles too; parts of names aren't (ad-free, comments-open, share-price).
+ASIDE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox ad-box adslot ad-slot ad-unit ad-banner ad-container ad-wrapper advert-box sponsored nav navbar "
+    "nav-bar navigation main-nav site-nav menubar breadcrumb breadcrumbs colophon footer site-footer page-footer gdpr cookie-banner cookie-notice cookie-consent "
+    "newsletter newsletter-signup paywall share sharing social-share share-buttons share-bar comment comments commentlist comment-list comment-section "
+    "post-comments reader-comments disqus disqus_thread pagination pager searchbox search-box".split())
+#: Telling outside an article only: in articles, and of layouts, they name much else (section.legal, p.notice).
 VAGUE_NAMES = frozenset(
     "sponsor promo promoted promotion banner menu crumbs header masthead topbar sidebar aside rail widget widgets cookie cookies consent privacy "
     "notice notices alert popup modal overlay subscribe subscription signup signin login register social follow respond reply replies discussion "
-    "related recommended recommendations trending popular toolbar search copyright legal disclaimer hidden".split())
+    "related related-posts related-articles recommended recommendations trending popular toolbar search copyright legal disclaimer hidden site-header "
+    "page-header side-bar top-bar".split())
+#: What the markup language itself sets apart: never text of a page, whatever else there is.
+APART_TAGS = ASIDE_TAGS - frozenset("aside form".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody post-content entry-content article-body article-content main-content post-body story-body".split())
 NEVER_ASIDE = frozenset("html body article main".split())
 
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-
 
 def _named(node: dom.Node) -> str:
     return f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
@@ -67,7 +80,7 @@ def _is_certain(node: dom.Node) -> bool:
         return False
     if node.attributes.get("role", "").lower() in ASIDE_ROLES - {"form"} or re.search(r"display\s*:\s*none", node.attributes.get("style", ""), re.I):
         return True
-    return bool(ASIDE_WORDS & set(_named(node).lower().split()))
+    return bool(ASIDE_NAMES & set(_named(node).lower().split()))
 
 
 def is_aside(node: dom.Node, inside_main: bool) -> bool:
@@ -76,9 +89,7 @@ def is_aside(node: dom.Node, inside_main: bool) -> bool:
         return True
     if node.tag in NEVER_ASIDE and not inside_main:
         return False
-    if _is_certain(node) or node.attributes.get("role", "").lower() == "form":
-        return True
-    return bool(node.attributes) and bool(ASIDE_WORDS & set(_WORDS.findall(_CAMEL.sub("-", _named(node)).lower())))
+    return _is_certain(node) or node.attributes.get("role", "").lower() == "form"
 
 
 def is_vague(node: dom.Node) -> bool:
@@ -93,20 +104,32 @@ def is_main(node: dom.Node) -> bool:
     return node.attributes.get("itemprop", "").lower() == "articlebody" or bool(MAIN_WORDS & set(_named(node).lower().split()))
 
 
-def _key(*parts: object) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
+def drop_apart(root: dom.Node) -> None:
+    """Drop what the markup language sets apart, and what is hidden."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c if isinstance(c, str) or c.tag not in APART_TAGS and not _is_hidden(c) else _gap(c) for c in node.children]
+        stack.extend(c for c in node.children if not isinstance(c, str))
+
+
+def _gap(node: dom.Node) -> str:
+    return " " if node.tag not in dom.INLINE else ""
 
 
 def settle(root: dom.Node) -> list[dom.Node]:
     """Drop what is aside by name; return the article's elements, or the root where none names itself so.
 
     What holds an article is dropped only if it is certainly aside (articles among comments) and there is an article elsewhere.
-    Vague names count outside articles only, and never for all the text of a page.
+    What holds all text of a page, beside what drop_apart would drop, stays. Vague names count outside articles only, and never for
+    all the text of a page.
     """
     nodes = list(_walk(root))
     order = {id(n): i for i, n in enumerate(nodes)}
-    full, holds = set(), set()
+    full, holds, size = set(), set(), {}
     for node in reversed(nodes):
+        apart = node.tag in APART_TAGS or _is_hidden(node)
+        size[id(node)] = 0 if apart else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in node.children)
         if any(c.strip() if isinstance(c, str) else id(c) in full for c in node.children):
             full.add(id(node))
         if id(node) in full and is_main(node) or any(not isinstance(c, str) and id(c) in holds for c in node.children):
@@ -128,14 +151,14 @@ def settle(root: dom.Node) -> list[dom.Node]:
         kept = []
         for child in node.children:
             if not isinstance(child, str):
-                held = id(child) in holds and not (elsewhere and _is_certain(child))
+                held = id(child) in holds and not (elsewhere and _is_certain(child)) or size[id(child)] == size[id(root)] > 0
                 if is_aside(child, inside) and not held:
-                    child = " " if child.tag not in dom.INLINE else ""
+                    child = _gap(child)
                 else:
                     own = is_main(child)
                     if own and not inside:
                         mains.append(child)
-                    elif not inside and id(child) not in holds and is_vague(child):
+                    elif not inside and not held and is_vague(child):
                         vague.append(child)
                     stack.append((child, inside or own))
             kept.append(child)
@@ -207,79 +230,137 @@ def enclose(root: dom.Node) -> None:
         node.children = kept
 
 
-def style_nodes(root: dom.Node) -> Iterator[tuple[dom.Node, int, int, bool]]:
-    """(element, path, feature, is text): a leaf's feature is its text, another element's the sequence of its children's styles."""
+PATH, STYLE, CONTENT = 0, 1, 2
+_TEXT, _WORD, _LINK, _NAME, _LOOK = (n * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for n in range(1, 6))
+
+
+def _hash(text: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
+@dataclasses.dataclass
+class StyleNode:
+    """An element of a page as the style tree sees it: keys are hashes of its path (host and styles from the root) and a feature."""
+
+    node: dom.Node
+    path: int
+    text: int | None    # key of a leaf's whole text
+    finer: list[int]    # keys of a leaf's words, link targets and attributes, each once
+    style: int | None   # key of another element's sequence of children's styles
+
+
+def style_nodes(root: dom.Node, host: str | None) -> Iterator[StyleNode]:
+    """The elements of an enclosed page from the root down; leaves are branches of text and inline elements alone, empty ones are left out."""
     leaves = _leaves(root)
-    stack = [(root, 0)]
+    stack = [(root, _hash(host or "", 0))]
     while stack:
         node, path = stack.pop()
         if id(node) in leaves:
             text = clean(_text(node))
             if text:
-                yield node, path, _key("text", path, text), True
+                finer = {_hash(w, path ^ _WORD) for w in text.split()}
+                for inner in _walk(node):
+                    if inner.attributes:
+                        finer.update(_hash(v, path ^ _LINK) for k, v in inner.attributes.items() if k in ("href", "src", "alt", "title"))
+                        finer.update(_hash(w, path ^ _NAME) for w in _named(inner).split())
+                yield StyleNode(node, path, _hash(text, path ^ _TEXT), sorted(finer), None)
             continue
         below = [c for c in node.children if not isinstance(c, str)]
         styles = [f"{c.tag} {_named(c).strip()}" for c in below]
-        yield node, path, _key("style", path, *styles), False
-        stack.extend((c, _key(path, s)) for c, s in zip(below, styles))
+        yield StyleNode(node, path, None, [], _hash("\x1f".join(styles), path ^ _LOOK))
+        stack.extend((c, _hash(s, path)) for c, s in zip(below, styles))
+
+
+def _page(source: str | None) -> dom.Node:
+    root = dom.parse(source or "")
+    enclose(root)
+    return root
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (path, feature) of each page, and each of its paths once with is_text null."""
+    """How many pages of a slice have each (path, kind, key); a path's own rows, its number of pages, have the key 0."""
     for batch in batches:
         for part in words.slices(batch, "html"):
-            rows = []
+            count: dict[tuple[int, int, int], int] = {}
             for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                root = dom.parse(source or "")
-                settle(root)
-                enclose(root)
-                own = {(host, path, feature, text) for _, path, feature, text in style_nodes(root)}
-                rows.extend(own | {(host, path, 0, None) for _, path, _, _ in own})
-            columns = list(zip(*rows)) or [[], [], [], []]
+                own = set()
+                for at in style_nodes(_page(source), host):
+                    own.add((at.path, PATH, 0))
+                    if at.style is not None:
+                        own.add((at.path, STYLE, at.style))
+                    else:
+                        own.add((at.path, CONTENT, at.text))
+                        own.update((at.path, CONTENT, k) for k in at.finer)
+                for key in own:
+                    count[key] = count.get(key, 0) + 1
+            columns = [np.array([k[i] for k in count], np.uint64).view(np.int64) for i in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())],
-                ["host", "path", "feature", "is_text"])
+                [pa.array(columns[0]), pa.array([k[1] for k in count], pa.int8()), pa.array(columns[1]), pa.array(list(count.values()), pa.int64())],
+                ["path", "kind", "key", "n"])
 
 
-def unimportant(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """(host, key, importance, styles): the style tree's paths and texts of little importance.
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(key, path, value): the entries of the style tree that make branches less important; pages: host, html.
 
-    Presentation of a path: the entropy of its styles over the pages that have it, to base their number. A text of a path: one minus
-    the entropy of its spread, so 1 if one page has it, 0 if all pages with the path have. All pages of a host take part. Counts are
-    summed per page first, so a hot host is no one's group; a host without unimportant texts has no rows, as nothing of its pages can go.
+    For content, value is the entropy of its spread over the pages that have its path, to base their number: log n / log m, so 1 where
+    all m pages have it and 0 where one has. Content on fewer than m ** OWN_POWER pages is the page's own and has no entry. For a
+    path's presentation, value is its importance, the entropy of its styles to base m, less its number of styles: 1 style and importance 0 is
+    -1. All pages of a host take part; they are counted per slice first, so a hot host is no one's group, and what one page has alone goes
+    no further than the first shuffle.
     """
-    seen = pages.mapInArrow(_features, "host string, path long, feature long, is_text boolean")
-    each = seen.groupBy("host", "path", "is_text", "feature").agg(F.count(F.lit(1)).alias("n"))
-    each = cut(each)
-    paths = each.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("is_text").isNull(), F.col("n"))).alias("m"), F.sum(F.when(~F.col("is_text"), F.col("n"))).alias("styled"),
-        F.sum(F.when(~F.col("is_text"), F.col("n") * F.log("n"))).alias("nlogn"), F.sum((~F.col("is_text")).cast("int")).alias("styles"))
-    paths = paths.where(F.col("m") >= min_pages)
-    # importance under min_importance means n > m ** (1 - min_importance), and m is min_pages at least
-    repeated = each.where(F.col("is_text") & (F.col("n") > 1) & (F.col("n") > min_pages ** (1 - min_importance) - 1e-6))
-    texts = repeated.select("host", "path", "feature", "n").join(paths.select("host", "path", "m"), ["host", "path"]).select(
-        "host", F.col("feature").alias("key"), (1 - F.log("n") / F.log("m")).alias("importance"), F.lit(0).alias("styles"))
-    texts = cut(texts.where(F.col("importance") < min_importance))
-    shape = paths.where("styled > 0").join(texts.select("host").distinct(), "host", "left_semi").select(
-        "host", F.col("path").alias("key"),
-        ((F.log("styled") - F.col("nlogn") / F.col("styled")) / F.log(F.greatest("m", "styled"))).alias("importance"),
-        F.col("styles").cast("int").alias("styles"))
-    return shape.where(F.col("importance") < min_importance).unionByName(texts)
-
-
-def importance(root: dom.Node, known: dict[int, tuple[float, int]], damping: float = DAMPING) -> None:
-    """Set each element's composite importance: a leaf's is its text's, another's weighs its presentation and its children's mean."""
-    nodes = list(style_nodes(root))
-    for node, path, feature, text in reversed(nodes):
-        if text:
-            node.weight = known.get(feature, (1.0, 0))[0]
+    seen = pages.mapInArrow(_features, "path long, kind byte, key long, n long")
+    each = seen.groupBy("path", "kind", "key").agg(F.sum("n").alias("n"))
+    each = cut(each.where((F.col("kind") != CONTENT) | (F.col("n") >= max(2, min_pages ** OWN_POWER))))
+    paths = each.where(F.col("kind") == PATH).select("path", F.col("n").alias("m")).where(F.col("m") >= min_pages)
+    content = each.where(F.col("kind") == CONTENT).join(paths, "path").where(F.col("n") >= F.pow("m", F.lit(OWN_POWER)))
+    content = content.select("key", "path", (F.log("n") / F.log("m")).alias("value"))
+    styled = each.where(F.col("kind") == STYLE).join(paths, "path").groupBy("path", "m").agg(
+        F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count(F.lit(1)).alias("styles"))
+    spread = (F.log("total") - F.col("nlogn") / F.col("total")) / F.log(F.greatest("m", "total"))
+    look = styled.select(F.col("path").alias("key"), "path", (spread - F.col("styles")).alias("value"))
+    return content.unionByName(look)
+
+
+class Known:
+    """Entries of the style tree, looked up many at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, NaN for unknown ones."""
+        if not len(self.keys) or not len(keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
+
+NOTHING_KNOWN = Known(np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def importance(root: dom.Node, known: Known, host: str | None, inside_main: set[int], damping: float = DAMPING) -> None:
+    """Set each element's composite importance.
+
+    A leaf's is what its whole text leaves, or the mean of what its words, links and attributes leave, if there are LEAST_EVIDENCE of them, whichever
+    is less; inside what names itself the article (ids of elements) the whole text alone. Another element's weighs its presentation and its children's mean.
+    """
+    nodes = list(style_nodes(root, host))
+    keys = [k for at in nodes for k in ((at.text, *at.finer) if at.style is None else (at.path,))]
+    values = known.of(np.array(keys, np.uint64).view(np.int64))
+    ends = np.cumsum([1 + len(at.finer) if at.style is None else 1 for at in nodes])
+    for at, end in zip(reversed(nodes), reversed(ends.tolist())):
+        own = values[end - 1 - len(at.finer):end] if at.style is None else values[end - 1:end]
+        if at.style is None:
+            left = 1 - np.nan_to_num(own)
+            at.node.weight = float(left[0]) if id(at.node) in inside_main or len(left) <= LEAST_EVIDENCE else float(min(left[0], left[1:].mean()))
             continue
-        own, styles = known.get(path, (1.0, 1))
-        below = [c.weight for c in node.children if not isinstance(c, str)]
-        loose = any(isinstance(c, str) and c.strip() for c in node.children)
-        share = damping ** max(styles, 1)
+        look, styles = (1.0, 1) if np.isnan(own[0]) else (float(own[0]) + round(-float(own[0]) + 0.5), max(round(-float(own[0]) + 0.5), 1))
+        below = [c.weight for c in at.node.children if not isinstance(c, str)]
+        loose = any(isinstance(c, str) and c.strip() for c in at.node.children)
+        share = damping ** styles
         mean = 1.0 if loose else sum(below) / len(below) if below else 1.0
-        node.weight = (1 - share) * own + share * mean
+        at.node.weight = (1 - share) * look + share * mean
 
 
 def prune(root: dom.Node, min_importance: float) -> None:
@@ -295,13 +376,23 @@ def prune(root: dom.Node, min_importance: float) -> None:
             stays.add(id(node))
 
 
-def main_text(source: str | None, known: dict[int, tuple[float, int]], min_importance: float = MIN_IMPORTANCE) -> str:
-    root = dom.parse(source or "")
-    mains = settle(root)
+def main_text(source: str | None, known: Known = NOTHING_KNOWN, host: str | None = None, min_importance: float = MIN_IMPORTANCE,
+              names: bool = True) -> str:
+    """The main text of one page. Without `names` the style tree alone decides, and the whole page is the article."""
+    root = _page(source)
+    mains = [n for n in _walk(root) if is_main(n)] if names else []
+    importance(root, known, host, {id(n) for main in mains for n in _walk(main)})
+    if names:
+        mains = settle(root)
+        if not any(clean(_text(m)) for m in mains):
+            root = _page(source)
+            importance(root, known, host, set())
+            drop_apart(root)
+            mains = [root]
+    else:
+        mains = [root]
     texts = [clean(_text(m)) for m in mains]
-    if known:
-        enclose(root)
-        importance(root, known)
+    if len(known.keys):
         prune(root, min_importance)
         left = [clean(_text(m)) for m in mains]
         if mains == [root] or any(left):
@@ -309,36 +400,81 @@ def main_text(source: str | None, known: dict[int, tuple[float, int]], min_impor
     return " ".join(t for t in texts if t)
 
 
-def _extract(batches: Iterator[pa.RecordBatch], min_importance: float) -> Iterator[pa.RecordBatch]:
+def _texts(part: pa.RecordBatch, known: Known, min_importance: float, names: bool) -> pa.RecordBatch:
+    texts = [main_text(source, known, host, min_importance, names) for source, host in zip(part.column("html").to_pylist(), part.column("host").to_pylist())]
+    return pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+def _extract(batches: Iterator[pa.RecordBatch], entries: Broadcast, min_importance: float, names: bool) -> Iterator[pa.RecordBatch]:
+    known = Known(*entries.value)
     for batch in batches:
         for part in words.slices(batch, "html"):
-            texts, cache = [], {}
-            for source, host, low in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), part.column("low")):
-                if host not in cache:
-                    cache[host] = {r["key"]: (r["importance"], r["styles"]) for r in low.as_py() or ()}
-                texts.append(main_text(source, cache[host], min_importance))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            yield _texts(part, known, min_importance, names)
+
+
+def _extract_sorted(batches: Iterator[pa.RecordBatch], min_importance: float, names: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by (host, part): first the entries of the host's tree, then its pages."""
+    at, entries, known = None, [], None
+    for batch in batches:
+        for part in words.slices(batch, "html"):
+            hosts, parts = part.column("host").to_pylist(), part.column("part").to_pylist()
+            keys, values = part.column("key"), part.column("value")
+            is_page = np.asarray(part.column("is_page"))
+            borders = [0, *(i for i in range(1, len(hosts)) if (hosts[i], parts[i]) != (hosts[i - 1], parts[i - 1]) or is_page[i] != is_page[i - 1]), len(hosts)]
+            for start, stop in zip(borders, borders[1:]):
+                if stop <= start:
+                    continue
+                if (hosts[start], parts[start]) != at:
+                    at, entries, known = (hosts[start], parts[start]), [], None
+                if not is_page[start]:
+                    entries.append((keys.slice(start, stop - start).to_numpy(), values.slice(start, stop - start).to_numpy()))
+                    continue
+                if known is None:
+                    known = Known(*(np.concatenate(c) for c in zip(*entries))) if entries else NOTHING_KNOWN
+                yield _texts(part.slice(start, stop - start), known, min_importance, names)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", min_pages: int = MIN_PAGES,
-            min_importance: float = MIN_IMPORTANCE, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
+            min_importance: float = MIN_IMPORTANCE, broadcast_entries: int = BROADCAST_ENTRIES, names: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main text, empty where there is none.
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by one space in page order. A null
     or empty html has an empty text; urls without a host share one style tree; a host with fewer than min_pages pages of a path has
     nothing removed for repetition. Repeated rows are extracted each, other columns ignored, an empty table gives no rows.
-    The pages are scanned twice, with no more than (host, path, feature) counts shuffled; a task holds a slice of a batch of pages.
+    The pages are scanned twice; counts of (path, feature) are shuffled, pages only where the style tree has more than broadcast_entries
+    entries: then they are sorted by host beside its entries, large hosts in parts. A task holds a slice of a batch of pages.
     """
     plain = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"),
                          host_of(F.col(url_column)).alias("host"))
-    low = cut(unimportant(plain.select("host", "html"), min_pages, min_importance))
-    lists = low.groupBy("host").agg(F.collect_list(F.struct("key", "importance", "styles")).alias("low"))
-    if low.count() <= broadcast_paths:
-        joined = plain.join(F.broadcast(lists), "host", "left")
+    tree = cut(style_tree(plain.select("host", "html"), min_pages))
+    kinds = "page_id long, url string, text string"
+    if tree.count() <= broadcast_entries:
+        table = tree.select("key", F.col("value").cast("float")).toArrow()
+        entries = pages.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["value"].to_numpy()))
+        texts = words.small_batches(plain).mapInArrow(lambda b: _extract(b, entries, min_importance, names), kinds)
     else:
-        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
-        parts = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        joined = plain.withColumn("part", part).join(parts, ["host", "part"], "left").drop("part")
-    texts = joined.select("page_id", "url", "html", "host", "low").mapInArrow(
-        lambda b: _extract(b, min_importance), "page_id long, url string, text string")
+        texts = _beside_entries(words.small_batches(plain), tree).mapInArrow(lambda b: _extract_sorted(b, min_importance, names), kinds)
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _beside_entries(plain: DataFrame, tree: DataFrame) -> DataFrame:
+    """Pages sorted by (host, part) after the entries of their host's tree."""
+    owners = plain.select("host", "html").mapInArrow(_paths, "host string, path long").distinct()
+    sizes = plain.groupBy("host").agg((F.floor(F.count(F.lit(1)) / PAGES_PER_PART) + 1).cast("int").alias("parts"))
+    own = tree.select("path", "key", F.col("value").cast("float").alias("value")).join(owners, "path").join(sizes, "host")
+    nothing = {"page_id": "long", "url": "string", "html": "string"}
+    entries = own.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_page"), "key", "value",
+                         *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    dealt = plain.join(sizes, "host").select(
+        "host", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_page"),
+        F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("value"), *nothing)
+    return entries.unionByName(dealt).repartition("host", "part").sortWithinPartitions("host", "part", "is_page")
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (host, path) of each slice's pages, once."""
+    for batch in batches:
+        for part in words.slices(batch, "html"):
+            own = {(host, at.path) for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()) for at in style_nodes(_page(source), host)}
+            hosts, paths = zip(*own) if own else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(paths, np.uint64).view(np.int64))], ["host", "path"])

@@ -1,5 +1,7 @@
+import math
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,14 +83,14 @@ def test_pages(spark):
     for source, want in PAGES:
         if source and "<<>>" in source:
             continue
-        assert site_style.main_text(source, {}) == want, source
+        assert site_style.main_text(source) == want, source
     rows = [(i, "http://h.com/", s) for i, (s, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>"), (0, "http://h.com/", PAGES[0][0])]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("host", "text", "path", "low")})
     got = site_style.extract(frame).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert site_style.extract(frame.where("false")).count() == 0
     deep = "<div>" * 30000 + "x" + "</div>" * 30000 + "<p>" + "y " * 200000
-    assert len(site_style.main_text(deep, {})) == 1 + 400000
+    assert len(site_style.main_text(deep)) == 1 + 400000
 
 
 @pytest.mark.parametrize("broadcast", [0, 1000])
@@ -99,7 +101,7 @@ def test_repeated_branches_of_a_site_go(spark, broadcast):
 
     rows = [page("big.com", i, "Sign up today" if i % 10 else f"own {i}") for i in range(60)] + [page("small.com", i, "Sign up today") for i in range(3)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
-    got = {r["url"]: r["text"] for r in site_style.extract(frame, broadcast_paths=broadcast).collect()}
+    got = {r["url"]: r["text"] for r in site_style.extract(frame, broadcast_entries=broadcast).collect()}
     assert got["http://big.com/1"] == "story big.com number 1 more of 1" and got["http://big.com/10"].startswith("own 10 story")
     assert got["http://small.com/1"] == "Sign up today story small.com number 1 more of 1"
 
@@ -107,9 +109,53 @@ def test_repeated_branches_of_a_site_go(spark, broadcast):
 def test_importance_is_entropy(spark):
     rows = [(f"http://h.com/{i}", f"<body><p>{'same' if i < 8 else i}</p></body>") for i in range(10)]
     frame = spark.createDataFrame([(u, h, "h.com") for u, h in rows], "url string, html string, host string")
-    import math
-    low = site_style.unimportant(frame.select("host", "html"), 5, 0.2).where("styles = 0").collect()
-    assert [round(r["importance"], 6) for r in low] == [round(1 - math.log(8) / math.log(10), 6)]
+    content = [r["value"] for r in site_style.style_tree(frame.select("host", "html"), 5).where("key <> path").collect()]
+    assert [round(v, 6) for v in content] == [round(math.log(8) / math.log(10), 6)] * 2  # the whole text, and its word
+
+
+def test_entries_of_a_whole_host_equal_counting(spark):
+    """Every page of the given table's largest host: entropies from sets of pages kept in plain dicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(url_rules.host_of(F.col("url")).alias("host"), "html")
+    host = pages.groupBy("host").count().orderBy(F.desc("count"), "host").first()["host"]
+    own = pages.where(F.col("host") == host)
+    seen, looks = {}, {}
+    for i, r in enumerate(own.collect()):
+        for at in site_style.style_nodes(site_style._page(r["html"]), host):
+            seen.setdefault((at.path, None), set()).add(i)
+            if at.style is not None:
+                looks.setdefault(at.path, {}).setdefault(at.style, set()).add(i)
+            else:
+                for key in (at.text, *at.finer):
+                    seen.setdefault((at.path, key), set()).add(i)
+    signed = lambda k: k - (1 << 64) if k >= 1 << 63 else k
+    want = {}
+    for (path, key), pages_with in seen.items():
+        m = len(seen[path, None])
+        if key is not None and m >= 5 and len(pages_with) > 1 and len(pages_with) >= m ** 0.5:
+            want[signed(path), signed(key)] = math.log(len(pages_with)) / math.log(m)
+    for path, styles in looks.items():
+        m, n = len(seen[path, None]), [len(s) for s in styles.values()]
+        if m >= 5:
+            want[signed(path), signed(path)] = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(max(m, sum(n))) - len(n)
+    got = {(r["path"], r["key"]): r["value"] for r in site_style.style_tree(own).collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_words_and_links_of_repeated_blocks(spark):
+    """Without names the tree finds blocks whose words or links repeat, though no two texts are alike; in an article, words alone remove nothing."""
+    draw = np.random.default_rng(3)
+    def page(i):
+        menu = " ".join(draw.permutation(["home", "news", "sport", "culture", "about", "contact"]))
+        story = " ".join(f"w{draw.integers(1e6)}" for _ in range(30))
+        return f"<body><div class=a>{menu}</div><div class=b><a href=/x>{menu.split()[0]}</a> <a href=/y>{menu.split()[1]}</a></div><div class=c><p>{story}</p></div></body>", story
+
+    made = [page(i) for i in range(60)]
+    frame = spark.createDataFrame([(i, f"http://h.com/{i}", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    for names in (False, True):
+        got = {r["page_id"]: r["text"] for r in site_style.extract(frame, names=names).collect()}
+        assert all(got[i].endswith(story) and "culture" not in got[i] for i, (_, story) in enumerate(made))
+    inside = frame.withColumn("html", F.replace(F.replace("html", F.lit("<body>"), F.lit("<body><article>")), F.lit("</body>"), F.lit("</article></body>")))
+    assert all(len(r["text"].split()) == 38 for r in site_style.extract(inside).collect())
 
 
 def test_repeated_branches_inside_articles_go(spark):
@@ -146,9 +192,13 @@ NAMED = [
     ("<div class=sidebar>no</div><div class='related items'>no</div><p>a</p>", "a"), ("<div class='legal'><p>a</p></div>", "a"),
     ("<article hidden>no</article><article>a</article>", "a"), ("<article hidden>a</article>", "a"),
     ("<div class=sidebar><article> </article></div><p>a</p>", "a"), ("<div class='site-social-widget-area'><p>a</p></div>", "a"),
+    ("<form id='aspnetForm'><p>a</p></form>", "a"), ("<div class='page ad-free'><p>a</p></div>", "a"), ("<div class='post comments-open'><p>a</p></div>", "a"),
+    ("<div class='layout no-nav'><p>a</p></div>", "a"), ("<article><p class='share-price'>a</p><div class='comment-by-author'>b</div></article>", "a b"),
+    ("<form><nav>n</nav><div class=ad>x</div><div><p>a</p></div><footer>f</footer></form>", "a"), ("<div class=comments><p>a</p></div>", "a"), ("<nav>n</nav>", ""),
+    ("<div class='comments'>a</div><footer>f</footer>", "a"), ("<div class=share>a</div><div class=ad>b</div>", "a b"),
 ]
 
 
 @pytest.mark.parametrize(("source", "want"), NAMED)
 def test_names_never_drop_the_article(source, want):
-    assert site_style.main_text(source, {}) == want
+    assert site_style.main_text(source) == want
