@@ -93,17 +93,26 @@ def nearest_codes(frame: DataFrame, asks: Column, id_column: str = "vec_id", vec
                   tile: int = TILE) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k rows nearest to each row where `asks` holds, by Hamming distance of sign codes, then id.
 
-    A row isn't its own neighbour. Rows with a null id, or with a null, empty or non-finite vector, or one of another length than the
-    commonest, neither ask nor are found; a table of fewer rows than k + 1 gives what there is. Rows of one id are one row if their codes
-    agree, else several. Equal codes are searched once; of each, the k + 1 smallest ids can matter and are kept. All rows are
-    dealt by segment and key, queries to the keys within the radius that is searched: a key's rows are compared in tiles.
+    A row isn't its own neighbour. Rows with a null id, or with a null, empty or non-finite vector, neither ask nor are found; a query is
+    compared with the vectors of its own length, each length that occurs has an index of its own; where fewer than k + 1 rows have it, there are
+    fewer neighbours. Rows of one id are one row if their codes agree, else several. Equal codes are searched once; of each, the k + 1
+    smallest ids can matter and are kept. All rows are dealt by segment and key, queries to the keys within the radius that is searched:
+    a key's rows are compared in tiles. An empty table, or one without queries, gives no rows.
     """
     rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"),
                         F.coalesce(asks, F.lit(False)).alias("asks")).where("id is not null")
     rows = rows.where(vectors.usable(F.col("vector")))
-    length = vectors.commonest_length(rows, "vector")
+    found = None
+    for length in vectors.lengths(rows.where("asks"), "vector"):
+        coded = cut(rows.where(F.size("vector") == length).select("id", "asks", sign_words(F.col("vector"), length).alias("code")).distinct())
+        own = _nearest_of_length(coded, length, k, tile)
+        found = own if found is None else found.unionByName(own)
+    return found if found is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, neighbour_id long, distance int")
+
+
+def _nearest_of_length(coded: DataFrame, length: int, k: int, tile: int) -> DataFrame:
+    """The k nearest among the codes (id, asks, code) of one length."""
     segments = max(1, -(-length // SEGMENT_BITS))
-    coded = cut(rows.where(F.size("vector") == length).select("id", "asks", sign_words(F.col("vector"), length).alias("code")).distinct())
     salted = _lowest(coded.select("id", "code").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), ["code", "salt"], k + 1)
     holders = cut(_lowest(salted.drop("salt"), ["code"], k + 1))
     lists = holders.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))

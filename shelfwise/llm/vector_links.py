@@ -172,21 +172,30 @@ def near_vectors(frame: DataFrame, id_column: str = "vec_id", vector_column: str
                  recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs of vectors found with at least `threshold` cosine similarity.
 
-    Cosines are computed in double precision. Null and empty vectors, zeros, and vectors with null or non-finite components or of another
-    length than the commonest link with nothing. Equal vectors are compared once and count as often as there are; rows of one id and vector
-    are so many links of each other. A row with a null id has null results but still counts for others. An empty table gives no rows.
-    Cells hold `MEMBERS` vectors on average however many there are; large cells are compared in tiles, and no pair leaves its task.
+    Cosines are computed in double precision. Null and empty vectors, zeros, and vectors with null or non-finite components link with
+    nothing; vectors of different lengths don't link, each length that occurs has an index of its own. Equal vectors are compared once and
+    count as often as there are; rows of one id and vector are so many links of each other. A row with a null id has null results but still
+    counts for others. An empty table gives no rows. Cells hold `MEMBERS` vectors on average up to `MEMBERS * MOST_CENTRES ** 2` of
+    them, and more beyond; large cells are compared in tiles, and no pair leaves its task.
     """
     rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     good = vectors.usable(F.col("vector")) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(good, F.col("vector")))
-    length = vectors.commonest_length(rows.where("vector is not null"), "vector")
-    rows = rows.withColumn("vector", F.when(F.size("vector") == length, F.col("vector")))
     distinct = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    total = distinct.count()
-    if not total:
+    classes = None
+    for length in vectors.lengths(distinct, "vector"):
+        own = _classes(distinct.where(F.size("vector") == length), length, threshold, recall, tile)
+        classes = own if classes is None else classes.unionByName(own)
+    if classes is None:
         return rows.select(F.col("id").alias(id_column), *_results(F.lit(0), F.lit(None)))
+    out = rows.select("id", F.when(F.col("vector").isNotNull(), _hashes("vector")).alias("hashes")).join(classes, "hashes", "left")
+    return out.select(F.col("id").alias(id_column), *_results(F.col("n"), F.col("c")))
+
+
+def _classes(distinct: DataFrame, length: int, threshold: float, recall: float, tile: int) -> DataFrame:
+    """(hashes, n, c): links and component of every distinct vector of one length."""
+    total = distinct.count()
     place = F.pmod(F.xxhash64("vector"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / total))
     chosen = distinct.where(place).select("vector").sort("vector").collect() or distinct.select("vector").limit(1).collect()
     grid = fit(vectors.unit(np.array([r["vector"] for r in chosen])), total, threshold, recall)
@@ -205,10 +214,8 @@ def near_vectors(frame: DataFrame, id_column: str = "vec_id", vector_column: str
     named = distinct.select("node", "id").join(settled, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named = settled.join(named, "component").select("node", "component_id")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    classes = distinct.join(counts, "node", "left").join(named, "node", "left").select(
+    return distinct.join(counts, "node", "left").join(named, "node", "left").select(
         _hashes("vector").alias("hashes"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "id").alias("c"))
-    out = rows.select("id", F.when(F.col("vector").isNotNull(), _hashes("vector")).alias("hashes")).join(classes, "hashes", "left")
-    return out.select(F.col("id").alias(id_column), *_results(F.col("n"), F.col("c")))
 
 
 def _hashes(vector: str) -> Column:

@@ -14,10 +14,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
 
 
-def commonest_length(frame: DataFrame, vector: str) -> int:
-    """The length that most rows have, the shorter of ties; 0 without rows."""
-    row = frame.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return row["d"] if row else 0
+def lengths(frame: DataFrame, vector: str) -> list[int]:
+    """The lengths that occur, ascending."""
+    return sorted(r["d"] for r in frame.select(F.size(vector).alias("d")).distinct().collect())
 
 
 def matrix(column: pa.Array, length: int) -> np.ndarray:

@@ -168,3 +168,14 @@ def test_code_search_of_near_copies(spark, tile):
         far = (signs != signs[ids.index(q)]).sum(axis=1)
         want = sorted((int(d), i) for d, i in zip(far, ids) if i != q)[:10]
         assert [(d, i) for asker, _, i, d in rows if asker == q] == want
+
+
+def test_vectors_of_two_lengths(spark):
+    """Each length is an index of its own: equal and near vectors of the rarer one are linked and found too."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.01]), (10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [-1.0, 2.0]), (13, [5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links.near_vectors(frame).collect()}
+    assert links == {1: (0, 1), 2: (1, 2), 3: (1, 2), 10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13)}
+    got = sorted(tuple(r) for r in code_search.nearest_codes(frame, F.lit(True), k=2).collect())
+    assert got == [(1, 1, 2, 2), (1, 2, 3, 3), (2, 1, 3, 1), (2, 2, 1, 2), (3, 1, 2, 1), (3, 2, 1, 3), (10, 1, 11, 0), (10, 2, 12, 1),
+                   (11, 1, 10, 0), (11, 2, 12, 1), (12, 1, 10, 1), (12, 2, 11, 1)]
