@@ -8,6 +8,7 @@ of a text are scored, each overlapping the next by half, so a single insult in a
 from __future__ import annotations
 
 import dataclasses
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from . import words
 from .training import Adam, one_label, sample, sigmoid, unused
 
-#: Texts that a training sample holds at most, about, of each label; training is on the driver.
-SAMPLE = 3_000
+#: Texts that a training sample holds at most, about, of each label, and their bytes altogether; training is one task.
+SAMPLE, SAMPLE_BYTES = 3_000, 64 << 20
 WINDOW, STRIDE = 32, 16
 DIMENSION, HIDDEN = 4, 8
 ROUNDS, BATCH, RATE, EMBEDDING_RATE = 5, 128, 0.01, 0.005
@@ -28,8 +30,8 @@ ROUNDS, BATCH, RATE, EMBEDDING_RATE = 5, 128, 0.01, 0.005
 LEAST_STEPS = 40
 #: Share of labels taken as wrong: words of some toxic texts are lost, and the network shouldn't learn such texts by heart.
 SMOOTH = 0.05
-#: Windows that a task scores at once.
-TOGETHER = 4096
+#: Windows that a task scores at once, and distinct words up to which it computes the inputs of all windows' words beforehand.
+TOGETHER, AT_ONCE = 4096, 50_000
 #: Words whose rows are looked up at once.
 SOME_WORDS = 20_000
 #: Weight of the overall share of toxic texts, in texts, against a row's own counts.
@@ -218,13 +220,19 @@ class Network:
         return out, to_x
 
     def window_logits(self, lex: Lexicon, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        x = self.inputs(lex)
-        projected = self.project(x)
+        few = len(lex["word"].starts) <= AT_ONCE
+        x = self.inputs(lex) if few else None
+        projected = self.project(x) if few else None
         order = np.argsort(-length, kind="stable")
         out = np.zeros(len(first), np.float32)
         for k in range(0, len(order), TOGETHER):
             own = order[k:k + TOGETHER]
-            out[own] = self.forward(x, _index(codes, first[own], length[own]), length[own], projected)
+            index = _index(codes, first[own], length[own])
+            if few:
+                out[own] = self.forward(x, index, length[own], projected)
+                continue
+            used, index_flat = np.unique(index, return_inverse=True)
+            out[own] = self.forward(self.inputs({name: rows.of(used) for name, rows in lex.items()}), index_flat.reshape(index.shape), length[own])
         return out
 
     def text_logits(self, texts: pa.Array) -> np.ndarray:
@@ -265,20 +273,51 @@ def _odds(own: Rows, codes: np.ndarray, offsets: np.ndarray, toxic: np.ndarray,
     return np.log(chance / (1 - chance)) - np.log(share / (1 - share))
 
 
+class Encoded:
+    """Texts as codes of words, encoded some at a time; their strings aren't kept, but for those of distinct words."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def add(self, texts: pa.Array) -> None:
+        distinct, codes, offsets = words.split(texts, lower=True)
+        place = np.fromiter((self.known.setdefault(w, len(self.known)) for w in distinct), np.int32, len(distinct))
+        self.codes.append(place[codes])
+        self.sizes.append(np.diff(offsets))
+
+    def in_order(self, order: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words by code, codes, offsets of texts), the texts in the order given; what was added is let go."""
+        sizes, codes = np.concatenate(self.sizes), np.concatenate(self.codes)
+        starts = np.cumsum(sizes) - sizes
+        codes = codes[words.ranges(starts[order], sizes[order])]
+        distinct = list(self.known)
+        self.__init__()
+        return distinct, codes, np.concatenate(([0], np.cumsum(sizes[order])))
+
+
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Network:
-    """Train on whole texts whose labels say only that some window is toxic.
+    """Train on whole texts whose labels say only that some window is toxic."""
+    encoded = Encoded()
+    encoded.add(pa.array(texts, pa.large_string()))
+    return fit_encoded(encoded, np.arange(len(texts)), toxic, rounds, seed)
 
-    Each round takes every text's worst window so far (by its words' odds at first), and a random one of texts that aren't toxic.
-    Without texts of both labels every score is near the share of toxic ones.
+
+def fit_encoded(encoded: Encoded, order: np.ndarray, toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> Network:
+    """Each round takes every text's worst window so far (by its words' odds at first), and a random one of texts that aren't toxic.
+
+    Without texts of both labels every score is near the share of toxic ones. Texts are taken in `order`, toxic is in that order.
     """
     net = Network(seed)
-    distinct, codes, offsets = words.split(pa.array(texts, pa.large_string()), lower=True)
+    distinct, codes, offsets = encoded.in_order(order)
     owner, first, length = windows(offsets)
     if not toxic.any() or toxic.all() or not len(first):
         share = (toxic.sum() + 0.5) / (len(toxic) + 1)
         net.weights["fit"][:] = 0, np.log(share / (1 - share))
         return net
     lex = lexicon(distinct)
+    del distinct
     for name, size in TABLES.items():  # the first dimension of each embedding starts from the odds of its rows
         net.weights[name][:, 0] = _odds(lex[name], codes, offsets, toxic, size)
     by_word = net.inputs(lex)[:, ::DIMENSION].sum(axis=1)
@@ -317,7 +356,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int = 1
                 moment[name][where] += (sums ** 2).mean(axis=1, keepdims=True)
                 net.weights[name][where] -= EMBEDDING_RATE * sums / (np.sqrt(moment[name][where]) + 1e-6)
         logits = net.window_logits(lex, codes, first, length)
-    most = np.full(len(texts), -np.inf)
+    most = np.full(len(toxic), -np.inf)
     np.maximum.at(most, owner, logits)
     _calibrate(net, most, toxic)
     return net
@@ -338,17 +377,46 @@ def _calibrate(net: Network, most: np.ndarray, toxic: np.ndarray) -> None:
     net.weights["fit"][:] = max(w["fit"][0], 0.05), w["fit"][1]
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a network fitted on all rows of the task, whatever order they come in."""
+    encoded, ids, labels, hashes = Encoded(), [], [], []
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_string())
+        encoded.add(texts)
+        ids.append(batch.column("id").to_numpy())
+        labels.append(batch.column("label").to_numpy())
+        hashes.append(words.word_hashes(["" if t is None else t for t in texts.to_pylist()]))
+    if not ids:
+        encoded.add(pa.array([], pa.large_string()))
+        ids, labels, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    label = np.concatenate(labels)
+    order = np.lexsort((label, np.concatenate(hashes), np.concatenate(ids)))
+    net = fit_encoded(encoded, order, label[order] == 1)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.weights)], pa.binary())], ["weights"])
+
+
 def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-          most: int = SAMPLE) -> Network:
-    """Fit on about `most` labelled whole texts of each label, chosen by a hash of their ids.
+          most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """Fit on about `most` labelled whole texts of each label, about `most_bytes` of them, chosen by a hash of their ids.
 
-    `labels` are the rows that may be learnt from; ids without a document and documents without id play no part.
+    `labels` are the rows that may be learnt from; ids without a document and documents without id play no part. One task fits on the
+    sample, so that a lost executor repeats it, and only the weights come to the driver.
     """
     known = one_label(labels, id_column, label_column)
-    chosen = sample(known.where("label = 1"), "id", most, "toxicity").unionByName(sample(known.where("label = 0"), "id", most, "toxicity"))
     plain = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    rows = plain.join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"], kind="stable", na_position="first")
-    return fit([t or "" for t in rows["text"]], rows["label"].to_numpy() == 1)
+
+    def drawn(share: float) -> DataFrame:
+        parts = [sample(known.where(F.col("label") == label), "id", int(most * share), "toxicity") for label in (0, 1)]
+        return cut(words.small_batches(plain.join(F.broadcast(parts[0].unionByName(parts[1])), "id")))
+
+    rows = drawn(1.0)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > most_bytes:
+        rows = drawn(most_bytes / size)
+    weights = rows.repartition(1).mapInArrow(_fit_task, "weights binary").first()["weights"]
+    net = Network()
+    net.weights = pickle.loads(weights)
+    return net
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Network, column: str, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
