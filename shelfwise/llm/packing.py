@@ -17,7 +17,7 @@ from . import words
 #: The id that ends a document, and the longest sequence.
 END_ID, MAX_LENGTH = 1, 2048
 #: Distinct words whose ids a worker remembers before it starts anew, and words encoded in one call; only speed depends on them.
-REMEMBERED, TOGETHER = 1_000_000, 200
+REMEMBERED, TOGETHER = 200_000, 200
 
 PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64())])
