@@ -143,8 +143,9 @@ def fold(text: Column) -> Column:
     """Accents removed and compatibility characters spelt out (NFKD); what has no ASCII base is deleted, not blanked."""
     known = constant_map(FOLD_SEVERAL)
     spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(known[c], c)), "")
-    text = F.when(F.rlike(text, F.lit(_FOLD_SEVERAL)), spelt).otherwise(text)
-    return F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    spelt = F.when(F.rlike(text, F.lit(_FOLD_SEVERAL)), spelt).otherwise(text)
+    folded = F.regexp_replace(F.translate(spelt, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), folded).otherwise(text)  # the wide classes are slow: ASCII texts pass them by
 
 
 def plain(text: Column) -> Column:

@@ -7,7 +7,7 @@ side a of a pair is the earlier listing.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +17,10 @@ from ..session import cut
 from .tokens import same_brand_key
 
 TOP_K = 5
-TILE_ROWS = 1024      # listings of one side of a tile
-BIN_ROWS = 8192       # replicated listings one task multiplies at a time
+TILE_ROWS = 512       # listings of a block, multiplied with another at once
+SIDE_ROWS = 8192      # listings of one side of a cell, and of a bin of small cells, about
 SIMILARITY_DECIMALS = 6
+NOTHING = np.int64(-1 << 62)
 
 
 def brand_pairs(keys: DataFrame) -> DataFrame:
@@ -94,94 +95,129 @@ def _misspelled(keys: DataFrame) -> DataFrame:
     return index.join(probe, ["long", "short", "i", "seg"]).select("s", "r").distinct()
 
 
-def tile_plan(listings: DataFrame, pairs: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Listings in tiles, and which tiles meet.
+def cells(listings: DataFrame, pairs: DataFrame, side_rows: int = SIDE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Listings in units, and the cells where units meet: (listings with unit, sides).
 
-    A unit is (brand_key, store, chunk); a block of any size is cut into chunks of about tile_rows.
-    Two units of different stores and matching brands meet in one tile.
+    A unit is a part of about side_rows of a brand key's listings, however many these are. Units of matching keys meet in one cell, whole
+    matrices on both sides: a key of g units fills half a grid of g x g cells, and each of its vectors is shipped g times, whatever
+    the number of stores. `side` is 0 and 1; where a unit meets itself it is shipped once.
     """
-    sizes = listings.groupBy("brand_key", "store").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "chunks", F.ceil(F.col("n") / tile_rows).cast("int"))
-    placed = listings.join(sizes.select("brand_key", "store", "chunks"), ["brand_key", "store"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("listing_id"), F.col("chunks")).cast("int"))
-    units = sizes.select("brand_key", "store", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    left = units.select(*[F.col(c).alias(f"{c}_a") for c in units.columns])
-    right = units.select(*[F.col(c).alias(f"{c}_b") for c in units.columns])
-    meetings = (
-        left.join(pairs.withColumnRenamed("key_a", "brand_key_a"), "brand_key_a")
-        .join(right.withColumnRenamed("brand_key_b", "key_b"), "key_b")
-        .where(F.col("store_a") < F.col("store_b"))
+    sizes = listings.groupBy("brand_key").agg(F.count(F.lit(1)).alias("n")).withColumn("units", F.ceil(F.col("n") / side_rows).cast("int"))
+    placed = listings.join(sizes.select("brand_key", "units"), "brand_key").withColumn(
+        "unit", F.pmod(F.xxhash64("listing_id"), F.col("units")).cast("int")).drop("units")
+    units = sizes.select("brand_key", (F.col("n") / F.col("units")).alias("rows"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"))
+    left = units.select(F.col("brand_key").alias("key_a"), F.col("unit").alias("unit_a"), F.col("rows").alias("rows_a"))
+    right = units.select(F.col("brand_key").alias("key_b"), F.col("unit").alias("unit_b"), F.col("rows").alias("rows_b"))
+    # Two 64-bit hashes name a cell: one alone would collide at billions of cells.
+    met = (
+        pairs.where("key_a <= key_b").join(left, "key_a").join(right, "key_b").where("key_a < key_b or unit_a <= unit_b")
+        .withColumn("itself", (F.col("key_a") == F.col("key_b")) & (F.col("unit_a") == F.col("unit_b")))
+        .withColumn("cell", F.xxhash64("key_a", "unit_a", "key_b", "unit_b")).withColumn("check", F.xxhash64(F.lit(1), "key_a", "unit_a", "key_b", "unit_b"))
+        .withColumn("rows", F.col("rows_a") + F.when(F.col("itself"), 0).otherwise(F.col("rows_b")))
     )
-    unit = ("brand_key_a", "store_a", "chunk_a", "key_b", "store_b", "chunk_b")
-    # Two 64-bit hashes name a tile: one alone would collide at billions of tiles.
-    meetings = meetings.withColumn("tile", F.xxhash64(*unit)).withColumn("check", F.xxhash64(F.lit(1), *unit))
-    sides = meetings.select("tile", "check", F.lit(True).alias("first"), F.col("brand_key_a").alias("brand_key"),
-                            F.col("store_a").alias("store"), F.col("chunk_a").alias("chunk")).unionByName(
-        meetings.select("tile", "check", F.lit(False).alias("first"), F.col("key_b").alias("brand_key"),
-                        F.col("store_b").alias("store"), F.col("chunk_b").alias("chunk")))
-    return placed, sides
-
-
-def _top_of_tile(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column positions of every row's top k; columns come in listing order, so ties keep it."""
-    width = min(k, scores.shape[1])
-    columns = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-    return np.repeat(np.arange(len(scores)), width), columns.ravel()
-
-
-def _multiply_bin(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """All tiles of a bin: one stacked matrix, sliced per tile side."""
-    frame = frame.sort_values(["tile", "check", "first", "listing_id"], kind="stable", ignore_index=True)
-    tile, check, first = (frame[c].to_numpy() for c in ("tile", "check", "first"))
-    vectors = np.stack(frame["embedding"].to_numpy()).astype("float64")
-    starts = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (check[1:] != check[:-1]) | (first[1:] != first[:-1])])
-    stops = np.r_[starts[1:], len(frame)]
-    here, there, scores = [], [], []
-    for n in range(len(starts) - 1):
-        if tile[starts[n]] != tile[starts[n + 1]] or check[starts[n]] != check[starts[n + 1]]:
-            continue    # a tile's two sides are neighbours in this order
-        (a, b), (c, d) = (starts[n], stops[n]), (starts[n + 1], stops[n + 1])
-        similarity = np.round(vectors[a:b] @ vectors[c:d].T, SIMILARITY_DECIMALS)
-        for rows, columns, matrix in ((a, c, similarity), (c, a, similarity.T)):
-            i, j = _top_of_tile(matrix, k)
-            here.append(i + rows)
-            there.append(j + columns)
-            scores.append(matrix[i, j])
-    i = np.concatenate(here) if here else np.zeros(0, int)
-    j = np.concatenate(there) if there else np.zeros(0, int)
-    ids, stores = frame["listing_id"].to_numpy(), frame["store"].to_numpy()
-    return pd.DataFrame({"id": ids[i], "store": stores[i], "other_id": ids[j], "other_store": stores[j],
-                         "similarity": np.concatenate(scores) if scores else np.zeros(0)})
+    first = F.struct(F.lit(0).alias("side"), F.col("key_a").alias("brand_key"), F.col("unit_a").alias("unit"))
+    second = F.struct(F.lit(1).alias("side"), F.col("key_b").alias("brand_key"), F.col("unit_b").alias("unit"))
+    both = F.when(F.col("itself"), F.array(first)).otherwise(F.array(first, second))
+    return placed, met.select("cell", "check", "rows", F.explode(both).alias("s")).select("cell", "check", "rows", "s.*")
+
+
+class _Blocks:
+    """Rows of a matrix in blocks of near ones: positions, centroid, radius and largest squared length of each."""
+
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray, size: int) -> None:
+        if len(rows) > size:
+            pivots = vectors[rows[:: size]].astype("float64")
+            home = np.concatenate([np.argmax(vectors[part].astype("float64") @ pivots.T, axis=1) for part in np.array_split(rows, -(-len(rows) // size))])
+            rows = rows[np.argsort(home, kind="stable")]
+        self.rows = [rows[i:i + size] for i in range(0, len(rows), size)]
+        parts = [vectors[r].astype("float64") for r in self.rows]
+        self.centre = np.array([p.mean(axis=0) for p in parts])
+        self.radius = np.array([np.sqrt(((p - c) ** 2).sum(axis=1).max()) for p, c in zip(parts, self.centre)])
+        self.length = np.array([(p ** 2).sum(axis=1).max() for p in parts])
+
+    def bounds(self, i: int, other: _Blocks) -> np.ndarray:
+        """No product of a row of block i and one of each other block is larger: the triangle inequality keeps them apart."""
+        apart = np.sqrt(((other.centre - self.centre[i]) ** 2).sum(axis=1)) - self.radius[i] - other.radius
+        return (self.length[i] + other.length - np.maximum(apart, 0.0) ** 2) / 2
+
+
+def best_products(vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, size: int = TILE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity in units of the last decimal) of every row's k best columns; of equal ones the first columns.
+
+    A similarity and a column's place make one whole number, so the best k are a partition, not a sort. Blocks of columns come by
+    their bounds; once every row of a block has k better ones, the rest can't matter.
+    """
+    scale, width = 10 ** SIMILARITY_DECIMALS, len(columns)
+    place = np.zeros(int(columns.max()) + 1, np.int64)
+    place[columns] = width - 1 - np.arange(width)
+    here, there = _Blocks(vectors, rows, size), _Blocks(vectors, columns, size)
+    out = []
+    for i, own in enumerate(here.rows):
+        left = vectors[own].astype("float64")
+        best = np.full((len(own), k), NOTHING)
+        bounds = here.bounds(i, there)
+        for j in np.argsort(-bounds, kind="stable"):
+            if (np.ceil(bounds[j] * scale) + 2) * width < best.min():
+                break
+            found = np.rint(left @ vectors[there.rows[j]].astype("float64").T * scale).astype(np.int64) * width + place[there.rows[j]]
+            best = np.concatenate((best, found), axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+        row, at = np.nonzero(best > NOTHING)
+        keys = best[row, at]
+        out.append((own[row], columns[width - 1 - keys % width], keys // width))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows of length one, in double precision."""
+    rows = np.asarray(vectors.combine_chunks().flatten()).astype("float64").reshape(len(vectors), -1)
+    return rows / np.sqrt((rows ** 2).sum(axis=1, keepdims=True))
+
+
+def _multiply(table: pa.Table, k: int, size: int) -> pa.Table:
+    """The nearest of all rows of a bin's cells, from either side to each store of the other."""
+    table = table.sort_by([(c, "ascending") for c in ("cell", "check", "side", "store", "listing_id")]).combine_chunks()
+    vectors = np.asarray(table["embedding"].combine_chunks().flatten()).reshape(len(table), -1)
+    codes = table["store"].combine_chunks().dictionary_encode().indices.to_numpy()
+    cell, check, side = (table[c].to_numpy() for c in ("cell", "check", "side"))
+    starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (check[1:] != check[:-1])])
+    found = []
+    for start, stop in zip(starts, np.r_[starts[1:], len(table)]):
+        border = start + int(np.searchsorted(side[start:stop], 1))
+        first, second = np.arange(start, border), np.arange(border, stop)
+        for rows, columns in ((first, second), (second, first)) if len(second) else ((first, first),):
+            if not len(rows):
+                continue
+            for own in np.split(columns, np.flatnonzero(np.diff(codes[columns])) + 1):  # columns come by store
+                others = rows[codes[rows] != codes[own[0]]] if len(own) else rows[:0]
+                if len(others):
+                    found.append(best_products(vectors, others, own, k, size))
+    row, column, score = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.table({"id": table["listing_id"].take(row), "store": table["store"].take(row), "other_id": table["listing_id"].take(column),
+                     "other_store": table["store"].take(column), "similarity": pa.array(score / 10 ** SIMILARITY_DECIMALS, pa.float64())})
 
 
 def neighbours(listings: DataFrame, pairs: DataFrame, top_k: int = TOP_K, tile_rows: int = TILE_ROWS,
-               bin_rows: int = BIN_ROWS) -> DataFrame:
-    """For every listing and other store, its top_k most similar same-brand listings (exact).
+               side_rows: int = SIDE_ROWS) -> DataFrame:
+    """For every listing and other store, its top_k most similar same-brand listings (exact; of equal ones the first ids).
 
-    Tiles are matrix products of bounded size packed into hash bins; each returns only its own
-    top k per row, so a brand holding a third of the catalog becomes many independent tasks and
-    the rows that leave them stay linear in the tiles a listing is in.
+    Brands meet in cells of bounded size, small ones packed into bins, so a brand holding a third of the catalog becomes many independent tasks.
+    In a cell, blocks of near vectors that can't hold a nearer one are passed over. A cell returns only its own top k per row: the rows that
+    leave are linear in the cells a listing is in.
     """
     id_type = dict(listings.dtypes)["listing_id"]
-    slim = listings.select("listing_id", "store", "brand_key", "embedding")
-    placed, sides = tile_plan(slim, pairs, tile_rows)
+    placed, sides = cells(listings.select("listing_id", "store", "brand_key", "embedding"), pairs, side_rows)
     sides = cut(sides)
-    copies = placed.join(sides, ["brand_key", "store", "chunk"])
-    weight = sides.groupBy("brand_key", "store", "chunk").agg(F.count(F.lit(1)).alias("tiles")).join(
-        slim.groupBy("brand_key", "store").agg(F.count(F.lit(1)).alias("n")), ["brand_key", "store"])
-    rows = weight.agg(F.sum(F.col("tiles") * F.least(F.col("n"), F.lit(tile_rows))).alias("rows")).first()["rows"] or 0
-    bins = int(rows // bin_rows) + 1
+    shipped = sides.where("side = 0").agg(F.sum("rows").alias("rows")).first()["rows"] or 0
+    bins = F.pmod("cell", F.lit(int(shipped // side_rows) + 1))
+    own = F.when(F.col("rows") > side_rows / 2, F.col("cell")).otherwise(bins)  # a large cell is no other's bin
     spec = f"id {id_type}, store string, other_id {id_type}, other_store string, similarity double"
-
-    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
-        return _multiply_bin(frame, top_k)
-
-    local = (
-        copies.select(F.pmod("tile", F.lit(bins)).alias("bin"), "tile", "check", "first", "listing_id", "store", "embedding")
-        .groupBy("bin").applyInPandas(multiply, spec)
-    )
+    copies = placed.join(sides.withColumn("bin", own).drop("rows"), ["brand_key", "unit"])
+    local = copies.select("bin", "cell", "check", "side", "listing_id", "store", "embedding").groupBy("bin").applyInArrow(
+        lambda table: _multiply(table, top_k, tile_rows), spec)
     ranked = Window.partitionBy("id", "other_store").orderBy(F.desc("similarity"), "other_id")
-    return local.distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k)
+    return local.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_k)
 
 
 def ordered_pairs(df: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
@@ -193,12 +229,12 @@ def ordered_pairs(df: DataFrame, left: tuple[str, str], right: tuple[str, str])
 
 
 def candidates(listings: DataFrame, pairs: DataFrame | None = None, top_k: int = TOP_K,
-               tile_rows: int = TILE_ROWS, bin_rows: int = BIN_ROWS) -> DataFrame:
+               tile_rows: int = TILE_ROWS, side_rows: int = SIDE_ROWS) -> DataFrame:
     """Unordered candidate pairs (a, b, similarity): neighbours from either side, each once."""
     listings = cut(listings.select("listing_id", "store", "brand_key", "embedding"))
     if pairs is None:
         pairs = brand_pairs(listings.select("brand_key"))
-    near = neighbours(listings, pairs, top_k, tile_rows, bin_rows)
+    near = neighbours(listings, pairs, top_k, tile_rows, side_rows)
     return ordered_pairs(near, ("id", "store"), ("other_id", "other_store")).groupBy("a", "b").agg(
         F.max("similarity").alias("similarity"))
 

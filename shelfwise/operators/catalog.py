@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import per_unit
 from ..functions.text import plain
+from ..session import cut
 from . import prices as P
+from .blocking import SIMILARITY_DECIMALS, best_products, unit_rows
+from .state import offers_of
 
 PRESENTATIONS = ("full_bottle", "travel_size", "tester", "refill", "travel_set")
 MAX_WORDS, MAX_QUERY_LENGTH, MAX_PAGE, DEFAULT_PAGE = 10, 100, 100, 20
@@ -23,16 +28,13 @@ def price_per_unit(price: Column, volume: Column, presentation: Column) -> Colum
     return F.when((presentation != "travel_set") & price.isNotNull(), per_unit(price, volume))
 
 
-def product_summary(products: DataFrame, readings: DataFrame, listings: DataFrame, since: Column,
-                    order: Sequence[str] = ("scraped_at",), offers: DataFrame | None = None) -> DataFrame:
+def product_summary(products: DataFrame, latest: DataFrame, listings: DataFrame, since: Column) -> DataFrame:
     """The catalog table: every product with its lowest price, offer statistics, image and last known price.
 
-    Offers are aggregated once; the image is the only other part, as it also ranks unread listings.
+    latest: the newest reading of every listing (operators.state.current_state or listing_state); the readings themselves aren't read here.
     """
-    if offers is None:
-        offers = P.current_offers(readings, listings, since, order)
-    rows = products.join(P.offer_rollup(offers), "product_id", "left").join(
-        P.product_image(readings, listings, order), "product_id", "left")
+    rows = products.join(P.offer_rollup(offers_of(latest, listings, since)), "product_id", "left").join(
+        P.product_image(latest, listings), "product_id", "left")
     hidden = F.col("lowest_price").isNull()
     for column in ("last_known_price", "last_known_price_store", "last_known_price_at"):
         rows = rows.withColumn(column, F.when(hidden, F.col(column)))
@@ -108,10 +110,45 @@ def text_search(summary: DataFrame, words: Sequence[str]) -> DataFrame:
     haystack = F.concat(name, F.lit(" "), brand)
     for word in words:
         summary = summary.where(F.contains(haystack, plain(F.lit(word))))
-    phrase = plain(F.lit(" ".join(words)))
+    return summary.withColumn("text_rank", _text_rank(plain(F.lit(" ".join(words)))))
+
+
+SEARCH_GRAM = 3
+
+
+def _grams(text: Column, size: Column | int) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def search_many(summary: DataFrame, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """text_search for a table of queries: the key, text_rank and the columns of summary, one row per query and product found.
+
+    An inverted index of character grams of the folded names, of those grams alone that some query holds. A query reads the postings
+    of its rarest gram and verifies all its words on what they name. Queries without words, and too long ones, find nothing.
+    """
+    haystack = F.concat(plain(F.col("canonical_name")), F.lit(" "), plain(F.col("brand")))
+    products = summary.select("product_id", haystack.alias("haystack"))
+    words = F.filter(F.split(plain(F.trim(F.col(text))), r"\s+"), lambda w: w != "")
+    asked = queries.where((F.char_length(text) <= MAX_QUERY_LENGTH) & (F.size(words) <= MAX_WORDS)).select(F.col(key).alias("_query"), words.alias("_words"))
+    offered = cut(asked.select("_query", F.explode("_words").alias("word")).select(
+        "_query", F.explode(_grams(F.col("word"), F.least(F.char_length("word"), F.lit(SEARCH_GRAM)))).alias("gram")))
+    wanted = offered.select("gram").distinct()
+    all_grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("haystack"), n), F.array().cast("array<string>")) for n in range(1, SEARCH_GRAM + 1)]))
+    index = cut(products.select("product_id", F.explode(all_grams).alias("gram")).join(wanted, "gram", "left_semi"))
+    uses = index.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = offered.join(uses, "gram", "left").groupBy("_query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r"))
+    hits = rarest.where("r.uses > 0").select("_query", F.col("r.gram").alias("gram")).join(index, "gram").select("_query", "product_id")
+    rows = hits.join(asked, "_query").join(summary, "product_id").where(F.forall("_words", lambda w: F.contains(haystack, w)))
+    rank = _text_rank(F.array_join("_words", " "))
+    return rows.withColumn("text_rank", rank).drop("_words").withColumnRenamed("_query", key)
+
+
+def _text_rank(phrase: Column) -> Column:
+    name, brand = plain(F.col("canonical_name")), plain(F.col("brand"))
     after_brand = F.startswith(name, F.concat(brand, F.lit(" "), phrase))
-    rank = F.when(name == phrase, 0).when(F.startswith(name, phrase) | after_brand, 1).otherwise(2)
-    return summary.withColumn("text_rank", rank)
+    return F.when(name == phrase, 0).when(F.startswith(name, phrase) | after_brand, 1).otherwise(2)
 
 
 def name_key(collation: str | None = "es") -> Column:
@@ -164,27 +201,19 @@ def presentation_place(column: str = "presentation") -> Column:
     return place
 
 
-def product_offers(offers: DataFrame, products: DataFrame) -> DataFrame:
-    """The price rows of the product page with price per ml and their place: fresh first, cheapest first.
+def product_detail(offers: DataFrame, products: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pages of the products in `wanted` (product_id): attributes, last update, price rows as an array, fresh first, cheapest first.
 
-    The rank runs over one product's current offers, one per listing.
+    The array holds one product's current offers, one per listing.
     """
-    from pyspark.sql import Window
-
-    rows = offers.join(products.select("product_id", "canonical_name", "brand", "volume_ml", "presentation"), "product_id")
-    place = F.row_number().over(Window.partitionBy("product_id").orderBy("is_stale", "price", "store", "listing_url"))
-    return rows.withColumn(
-        "price_per_ml", price_per_unit(F.col("price"), F.col("volume_ml"), F.col("presentation"))
-    ).withColumn("place", place)
-
-
-def product_detail(offers: DataFrame, products: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages of the products in `wanted` (product_id): attributes, last update, price rows as an array."""
-    rows = offers.join(wanted.select("product_id"), "product_id", "left_semi")
-    entry = F.struct("is_stale", "price", "store", "listing_url", "list_price", "is_available", "scraped_at", "image_url")
+    asked = wanted.select("product_id")
+    shown = products.join(asked, "product_id", "left_semi")
+    rows = offers.join(shown.select("product_id", "volume_ml", "presentation"), "product_id").withColumn(
+        "price_per_ml", price_per_unit(F.col("price"), F.col("volume_ml"), F.col("presentation")))
+    entry = F.struct("is_stale", "price", "store", "listing_url", "listing_id", "list_price", "is_available", "scraped_at", "image_url", "price_per_ml")
     priced = rows.groupBy("product_id").agg(
         F.max("scraped_at").alias("last_updated"), F.array_sort(F.collect_list(entry)).alias("prices"))
-    return products.join(wanted.select("product_id"), "product_id", "left_semi").join(priced, "product_id", "left")
+    return shown.join(priced, "product_id", "left")
 
 
 def variants(summary: DataFrame, product_id: int | str) -> DataFrame:
@@ -193,6 +222,12 @@ def variants(summary: DataFrame, product_id: int | str) -> DataFrame:
     return summary.where(F.col("product_id") != product_id).join(target, "fragrance_id", "left_semi")
 
 
+def variant_places(products: DataFrame, collation: str | None = "es") -> DataFrame:
+    """Each product's place among those of its fragrance, as a page of variants lists them; a window over one fragrance's products."""
+    order = [presentation_place().asc(), F.col("volume_ml").asc_nulls_last(), name_key(collation).asc(), F.col("product_id").asc()]
+    return products.withColumn("place", F.row_number().over(Window.partitionBy("fragrance_id").orderBy(*order)))
+
+
 def variant_counts(products: DataFrame) -> DataFrame:
     """How many other products share each product's fragrance, for a whole catalog."""
     counts = products.groupBy("fragrance_id").agg(F.count(F.lit(1)).alias("n"))
@@ -235,3 +270,45 @@ def semantic_search(query_vector: Sequence[float], fragrances: DataFrame, summar
     )
     ranked = summary.join(F.broadcast(nearest), "fragrance_id").withColumn("similarity", F.bround("cosine", 4)).drop("cosine")
     return ranked.orderBy(F.desc("similarity"), "canonical_name", "product_id").limit(limit)
+
+
+NEAREST_ROWS = 4096    # of queries, and of fragrances, that meet in one task
+MERGED = 16            # partial lists that one task merges
+
+
+def nearest_many(queries: DataFrame, fragrances: DataFrame, candidates: int = SEMANTIC_CANDIDATES, rows: int = NEAREST_ROWS) -> DataFrame:
+    """(query_id, fragrance_id, similarity, rank): the fragrances nearest to each of a table of query vectors, exact.
+
+    queries: query_id, vector; fragrances: fragrance_id, embedding; filter them first to what is shown. Both are dealt to a grid of parts; a task
+    multiplies two parts and keeps a list per query, and the lists of a query are merged some at a time. Null and zero vectors are near nothing.
+    Similarities are cosines in double precision, rounded to 6 decimals before ranking; the first id wins a tie.
+    """
+    def parted(frame: DataFrame, key: str, vector: str, part: str) -> tuple[DataFrame, int]:
+        known = frame.where(F.exists(vector, lambda v: v != 0)).select(key, F.col(vector).alias(vector))
+        parts = -(-known.count() // rows) or 1
+        return known.withColumn(part, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), parts
+
+    left, across = parted(queries, "query_id", "vector", "q")
+    right, down = parted(fragrances, "fragrance_id", "embedding", "f")
+    left = left.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    kinds = {**dict(queries.dtypes), **dict(fragrances.dtypes)}
+    spec = f"query_id {kinds['query_id']}, fragrance_id {kinds['fragrance_id']}, similarity double, part int"
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("fragrance_id").combine_chunks()
+        none = not len(a) or not len(b)
+        row, column, score = (np.zeros(0, np.int64),) * 3 if none else best_products(
+            np.concatenate((unit_rows(a["vector"]), unit_rows(b["embedding"]))), np.arange(len(a)), np.arange(len(a), len(a) + len(b)), candidates)
+        return pa.table({"query_id": a["query_id"].take(row), "fragrance_id": b["fragrance_id"].take(column - len(a)),
+                         "similarity": pa.array(score / 10 ** SIMILARITY_DECIMALS, pa.float64()),
+                         "part": pa.array(np.full(len(row), b["f"][0].as_py() if len(b) else 0), pa.int32())})
+
+    found = left.groupBy("q", "f").cogroup(right.groupBy("q", "f")).applyInArrow(multiply, spec)
+    order = (F.desc("similarity"), "fragrance_id")
+    while down > 1:
+        down = -(-down // MERGED)
+        found = found.withColumn("part", (F.col("part") / MERGED).cast("int"))
+        best = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+        found = found.withColumn("rank", best).where(F.col("rank") <= candidates).drop("rank")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("part")

@@ -3,11 +3,19 @@
 Names and texts are normalised (no asterisks, single spaces, lower case). A mention is a name's
 first position in a text; where mentions overlap the earlier one stays, and of two starting together the
 longer one.
+
+Names up to NAMES_BYTES go to every task as one automaton (a trie with failure links), which finds all of them in one pass over a text.
+A larger catalog meets the texts in joins on anchors, with the same rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +23,8 @@ from ..functions.text import squeeze
 from ..session import cut
 
 GRAM = 5
-BROADCAST_NAMES = 200_000    # names of about 100 bytes: 20 MB on every executor; more names are shuffled
+NAMES_BYTES = 16 << 20    # of all names that one automaton holds, with NAME_COST each; it takes some ten times as much of a worker's memory
+NAME_COST = 32
 
 
 def normalized(text: Column) -> Column:
@@ -45,44 +54,117 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
 
 
-def found_names(texts: DataFrame, names: DataFrame, key: str = "text_id", gram: int = GRAM) -> DataFrame:
-    """key, product_id, start, size of every name contained in a text, whole texts read.
-
-    An equi-join of a text's distinct words (and, only when names of one or two words exist, its distinct
+def _named(names: DataFrame) -> DataFrame:
+    return names.select("product_id", normalized(F.col("name")).alias("key")).where("key <> ''")
+
+
+_LATEST: dict[str, tuple[ahocorasick.Automaton, pa.Array, list]] = {}
+
+
+def _known(token: str, names: Broadcast) -> tuple[ahocorasick.Automaton, pa.Array, list]:
+    """The automaton of all distinct names, each with the rows that have it, and the rows' product ids; built once per worker."""
+    if token not in _LATEST:
+        rows: dict[str, list[int]] = {}
+        for i, key in enumerate(names.value["key"].to_pylist()):
+            rows.setdefault(key, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for key, own in rows.items():
+            automaton.add_word(key, (len(key), own))
+        automaton.make_automaton()
+        products = names.value["product_id"].combine_chunks()
+        _LATEST.clear()
+        _LATEST[token] = automaton, products, products.to_pylist()
+    return _LATEST[token]
+
+
+def _first_places(automaton: ahocorasick.Automaton, body: str) -> list[tuple[int, int, int]]:
+    """(start from 1, size, row of the name) of each name's first place in a text."""
+    first: dict[int, tuple[int, int]] = {}
+    for end, (size, own) in automaton.iter(body):
+        for row in own:
+            if row not in first:
+                first[row] = (end - size + 2, size)
+    return [(start, size, row) for row, (start, size) in first.items()]
+
+
+def _without_overlaps(hits: list[tuple[int, int, int]], ids: list) -> list[tuple[int, int, int]]:
+    kept, end = [], 0
+    for hit in sorted(hits, key=lambda h: (h[0], -h[1], ids[h[2]])):
+        if hit[0] >= end:
+            kept.append(hit)
+            end = hit[0] + hit[1]
+    return kept
+
+
+def _scan(batches: Iterator[pa.RecordBatch], names: Broadcast, token: str, apart: bool) -> Iterator[pa.RecordBatch]:
+    automaton, products, ids = _known(token, names)
+    for batch in batches:
+        texts, starts, sizes, rows = [], [], [], []
+        for i, body in enumerate(batch.column(1).to_pylist()):
+            hits = _first_places(automaton, body) if body and len(automaton) else []
+            for start, size, row in _without_overlaps(hits, ids) if apart else hits:
+                texts.append(i)
+                starts.append(start)
+                sizes.append(size)
+                rows.append(row)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(texts, pa.int64())), products.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())],
+            [batch.schema.names[0], "product_id", "start", "size"])
+
+
+def _by_automaton(texts: DataFrame, names: DataFrame, key: str, apart: bool) -> DataFrame:
+    shared, token = texts.sparkSession.sparkContext.broadcast(names.toArrow()), uuid.uuid4().hex
+    rows = texts.select(F.col(key), normalized(F.col("text")).alias("body"))
+    spec = f"{key} {dict(rows.dtypes)[key]}, product_id {dict(names.dtypes)['product_id']}, start int, size int"
+    return rows.mapInArrow(lambda batches: _scan(batches, shared, token, apart), spec)
+
+
+def _by_anchors(texts: DataFrame, names: DataFrame, key: str, gram: int) -> DataFrame:
+    """An equi-join of a text's distinct words (and, only when names of one or two words exist, its distinct
     grams) with the names' anchors; `instr` then settles the few pairs left.
     """
     anchors = cut(name_anchors(names, gram))
-    small = anchors.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     rows = texts.select(key, normalized(F.col("text")).alias("body"))
     grams = rows.select(key, F.lit(0).alias("size"), F.explode(F.array_distinct(F.split("body", " "))).alias("anchor"))
     sizes = [r["size"] for r in anchors.where("size > 0").select("size").distinct().collect()]    # at most `gram` values
     for size in sizes:
         grams = grams.unionByName(rows.select(key, F.lit(size).alias("size"), F.explode(_grams(F.col("body"), F.lit(size))).alias("anchor")))
-    hits = grams.join(F.broadcast(anchors) if small else anchors, ["size", "anchor"]).select(key, "product_id", F.col("key").alias("name_key"))
+    hits = grams.join(anchors, ["size", "anchor"]).select(key, "product_id", F.col("key").alias("name_key"))
     placed = hits.join(rows, key).withColumn("start", F.expr("instr(body, name_key)"))
     return placed.where("start > 0").select(key, "product_id", "start", F.length("name_key").alias("size"))
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str = "text_id", gram: int = GRAM) -> DataFrame:
+def _is_small(named: DataFrame, names_bytes: int) -> bool:
+    size = named.agg(F.sum(F.octet_length("key") + NAME_COST).alias("n")).first()["n"] or 0
+    return size <= names_bytes
+
+
+def found_names(texts: DataFrame, names: DataFrame, key: str = "text_id", gram: int = GRAM, names_bytes: int = NAMES_BYTES) -> DataFrame:
+    """key, product_id, start, size of every name contained in a text, whole texts read; null texts and names, and empty ones, have none."""
+    named = _named(names)
+    if _is_small(named, names_bytes):
+        return _by_automaton(texts, named, key, False)
+    return _by_anchors(texts, names, key, gram)
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str = "text_id", gram: int = GRAM, names_bytes: int = NAMES_BYTES) -> DataFrame:
     """Mentions with overlaps removed, in text order: key, product_id, start.
 
-    Texts with a single hit stay in the JVM. The rest send (start, size) rows, not texts, to a small
-    ordered scan per text, bounded by the names a text can hold.
+    The automaton's pass settles them text by text. Beyond its bound, a text's hits (start and size, bounded by the names it
+    can hold) are folded in order.
     """
-    hits = found_names(texts, names, key, gram)
-    counts = hits.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
-    marked = hits.join(counts, key)
-    types = dict(hits.dtypes)
-
-    def keep_first(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, end = [], 0
-        for row in frame.sort_values(["start", "size", "product_id"], ascending=[True, False, True]).itertuples(index=False):
-            if row.start >= end:
-                kept.append(row)
-                end = row.start + row.size
-        return pd.DataFrame(kept, columns=frame.columns)[[key, "product_id", "start"]]
-
-    one = marked.where("hits = 1").select(key, "product_id", "start")
-    several = marked.where("hits > 1").drop("hits").groupBy(key).applyInPandas(
-        keep_first, f"{key} {types[key]}, product_id {types['product_id']}, start int")
-    return one.unionByName(several)
+    named = _named(names)
+    if _is_small(named, names_bytes):
+        return _by_automaton(texts, named, key, True).drop("size")
+    hits = _by_anchors(texts, names, key, gram)
+    listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        "start", (-F.col("size")).alias("less"), "product_id", "size"))).alias("hits"))
+    kind = dict(listed.dtypes)["hits"]
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept"))
+
+    def step(state: Column, hit: Column) -> Column:
+        taken = F.struct((hit["start"] + hit["size"]).alias("end"), F.concat(state["kept"], F.array(hit)).alias("kept"))
+        return F.when(hit["start"] >= state["end"], taken).otherwise(state)
+
+    kept = listed.select(key, F.explode(F.aggregate("hits", zero, step)["kept"]).alias("hit"))
+    return kept.select(key, "hit.product_id", "hit.start")

@@ -114,11 +114,10 @@ def last_known_price(offers: DataFrame) -> DataFrame:
         "product_id", "last_known_price", "last_known_price_store", "last_known_price_at")
 
 
-def product_image(readings: DataFrame, listings: DataFrame, order: Sequence[str] = ("scraped_at",)) -> DataFrame:
-    """Picture of the cheapest available listing that has one, unread prices last."""
+def product_image(latest: DataFrame, listings: DataFrame) -> DataFrame:
+    """Picture of the cheapest available listing that has one, unread prices last. latest: one row per listing, its newest reading."""
     pictured = resolved(listings).where(
         F.col("is_active") & F.col("image_url").isNotNull() & F.col("product_id").isNotNull())
-    latest = latest_readings(readings.drop("product_id", "store"), order=order)
     ranked = F.struct(
         F.when(F.col("is_available"), 0).otherwise(1),
         F.when(F.col("price").isNull(), 1).otherwise(0),
@@ -132,43 +131,32 @@ def product_image(readings: DataFrame, listings: DataFrame, order: Sequence[str]
     )
 
 
-def history_check(readings: DataFrame, window_days: int = HISTORY_WINDOW_DAYS, key: str = "listing_id",
-                  order: Sequence[str] = ("scraped_at",)) -> DataFrame:
+def history_check(readings: DataFrame, window_days: int = HISTORY_WINDOW_DAYS, order: Sequence[str] = ("scraped_at",)) -> DataFrame:
     """Is a listing's list price above every undiscounted price it charged in the window before now?
 
-    The window ends at the current reading, both ends included. The readings meet one row per
-    listing and fall back into one row per listing, so no listing's series is ever held.
+    The window ends at the current reading, both ends included. Readings are merged per listing and instant before they
+    meet one row per listing (operators.state), so no listing's series is ever held and a much read one isn't one task's.
     """
-    current = latest_readings(readings, key, order).select(
-        key, F.col("scraped_at").alias("current_at"), F.col("price").alias("current_price"),
-        F.col("list_price").alias("current_list_price"), F.col("is_available").alias("current_available"))
-    start = F.col("current_at") - F.expr(f"INTERVAL {int(window_days)} DAYS")
-    usable = ~discounted(F.col("price"), F.col("list_price")) & F.col("is_available")
-    series = readings.select(key, "scraped_at", "price", "list_price", "is_available")
-    checked = (
-        series.join(current, key)
-        .where((F.col("scraped_at") >= start) & (F.col("scraped_at") <= F.col("current_at")))
-        .groupBy(key)
-        .agg(
-            *[F.first(c).alias(c) for c in ("current_at", "current_price", "current_list_price", "current_available")],
-            F.max(F.when(usable, F.struct("price", "scraped_at"))).alias("ref"),
-            F.min("scraped_at").alias("observed_from"),
-            F.count(F.lit(1)).alias("points_in_window"),
-            F.count(F.when(usable, 1)).alias("undiscounted_points"),
-        )
-    )
-    on_sale = discounted(F.col("current_price"), F.col("current_list_price"))
+    from .state import instants, listing_state
+
+    return history_verdicts(listing_state(instants(readings, order), window_days))
+
+
+def history_verdicts(state: DataFrame) -> DataFrame:
+    """The verdict on every listing of operators.state.listing_state."""
+    on_sale = discounted(F.col("price"), F.col("list_price"))
     status = (
         F.when(~on_sale, "no_list_price")
         .when(F.col("undiscounted_points") == 0, "insufficient_data")
-        .when(F.col("current_list_price") > F.col("ref.price"), "above_history")
+        .when(F.col("list_price") > F.col("reference"), "above_history")
         .otherwise("consistent")
     )
-    return checked.select(
-        key, "current_at", "current_price", "current_list_price", "current_available",
+    return state.select(
+        "listing_id", F.col("scraped_at").alias("current_at"), F.col("price").alias("current_price"),
+        F.col("list_price").alias("current_list_price"), F.col("is_available").alias("current_available"),
         status.alias("history_status"),
-        F.when(on_sale, F.col("ref.price")).alias("history_reference"),
-        F.when(on_sale, F.col("ref.scraped_at")).alias("history_reference_at"),
+        F.when(on_sale, F.col("reference")).alias("history_reference"),
+        F.when(on_sale, F.col("reference_at")).alias("history_reference_at"),
         "observed_from", "points_in_window", "undiscounted_points",
     )
 
@@ -211,28 +199,27 @@ def market_check(offers: DataFrame, references: DataFrame | None = None,
     )
 
 
-def both_checks(readings: DataFrame, offers: DataFrame, window_days: int = HISTORY_WINDOW_DAYS,
-                order: Sequence[str] = ("scraped_at",)) -> DataFrame:
-    """History and market verdicts for every current offer; stale offers are checked but are no reference."""
+CURRENT = ("current_at", "current_price", "current_list_price", "current_available")
+
+
+def both_checks(state: DataFrame, offers: DataFrame) -> DataFrame:
+    """History and market verdicts for every current offer; stale offers are checked but are no reference.
+
+    state: operators.state.listing_state over the readings that the offers come from.
+    """
     market = market_check(offers, offers.where(~F.col("is_stale")))
-    history = history_check(readings, window_days, order=order).drop(
-        "current_at", "current_price", "current_list_price", "current_available")
-    return market.join(history, "listing_id")
+    return market.join(history_verdicts(state).drop(*CURRENT), "listing_id")
 
 
-def verified_discounts(readings: DataFrame, offers: DataFrame, products: DataFrame,
-                       window_days: int = HISTORY_WINDOW_DAYS, stores: Sequence[str] = (), brand: str | None = None,
-                       order: Sequence[str] = ("scraped_at",)) -> DataFrame:
+def verified_discounts(state: DataFrame, offers: DataFrame, products: DataFrame, stores: Sequence[str] = (), brand: str | None = None) -> DataFrame:
     """Available fresh discounts whose list price the listing's own history supports.
 
-    Only the readings of discounted listings are aggregated: a semi join drops the rest before
-    the history shuffle. Sort with DISCOUNT_ORDER and page with orderBy/offset/limit.
+    state: operators.state.listing_state over the readings that the offers come from. Sort with DISCOUNT_ORDER and page with
+    orderBy/offset/limit.
     """
     fresh = offers.where(~F.col("is_stale"))
     sale = fresh.where(F.col("is_available") & discounted(F.col("price"), F.col("list_price")))
-    history = history_check(readings.join(sale.select("listing_id"), "listing_id", "left_semi"), window_days, order=order)
-    supported = history.where("history_status = 'consistent'").drop(
-        "current_at", "current_price", "current_list_price", "current_available")
+    supported = history_verdicts(state).where("history_status = 'consistent'").drop(*CURRENT)
     amount = F.col("list_price") - F.col("price")
     rows = (
         market_check(sale, fresh).join(supported, "listing_id")
@@ -359,16 +346,14 @@ def best_image(offers: DataFrame, ranks: Sequence[str]) -> DataFrame:
     )
 
 
-def series_order(readings: DataFrame, offers: DataFrame, listings: DataFrame,
-                 order: Sequence[str] = ("scraped_at",)) -> DataFrame:
+def series_order(latest: DataFrame, offers: DataFrame, listings: DataFrame) -> DataFrame:
     """Series of a product, cheapest first, stale last, then by last price; repeated stores are numbered.
 
-    Windows run over one row per listing of a product, not over readings.
+    latest: one row per listing, its newest reading. Windows run over one row per listing of a product, not over readings.
     """
     from pyspark.sql import Window
 
-    last = latest_readings(readings.drop("product_id", "store"), order=order).select(
-        "listing_id", F.col("price").alias("last_price"))
+    last = latest.select("listing_id", F.col("price").alias("last_price"))
     series = resolved(listings).select("listing_id", "product_id", "store", "listing_url").join(last, "listing_id")
     live = offers.where(_live()).groupBy("product_id").agg(
         F.min(F.struct("price", "store", "listing_url")).alias("c"))

@@ -66,6 +66,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan's narrow rows dealt by key, where it comes in fewer partitions than the session shuffles into.
+
+    For heavy work per row after a small file: one row group can't be split, whatever spark.sql.files.maxPartitionBytes says. A large
+    table comes in many partitions and is passed on as it is.
+    """
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

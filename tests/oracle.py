@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import decimal
 import math
+import os
 import sys
 import time
 
 import duckdb
 
+#: Queries that SQL can't express: other tests hold them against plain code, brute force or held-out labels.
+CHECKED_ELSEWHERE = {"pipeline", "op1_quality", "op2_token_counts", "op3_toxicity", "op4_near_vectors", "op6_mixing", "op7_packing", "op9_main_text",
+                     "op10_url_rules", "op12_secrets", "op13_periodic_runs"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -43,7 +47,7 @@ def compare(spark, connection, folder, name, function, sql):
     frame = function(spark, folder)
     got = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
     if sql is None:
-        return f"rows {len(got[1])}", True
+        return f"rows {len(got[1])}, without SQL", name in CHECKED_ELSEWHERE
     relation = connection.sql(sql)
     want = rows_of(relation.columns, relation.fetchall())
     if got[0] != want[0]:
@@ -61,7 +65,7 @@ def main() -> None:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:]
-    spark = local_session()
+    spark = local_session(os.environ.get("CORES", "8"))
     connection = duck(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = []

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,48 @@ def test_neighbours_do_not_depend_on_tiles(spark, tile_rows, bin_rows):
     assert got == want
 
 
+def test_neighbours_in_one_large_brand(spark):
+    """A brand of 50,000 listings, a third of them in one store: the rows of brute force, and each vector shipped as often as its brand has units."""
+    rng = np.random.default_rng(8)
+    n, size = 50_000, 8
+    homes = rng.normal(size=(40, size))
+    vectors = homes[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, size))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype("float32")
+    stores = np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 4, n))
+    frame = spark.createDataFrame(pa.table({"listing_id": pa.array(np.arange(n)), "store": pa.array([f"s{s}" for s in stores]), "brand_key": pa.array(["hot"] * n),
+                                            "embedding": pa.array(list(vectors))}))
+    pairs = spark.createDataFrame([("hot", "hot")], "key_a string, key_b string")
+    placed, sides = B.cells(frame, pairs)
+    units = -(-n // B.SIDE_ROWS)
+    assert placed.join(sides, ["brand_key", "unit"]).count() == n * units  # with each other unit, and with its own once
+    got = {}
+    for r in B.neighbours(frame, pairs).toPandas().itertuples():
+        got.setdefault((r.id, r.other_store), {})[r.rank] = r.other_id
+    exact = vectors.astype("float64")
+    for i in range(0, n, 211):
+        scored = np.rint(exact @ exact[i] * 10 ** 6)
+        for other in set(range(4)) - {stores[i]}:
+            inside = np.flatnonzero(stores == other)
+            want = inside[np.lexsort((inside, -scored[inside]))][:5]
+            assert [got[i, f"s{other}"][rank] for rank in range(1, 6)] == want.tolist()
+    assert len(got) == 3 * n
+
+
+def test_blocks_that_cannot_matter_are_not_multiplied():
+    rng = np.random.default_rng(1)
+    homes = rng.normal(size=(16, 12))
+    vectors = np.repeat(homes / np.linalg.norm(homes, axis=1, keepdims=True), 64, axis=0) + 0.001 * rng.normal(size=(1024, 12))
+    rows, columns = np.arange(0, 1024, 2), np.arange(1, 1024, 2)
+    row, column, score = B.best_products(vectors, rows, columns, 5, 32)
+    products = np.rint(vectors[rows] @ vectors[columns].T * 10 ** 6)
+    want = {(rows[i], columns[j]) for i in range(len(rows)) for j in np.lexsort((columns, -products[i]))[:5]}
+    assert set(zip(row, column)) == want and (score == np.rint((vectors[row] * vectors[column]).sum(axis=1) * 10 ** 6)).mean() > 0.99
+    here, there = B._Blocks(vectors, rows, 32), B._Blocks(vectors, columns, 32)
+    bounds = np.array([here.bounds(i, there) for i in range(len(here.rows))])
+    assert (bounds < 0.99).mean() > 0.8
+    assert all((vectors[a] @ vectors[b].T).max() <= bounds[i, j] + 1e-9 for i, a in enumerate(here.rows) for j, b in enumerate(there.rows))
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, x) for x in range(301, 330)]

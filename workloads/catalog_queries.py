@@ -8,13 +8,13 @@ from shelfwise.operators import catalog as C
 from shelfwise.operators import prices as P
 
 from . import views as V
-from .price_queries import HISTORY_SQL, ORDER, offers, since
+from .price_queries import HISTORY_SQL, offers, since
 from .registry import query
 
 
 def summary(spark, folder):
-    r = V.readings(spark, folder)
-    return C.product_summary(V.products(spark, folder), r, V.listings(spark, folder), since(r), ORDER)
+    latest = V.latest(spark, folder)
+    return C.product_summary(V.products(spark, folder), latest, V.listings(spark, folder), since(latest))
 
 
 SHOWN = "product_id, canonical_name, lowest_price, lowest_price_store, store_count"
@@ -101,8 +101,7 @@ ORDER BY CASE WHEN lower(canonical_name) = 'gear' THEN 0 WHEN starts_with(lower(
            OR starts_with(lower(canonical_name), lower(brand) || ' gear') THEN 1 ELSE 2 END,
          lowest_price IS NULL, store_count DESC, is_verified DESC, image_url IS NULL, canonical_name, product_id LIMIT 40""")
 def catalog_sort_relevance(spark, folder):
-    verified = P.verified_discounts(V.readings(spark, folder), offers(spark, folder), V.products(spark, folder),
-                                    V.WINDOW_DAYS, order=ORDER)
+    verified = P.verified_discounts(V.state(spark, folder), offers(spark, folder), V.products(spark, folder))
     rows = C.text_search(C.on_sale(summary(spark, folder), V.listings(spark, folder)), ["gear"])
     rows = C.with_verified(rows, verified)
     return shown(C.page(rows, C.sort_columns("relevance", searched=True, collation=None), limit=40), "is_verified")
@@ -126,10 +125,12 @@ SELECT o.product_id, o.listing_id, p.canonical_name, o.price, o.is_stale,
        {V.stamp_sql('s.last_updated')} AS last_updated
 FROM offers o JOIN products p ON p.product_id = o.product_id JOIN stats s ON s.product_id = o.product_id""")
 def product_detail(spark, folder):
-    o = offers(spark, folder)
-    rows = C.product_offers(o, V.products(spark, folder)).join(P.offer_stats(o).select("product_id", "last_updated"), "product_id")
-    return rows.select("product_id", "listing_id", "canonical_name", "price", "is_stale", "price_per_ml",
-                       F.col("place").cast("bigint").alias("place"), V.stamp("last_updated").alias("last_updated"))
+    """The pages of all products, their price rows numbered as shown."""
+    products = V.products(spark, folder)
+    pages = C.product_detail(offers(spark, folder), products, products)
+    rows = pages.select("product_id", "canonical_name", "last_updated", F.posexplode("prices").alias("place", "p"))
+    return rows.select("product_id", "p.listing_id", "canonical_name", "p.price", "p.is_stale", "p.price_per_ml",
+                       (F.col("place") + 1).cast("bigint").alias("place"), V.stamp("last_updated").alias("last_updated"))
 
 
 @query("variants", V.SUMMARY + f"""
@@ -154,3 +155,74 @@ def featured(spark, folder):
     rows = C.featured_candidates(offers(spark, folder), V.products(spark, folder), V.listings(spark, folder),
                                  ("store1", "store2", "store4"), min_stores=2)
     return rows.select("product_id", F.col("stores").cast("bigint").alias("stores"), "spread")
+
+
+@query("featured_pick", V.SUMMARY + """
+SELECT c.product_id, c.stores, c.spread FROM (
+  SELECT product_id, count(DISTINCT store) AS stores, max(price) - min(price) AS spread FROM offers
+  WHERE is_available AND NOT is_stale GROUP BY 1 HAVING count(DISTINCT store) >= 2) c JOIN products p USING (product_id)
+WHERE p.presentation = 'full_bottle' AND EXISTS (SELECT 1 FROM listings l WHERE l.product_id = c.product_id AND l.is_active
+   AND l.image_url IS NOT NULL AND l.store IN ('store1', 'store2', 'store4') AND l.matching_status IN ('matched', 'new_product'))
+ORDER BY c.stores DESC, c.spread DESC, c.product_id LIMIT 1""")
+def featured_pick(spark, folder):
+    rows = C.featured_candidates(offers(spark, folder), V.products(spark, folder), V.listings(spark, folder),
+                                 ("store1", "store2", "store4"), min_stores=2)
+    return C.featured(rows, preferred=-1).select("product_id", F.col("stores").cast("bigint").alias("stores"), "spread")
+
+
+ACCENTED_SQL = """
+SELECT p_partkey AS product_id, concat(CASE p_partkey % 8 WHEN 0 THEN 'Ébano ' WHEN 1 THEN 'ñandú ' WHEN 2 THEN 'Al ' WHEN 3 THEN 'al-' WHEN 4 THEN 'Nube '
+  WHEN 5 THEN 'lattafa ' WHEN 6 THEN 'Eau ' ELSE 'Lacoste ' END, p_name) AS canonical_name FROM part"""
+
+
+@query("catalog_sort_collated", f"WITH named AS ({ACCENTED_SQL}) SELECT product_id, canonical_name FROM named ORDER BY canonical_name COLLATE es, product_id LIMIT 100 OFFSET 50")
+def catalog_sort_collated(spark, folder):
+    """A page of names with accents, capitals and punctuation in Spanish order."""
+    V.table(spark, folder, "part").createOrReplaceTempView("part")
+    return C.page(spark.sql(ACCENTED_SQL), C.sort_columns("name"), limit=100, offset=50)
+
+
+@query("variants_order", f"WITH {V.PRODUCTS_SQL}" + """
+SELECT product_id, fragrance_id, row_number() OVER (PARTITION BY fragrance_id ORDER BY CASE presentation WHEN 'full_bottle' THEN 0 ELSE 4 END, volume_ml,
+  canonical_name COLLATE es, product_id) AS place FROM products""")
+def variants_order(spark, folder):
+    return C.variant_places(V.products(spark, folder)).select("product_id", "fragrance_id", F.col("place").cast("bigint").alias("place"))
+
+
+SEARCHES_SQL = """
+searches AS (
+  SELECT DISTINCT p_name || ' ' || substr(p_brand, 7) AS text FROM part UNION SELECT DISTINCT substr(p_name, 2, 5) || ' ' || CAST(p_size AS VARCHAR) FROM part
+  UNION SELECT DISTINCT upper(p_name) FROM part UNION SELECT DISTINCT p_brand || ' ' || p_name FROM part)"""
+
+
+@query("search_many", V.SUMMARY + f", {SEARCHES_SQL}" + r""",
+shown AS (SELECT product_id, lower(canonical_name) AS name, lower(brand) AS brand FROM products s WHERE EXISTS (
+  SELECT 1 FROM listings l WHERE l.product_id = s.product_id AND l.is_active AND l.matching_status IN ('matched', 'new_product'))),
+folded AS (SELECT text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS phrase FROM searches)
+SELECT text, product_id, CASE WHEN name = phrase THEN 0 WHEN starts_with(name, phrase) OR starts_with(name, brand || ' ' || phrase) THEN 1 ELSE 2 END AS text_rank
+FROM folded JOIN shown ON len(list_filter(string_split(phrase, ' '), lambda w: NOT contains(name || ' ' || brand, w))) = 0""")
+def search_many(spark, folder):
+    """Some thousand searches at once, among the products on sale."""
+    part = V.table(spark, folder, "part")
+    part.createOrReplaceTempView("part")
+    searches = spark.sql(f"WITH {SEARCHES_SQL.replace('VARCHAR', 'STRING')} SELECT text FROM searches")
+    rows = C.on_sale(V.products(spark, folder), V.listings(spark, folder))
+    return C.search_many(rows, searches, "text").select("text", "product_id", "text_rank")
+
+
+@query("semantic_many", V.SUMMARY + """,
+e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+shown AS (SELECT DISTINCT s.product_id, s.product_id % (SELECT count(*) FROM embeddings) AS vec_id FROM products s WHERE EXISTS (
+  SELECT 1 FROM listings l WHERE l.product_id = s.product_id AND l.is_active AND l.matching_status IN ('matched', 'new_product'))),
+scored AS (SELECT q.vec_id AS query_id, f.vec_id AS fragrance_id, round(list_dot_product(q.v, f.v), 6) AS similarity
+           FROM e q JOIN e f ON q.vec_id % 50 = 0 AND f.vec_id IN (SELECT vec_id FROM shown))
+SELECT query_id, fragrance_id, similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fragrance_id) AS rank FROM scored) WHERE rank <= 200""")
+def semantic_many(spark, folder):
+    """The 200 fragrances on sale nearest to each of a table of query vectors: those whose id is divisible by 50."""
+    vectors = V.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    count = vectors.agg(F.count(F.lit(1))).scalar()
+    shown = C.on_sale(V.products(spark, folder), V.listings(spark, folder)).select(F.pmod("product_id", count).alias("vec_id"))
+    fragrances = vectors.join(shown, "vec_id", "left_semi").select(F.col("vec_id").alias("fragrance_id"), "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return C.nearest_many(queries, fragrances).select("query_id", "fragrance_id", "similarity", F.col("rank").cast("bigint").alias("rank"))

@@ -11,6 +11,7 @@ from shelfwise.operators import products as PR
 from shelfwise.session import cut
 
 from . import match_queries as Q
+from . import match_sql as S
 from . import match_views as M
 from . import views as V
 from .registry import query
@@ -72,12 +73,42 @@ def id_preferences(spark, folder):
     return ranked.select("product_id", "product_key", choice.cast("bigint").alias("choice"))
 
 
-@query("assign_ids")
+# All keys rank products alike, by seniority, so products choose one after the other; those of another brand and name have no key in common.
+ASSIGNED_SQL = OLD_SQL + """,
+ranked AS (
+  SELECT product_id, product_key, row_number() OVER (PARTITION BY product_id ORDER BY
+      CASE WHEN NOT has_own THEN 0 WHEN NOT is_own AND place = 1 AND readings > own_readings THEN 0 WHEN is_own THEN 1 ELSE 2 END,
+      CASE WHEN has_own THEN -readings ELSE -listings END, CASE WHEN has_own THEN 0 ELSE -readings END, product_key) AS choice
+  FROM (SELECT *, row_number() OVER (PARTITION BY product_id, is_own ORDER BY readings DESC, product_key) AS place FROM (
+    SELECT p.*, coalesce(p.product_key = e.product_key, false) AS is_own, max(CASE WHEN p.product_key = e.product_key THEN readings END) OVER w AS own_readings,
+      count(*) FILTER (WHERE p.product_key = e.product_key) OVER w > 0 AS has_own
+    FROM parts p LEFT JOIN existing e USING (product_id) WINDOW w AS (PARTITION BY p.product_id)))),
+wishes AS (SELECT product_id, list(product_key ORDER BY choice) AS keys FROM ranked GROUP BY 1),
+seniors AS (
+  SELECT p.product_id, concat_ws('|', m.p_brand, m.p_name) AS line, keys, row_number() OVER (PARTITION BY m.p_brand, m.p_name ORDER BY total DESC, e.created_at IS NULL, e.created_at, CAST(p.product_id AS VARCHAR)) AS i
+  FROM (SELECT product_id, sum(coalesce(readings, 0)) AS total FROM previous LEFT JOIN history USING (listing_id) GROUP BY 1) p
+  JOIN m ON m.listing_id = p.product_id LEFT JOIN existing e ON e.product_id = p.product_id JOIN wishes w ON w.product_id = p.product_id),
+chosen AS (
+  SELECT line, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS VARCHAR) AS product_key FROM (SELECT DISTINCT line FROM seniors)
+  UNION ALL
+  SELECT s.line, s.i, CASE WHEN len(free) > 0 THEN list_append(gone, free[1]) ELSE gone END, s.product_id, free[1] FROM (
+    SELECT s.*, c.gone, list_filter(s.keys, lambda k: NOT list_contains(c.gone, k)) AS free FROM chosen c JOIN seniors s ON s.line = c.line AND s.i = c.i + 1) s),
+held AS (SELECT product_id, product_key FROM chosen WHERE product_key IS NOT NULL),
+assigned AS (SELECT k.product_key, h.product_id, CASE WHEN h.product_id IS NULL THEN 'new' ELSE 'kept' END AS how FROM (SELECT DISTINCT product_key FROM plan) k LEFT JOIN held h USING (product_key))"""
+
+
+@query("assign_ids", f"WITH RECURSIVE {ASSIGNED_SQL} SELECT product_key, product_id, how FROM assigned")
 def assign_ids(spark, folder):
     return built(spark, folder)[4]
 
 
-@query("id_audit")
+@query("id_audit", f"WITH RECURSIVE {ASSIGNED_SQL}" + """
+SELECT 'fusions' AS counter, count(*) AS value FROM (SELECT product_key FROM parts GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'splits', count(*) FROM (SELECT product_id FROM parts GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'swaps', count(*) FROM assigned WHERE product_id IS NOT NULL AND (product_id, product_key) NOT IN (SELECT (product_id, product_key) FROM parts)
+UNION ALL SELECT 'rekeyed', count(*) FROM assigned a LEFT JOIN existing e USING (product_id) WHERE a.product_id IS NOT NULL AND e.product_key IS DISTINCT FROM a.product_key
+UNION ALL SELECT 'displaced', count(*) FROM existing e JOIN assigned a ON a.product_key = e.product_key WHERE e.product_id NOT IN (SELECT product_id FROM held)
+UNION ALL SELECT 'reused', 0 UNION ALL SELECT 'new', count(*) FROM assigned WHERE how = 'new'""")
 def id_audit(spark, folder):
     plan, existing, previous, history, assigned = built(spark, folder)
     return I.id_audit(assigned, I.old_parts(plan, previous, history), existing, I.displaced(assigned, existing))
@@ -235,7 +266,15 @@ def error_lists(spark, folder):
     return wrong.unionByName(missed)
 
 
-@query("rules_precision")
+@query("rules_precision", S.recursive(S.RULED + S.WALK, f""", {M.LABELS_SQL.strip()},
+outcomes AS (SELECT coalesce(l.label = 'same' OR (l.label = 'same_fragrance_unknown_size' AND x.volume_ml = y.volume_ml), false) AS correct
+  FROM label_pairs l JOIN m x ON x.listing_url = l.url_a JOIN m y ON y.listing_url = l.url_b JOIN grouped g ON g.listing_id = x.listing_id JOIN grouped h ON h.listing_id = y.listing_id
+  WHERE g.group_id = h.group_id AND x.store <> y.store),
+counted AS (SELECT count(*) AS accepted FROM grouped g JOIN grouped h ON g.group_id = h.group_id AND g.listing_id < h.listing_id JOIN m x ON x.listing_id = g.listing_id
+  JOIN m y ON y.listing_id = h.listing_id WHERE x.store <> y.store)
+SELECT accepted, (SELECT count(*) FROM outcomes) AS labelled, (SELECT count(*) FILTER (WHERE correct) FROM outcomes) AS correct,
+  round(100 * (SELECT count(*) FILTER (WHERE correct) FROM outcomes) / nullif((SELECT count(*) FROM outcomes), 0), 1) AS precision_percent,
+  CASE WHEN accepted = (SELECT count(*) FROM outcomes) THEN 'exact' ELSE 'estimate' END AS coverage FROM counted"""))
 def rules_precision(spark, folder):
     """The full matcher graded against the labels, decided without them."""
     rows, d = Q.decisions(spark, folder, labelled=False)
@@ -246,13 +285,17 @@ def rules_precision(spark, folder):
     return E.precision(E.store_pair_report(E.label_outcomes(labels, members, d), members, d, accepted))
 
 
-@query("store_duplicates")
+@query("store_duplicates", S.recursive(S.DECIDED + S.PRODUCTS, """
+SELECT group_id, CAST(sum(n) AS BIGINT) AS listings, bool_or(differs) AS inconsistent FROM (
+  SELECT p.group_id, p.store, count(*) AS n, bool_or(sig IS NULL) OR coalesce(min(sig) <> max(sig), true) AS differs FROM placed p JOIN sigs s USING (listing_id) GROUP BY 1, 2 HAVING count(*) > 1)
+GROUP BY 1"""))
 def store_duplicates(spark, folder):
     rows, members, _ = Q.resolved_products(spark, folder)
     return E.store_duplicates(members, G.signature(rows))
 
 
-@query("same_store_products")
+@query("same_store_products", S.recursive(S.DECIDED + S.PRODUCTS, """
+SELECT product_key, store, name FROM placed WHERE (product_key, store) IN (SELECT (product_key, store) FROM placed WHERE product_key IS NOT NULL GROUP BY product_key, store HAVING count(*) > 1)"""))
 def same_store_products(spark, folder):
     rows, members, assigned = Q.resolved_products(spark, folder)
     return E.same_store_products(PR.listing_status(members, assigned), rows)

@@ -470,7 +470,11 @@ def backfill_flags(spark, folder):
 PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
-@query("fingerprint_table")
+@query("fingerprint_table", """
+WITH hashed AS (SELECT md5(concat_ws('|', 'p_partkey=' || coalesce(CAST(p_partkey AS VARCHAR), '∅'), 'p_name=' || coalesce(p_name, '∅'), 'p_brand=' || coalesce(p_brand, '∅'),
+  'p_type=' || coalesce(p_type, '∅'), 'p_size=' || coalesce(CAST(p_size AS VARCHAR), '∅'))) AS h FROM part)
+SELECT count(*) AS n, md5(concat_ws('-', CAST(coalesce(sum(CAST('0x' || h[1:12] AS BIGINT)), 0) AS VARCHAR), CAST(coalesce(sum(CAST('0x' || h[13:24] AS BIGINT)), 0) AS VARCHAR))) AS fingerprint
+FROM hashed""")
 def fingerprint_table(spark, folder):
     return I.fingerprint(V.table(spark, folder, "part"), PART_COLUMNS)
 

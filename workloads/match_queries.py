@@ -12,6 +12,7 @@ from shelfwise.operators import rules as R
 from shelfwise.operators import tokens as T
 from shelfwise.session import cut
 
+from . import match_sql as S
 from . import match_views as M
 from . import views as V
 from .registry import query
@@ -38,7 +39,9 @@ def normalize_names(spark, folder):
     return m.select("listing_id", full.alias("expanded"), text.alias("listing_text"), key.alias("brand_key"))
 
 
-@query("tokenize_names")
+@query("tokenize_names", f"WITH {S.LISTINGS}" + """
+SELECT listing_id, identity, listing_key, presentation, array_to_string(words, ' ') AS words, array_to_string(coded_words, ' ') AS coded_words, array_to_string(core, ' ') AS core,
+  array_to_string(core, ' ') AS name_words, array_to_string(identity_core, ' ') AS identity_core, array_to_string(store_words, ' ') AS store_words, array_to_string(list_sort(exact_variants), ' ') AS variants, array_to_string(edition_list, ' ') AS editions FROM tok""")
 def tokenize_names(spark, folder):
     return M.tokens(spark, folder).select(
         "listing_id", "identity", "listing_key", "presentation",
@@ -213,9 +216,9 @@ def veto_chain(spark, folder):
     return d.select("a", "b", F.when(F.col("reason").isin(*NAME_STEP), "open").otherwise(F.col("reason")).alias("settled"))
 
 
-@query("decide_with_labels")
+@query("decide_with_labels", S.recursive(S.DECIDED, "SELECT a, b, similarity, kind, reason FROM decisions"))
 def decide_with_labels(spark, folder):
-    return decisions(spark, folder)[1].select("a", "b", F.round("similarity", 4).alias("similarity"), "kind", "reason")
+    return decisions(spark, folder)[1].select("a", "b", "similarity", "kind", "reason")
 
 
 @query("human_labels_win", f"WITH {M.LISTINGS_SQL}, {M.LABELS_SQL}" + """
@@ -227,7 +230,7 @@ def human_labels_win(spark, folder):
     return decisions(spark, folder)[1].where(F.startswith("reason", F.lit("human_"))).select("a", "b", "kind", "reason")
 
 
-@query("decision_summary")
+@query("decision_summary", S.recursive(S.DECIDED, "SELECT kind, reason, count(*) AS pairs FROM decisions GROUP BY 1, 2"))
 def decision_summary(spark, folder):
     return R.decision_summary(decisions(spark, folder)[1])
 
@@ -249,29 +252,30 @@ def resolved_products(spark, folder):
     return rows, members, assigned
 
 
-@query("constrained_groups")
+@query("constrained_groups", S.recursive(S.DECIDED + S.WALK, "SELECT a, b, round(similarity, 4) AS similarity, group_id FROM accepted"))
 def constrained_groups(spark, folder):
     return grouped(spark, folder)[2].select("a", "b", F.round("similarity", 4).alias("similarity"), "group_id")
 
 
-@query("group_members")
+@query("group_members", S.recursive(S.DECIDED + S.WALK, "SELECT listing_id, group_id, round(confidence, 3) AS confidence FROM grouped"))
 def group_members(spark, folder):
     return G.group_members(grouped(spark, folder)[2]).withColumn("confidence", F.round("confidence", 3))
 
 
-@query("open_reviews")
+@query("open_reviews", S.recursive(S.DECIDED + S.REVIEWS, "SELECT a, b, round(similarity, 3) AS similarity, reason FROM reviews"))
 def open_reviews(spark, folder):
     rows, d, accepted = grouped(spark, folder)
     return G.review_queue(d, accepted, rows).withColumn("similarity", F.round("similarity", 3))
 
 
-@query("product_rollup")
+@query("product_rollup", S.recursive(S.DECIDED + S.PRODUCTS, """
+SELECT product_key, identity, concentration, volume_ml, presentation, listings, several_stores FROM products JOIN sold USING (product_key)"""))
 def product_rollup(spark, folder):
     _, members, assigned = resolved_products(spark, folder)
     return PR.product_table(assigned, members).select("product_key", "identity", "concentration", "volume_ml", "presentation", "listings", "several_stores")
 
 
-@query("listing_status")
+@query("listing_status", S.recursive(S.DECIDED + S.PRODUCTS, "SELECT * FROM status"))
 def listing_status(spark, folder):
     _, members, assigned = resolved_products(spark, folder)
     return PR.listing_status(members, assigned)
@@ -284,18 +288,21 @@ def names(spark, folder):
         PR.reference_names(members, assigned, PR.brand_spelling(rows), M.LEXICON), table)))
 
 
-@query("reference_listing")
+@query("reference_listing", S.recursive(S.DECIDED + S.NAMES, "SELECT identity, brand, name, listings, reference_listing FROM reference"))
 def reference_listing(spark, folder):
     rows, members, assigned = resolved_products(spark, folder)
     return PR.reference_names(members, assigned, PR.brand_spelling(rows), M.LEXICON)
 
 
-@query("unique_names")
+@query("unique_names", S.recursive(S.DECIDED + S.NAMES, "SELECT * FROM unique_names"))
 def unique_names(spark, folder):
     return names(spark, folder)[1]
 
 
-@query("canonical_names")
+@query("canonical_names", S.recursive(S.DECIDED + S.NAMES, """
+SELECT product_key, brand, name AS line_name, u.gender, array_to_string(list_filter([brand, CASE WHEN lower(trim(name)) = lower(trim(brand)) THEN '' ELSE name END,
+  CASE concentration WHEN 'edp' THEN 'EDP' WHEN 'edt' THEN 'EDT' ELSE '' END, CAST(volume_ml AS VARCHAR) || ' ml'], lambda x: x <> ''), ' ')
+  || CASE WHEN presentation = 'travel_set' THEN ' (set)' ELSE '' END AS canonical_name FROM products JOIN unique_names u USING (identity)"""))
 def canonical_names(spark, folder):
     table, unique = names(spark, folder)
     return PR.canonical_products(table, unique).select("product_key", "brand", "line_name", "gender", "canonical_name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.fixed import Lexicon
 from shelfwise.operators import tokens as T
+from shelfwise.session import spread
 
 from .views import table
 
@@ -68,7 +69,7 @@ def with_vectors(spark: SparkSession, folder: str, listings: DataFrame) -> DataF
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return T.tokenize_listings(match_listings(spark, folder), LEXICON)
+    return T.tokenize_listings(spread(match_listings(spark, folder), "listing_id"), LEXICON)
 
 
 def token_vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators import prices as P
+from shelfwise.operators import state as S
 
 from . import views as V
 from .registry import query
 
-ORDER = V.READING_ORDER
 
 
 def since(r: DataFrame):
@@ -18,14 +18,14 @@ def since(r: DataFrame):
 
 
 def offers(spark, folder) -> DataFrame:
-    r = V.readings(spark, folder)
-    return P.current_offers(r, V.listings(spark, folder), since(r), ORDER)
+    latest = V.latest(spark, folder)
+    return S.offers_of(latest, V.listings(spark, folder), since(latest))
 
 
 @query("latest_reading", V.PRICES + f"""
 SELECT listing_id, product_id, store, {V.stamp_sql('scraped_at')} AS scraped_at, price, list_price, is_available FROM latest""")
 def latest_reading(spark, folder):
-    return P.latest_readings(V.readings(spark, folder), order=ORDER).select(
+    return V.latest(spark, folder).select(
         "listing_id", "product_id", "store", V.stamp("scraped_at").alias("scraped_at"), "price", "list_price", "is_available")
 
 
@@ -69,7 +69,7 @@ def lowest_price(spark, folder):
 
 @query("product_image", V.OFFERS + "SELECT product_id, image_url FROM image")
 def product_image(spark, folder):
-    return P.product_image(V.readings(spark, folder), V.listings(spark, folder), ORDER)
+    return P.product_image(V.latest(spark, folder), V.listings(spark, folder))
 
 
 HISTORY_SQL = f"""
@@ -102,7 +102,7 @@ history AS (
 SELECT listing_id, history_status, history_reference, {V.stamp_sql('history_reference_at')} AS history_reference_at,
        {V.stamp_sql('observed_from')} AS observed_from, points_in_window, undiscounted_points FROM history""")
 def history_check(spark, folder):
-    return P.history_check(V.readings(spark, folder), V.WINDOW_DAYS, order=ORDER).select(
+    return P.history_verdicts(V.state(spark, folder)).select(
         "listing_id", "history_status", "history_reference", V.stamp("history_reference_at").alias("history_reference_at"),
         V.stamp("observed_from").alias("observed_from"), "points_in_window", "undiscounted_points")
 
@@ -154,7 +154,7 @@ def market_check(spark, folder):
 SELECT m.listing_id, m.product_id, market_status, market_reference, percent_above, history_status, history_reference
 FROM market m JOIN history h USING (listing_id)""")
 def both_checks(spark, folder):
-    return P.both_checks(V.readings(spark, folder), offers(spark, folder), V.WINDOW_DAYS, ORDER).select(
+    return P.both_checks(V.state(spark, folder), offers(spark, folder)).select(
         "listing_id", "product_id", "market_status", "market_reference", "percent_above", "history_status",
         "history_reference")
 
@@ -169,8 +169,7 @@ FROM (SELECT *, 1000 * (list_price - price) AS n FROM offers) o JOIN history h U
      JOIN market m USING (listing_id) JOIN products p ON p.product_id = o.product_id
 WHERE o.is_available AND NOT o.is_stale AND o.list_price > o.price AND h.history_status = 'consistent'""")
 def verified_discounts(spark, folder):
-    rows = P.verified_discounts(V.readings(spark, folder), offers(spark, folder), V.products(spark, folder),
-                                V.WINDOW_DAYS, order=ORDER)
+    rows = P.verified_discounts(V.state(spark, folder), offers(spark, folder), V.products(spark, folder))
     return rows.select("listing_id", "product_id", "canonical_name", "brand", "store", "price", "list_price",
                        "discount_amount", "discount_percent", "history_reference", "market_status")
 
@@ -184,6 +183,16 @@ def price_series(spark, folder):
         "list_price", "is_available")
 
 
+@query("series_points", f"WITH {V.READINGS_SQL}, {V.LISTINGS_SQL}" + f"""
+SELECT r.product_id, r.listing_id, l.listing_url, count(*) AS points, string_agg({V.stamp_sql('r.scraped_at')} || '=' || CAST(r.price AS VARCHAR), ';'
+  ORDER BY r.scraped_at, r.price, r.list_price NULLS FIRST, r.is_available) AS series
+FROM readings r JOIN listings l USING (listing_id) WHERE l.matching_status IN ('matched', 'new_product') GROUP BY ALL""")
+def series_points(spark, folder):
+    nested = P.nest_series(P.price_points(V.readings(spark, folder), V.listings(spark, folder)))
+    text = F.array_join(F.transform("points", lambda p: F.concat(V.stamp(p["scraped_at"]), F.lit("="), p["price"].cast("string"))), ";")
+    return nested.select("product_id", "listing_id", "listing_url", F.size("points").cast("bigint").alias("points"), text.alias("series"))
+
+
 @query("price_ladder", V.OFFERS + """,
 scale AS (SELECT product_id, min(CASE WHEN is_available AND NOT is_stale THEN price END) AS low,
                  max(coalesce(list_price, price)) AS top FROM offers GROUP BY 1)
@@ -205,7 +214,7 @@ SELECT product_id, stores_in_stock, stores, range_low, range_high, CASE WHEN hig
 FROM live LEFT JOIN recent USING (product_id)""")
 def range_30d(spark, folder):
     r = V.readings(spark, folder)
-    return P.product_facts(r, offers(spark, folder), P.newest_instant(r), 365).select(
+    return P.product_facts(r, offers(spark, folder), P.newest_instant(V.latest(spark, folder)), 365).select(
         "product_id", F.col("stores_in_stock").cast("bigint").alias("stores_in_stock"),
         F.col("stores").cast("bigint").alias("stores"), "range_low", "range_high", "saving")
 
@@ -237,8 +246,7 @@ SELECT product_id, listing_id, CASE WHEN repeats > 1 THEN store || ' (' || place
        last_price, row_number() OVER (PARTITION BY product_id ORDER BY cheapest DESC, stale, last_price, place) AS position
 FROM rows""")
 def series_order(spark, folder):
-    r = V.readings(spark, folder)
-    return P.series_order(r, offers(spark, folder), V.listings(spark, folder), ORDER).withColumn(
+    return P.series_order(V.latest(spark, folder), offers(spark, folder), V.listings(spark, folder)).withColumn(
         "position", F.col("position").cast("bigint"))
 
 

@@ -15,5 +15,9 @@ def stage(spark, folder: str, name: str, build: Callable[[], Any]):
     return _BUILT[key]
 
 
+def built(spark, folder: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, folder, name) in _BUILT
+
+
 def forget() -> None:
     _BUILT.clear()

@@ -17,6 +17,7 @@ from shelfwise.sources import payloads as Y
 from shelfwise.sources import tables as T
 
 from . import match_queries as Q
+from . import match_sql as S
 from . import views as V
 from .registry import query
 
@@ -415,7 +416,14 @@ def labels_first_wins(spark, folder):
     return L.first_wins(label_rows(spark, folder))
 
 
-@query("review_queue")
+REVIEW_RANK = "CASE {s}.store WHEN 'store3' THEN 0 WHEN 'store1' THEN 1 ELSE 2 END"
+
+
+@query("review_queue", S.recursive(S.DECIDED + S.REVIEWS, f""", oriented AS (
+  SELECT *, {REVIEW_RANK.format(s='y')} < {REVIEW_RANK.format(s='x')} AS swap FROM reviews JOIN tok x ON x.listing_id = a JOIN tok y ON y.listing_id = b)
+SELECT printf('%.3f', r.similarity) AS similarity, r.reason, '' AS label, '' AS reviewer_note, l.store AS store_a, l.name AS name_a, l.volume_ml AS volume_ml_a, l.concentration AS concentration_a,
+  l.listing_url AS url_a, t.store AS store_b, t.name AS name_b, t.volume_ml AS volume_ml_b, t.concentration AS concentration_b, t.listing_url AS url_b
+FROM (SELECT similarity, reason, CASE WHEN swap THEN b ELSE a END AS l, CASE WHEN swap THEN a ELSE b END AS t FROM oriented) r JOIN tok l ON l.listing_id = r.l JOIN tok t ON t.listing_id = r.t"""))
 def review_queue(spark, folder):
     from shelfwise.operators import grouping as G
 

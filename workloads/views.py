@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.operators import prices as P
+from shelfwise.operators import state as S
+from shelfwise.session import cut
+
+from .stages import built, stage
+
 STALE_DAYS = 365    # readings are years apart here: widen the two-day default
 WINDOW_DAYS = 1460
 
@@ -74,9 +80,22 @@ def listings_from(source: DataFrame) -> DataFrame:
     )
 
 
+def state(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing's latest reading and the window before it, published once and read by all queries of a job."""
+    return stage(spark, folder, "state", lambda: cut(S.listing_state(
+        S.instants(readings(spark, folder), READING_ORDER, ("product_id", "store")), WINDOW_DAYS)))
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing's latest reading, in one scan; of the state, where that was published."""
+    if built(spark, folder, "state"):
+        return state(spark, folder).drop(*S.HISTORY)
+    return stage(spark, folder, "latest", lambda: cut(P.latest_readings(readings(spark, folder), order=READING_ORDER)))
+
+
 def listings(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = readings(spark, folder).select("listing_id", "product_id", "store").distinct()
-    return listings_from(pairs)
+    """A listing is a product in a store, so its latest reading names it."""
+    return listings_from(latest(spark, folder).select("listing_id", "product_id", "store"))
 
 
 LISTINGS_SQL = """
