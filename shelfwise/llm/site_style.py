@@ -124,16 +124,22 @@ def settle(root: dom.Node) -> list[dom.Node]:
     What holds all text of a page, beside what drop_apart would drop, stays. Vague names count outside articles only, and never for
     all the text of a page.
     """
-    nodes = list(_walk(root))
-    order = {id(n): i for i, n in enumerate(nodes)}
     full, holds, size = set(), set(), {}
-    for node in reversed(nodes):
-        apart = node.tag in APART_TAGS or _is_hidden(node)
-        size[id(node)] = 0 if apart else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in node.children)
-        if any(c.strip() if isinstance(c, str) else id(c) in full for c in node.children):
+    for node in reversed(_nodes(root)):
+        own, some, held = 0, False, False
+        for c in node.children:
+            if isinstance(c, str):
+                inner = len(c.strip())
+                some = some or inner > 0
+            else:
+                inner, key = size[id(c)], id(c)
+                some, held = some or key in full, held or key in holds
+            own += inner
+        if some:
             full.add(id(node))
-        if id(node) in full and is_main(node) or any(not isinstance(c, str) and id(c) in holds for c in node.children):
+        if held or some and is_main(node):
             holds.add(id(node))
+        size[id(node)] = 0 if node.tag in APART_TAGS or node.attributes and _is_hidden(node) else own
     elsewhere, stack = False, [(root, False)]
     while stack and not elsewhere:
         node, inside = stack.pop()
@@ -171,7 +177,20 @@ def settle(root: dom.Node) -> list[dom.Node]:
         if not "".join(_text(root)).strip():
             for node in vague:
                 node.children = inner[id(node)]
-    return sorted(mains, key=lambda n: order[id(n)]) or [root]
+    if len(mains) > 1:
+        order = {id(n): i for i, n in enumerate(_walk(root))}
+        mains.sort(key=lambda n: order[id(n)])
+    return mains or [root]
+
+
+def _nodes(root: dom.Node) -> list[dom.Node]:
+    """All elements, parents before children."""
+    out = [root]
+    for node in out:
+        for c in node.children:
+            if not isinstance(c, str):
+                out.append(c)
+    return out
 
 
 def _walk(node: dom.Node) -> Iterator[dom.Node]:
@@ -199,19 +218,26 @@ def clean(parts: Iterator[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _leaves(root: dom.Node) -> set[int]:
-    """Ids of the branches of text and inline elements alone."""
+def _leaves(nodes: list[dom.Node]) -> set[int]:
+    """Ids of the branches of text and inline elements alone; nodes: parents before children."""
     out: set[int] = set()
-    for node in reversed(list(_walk(root))):
-        if all(isinstance(c, str) or c.tag == "br" or c.tag in dom.INLINE and id(c) in out for c in node.children):
+    for node in reversed(nodes):
+        for c in node.children:
+            if not isinstance(c, str) and c.tag != "br" and (c.tag not in dom.INLINE or id(c) not in out):
+                break
+        else:
             out.add(id(node))
     return out
 
 
-def enclose(root: dom.Node) -> None:
-    """Put runs of text and inline elements that stand beside blocks each in an element of its own, so that they are branches too."""
-    leaves = _leaves(root)
-    for node in list(_walk(root)):
+def enclose(root: dom.Node) -> set[int]:
+    """Put runs of text and inline elements that stand beside blocks each in an element of its own, so that they are branches too.
+
+    Returns the ids of the page's leaves: branches of text and inline elements alone.
+    """
+    nodes = _nodes(root)
+    leaves = _leaves(nodes)
+    for node in nodes:
         if id(node) in leaves:
             continue
         kept: list[dom.Node | str] = []
@@ -220,14 +246,17 @@ def enclose(root: dom.Node) -> None:
             if isinstance(child, str) or child is not None and (child.tag == "br" or child.tag in dom.INLINE and id(child) in leaves):
                 run.append(child)
                 continue
-            if any(not isinstance(c, str) or c.strip() for c in run):
-                own = dom.Node("span", {}, node)
-                own.children, run = run, [own]
-            kept.extend(run)
-            run = []
+            if run:
+                if any(not isinstance(c, str) or c.strip() for c in run):
+                    own = dom.Node("span", {}, node)
+                    own.children, run = run, [own]
+                    leaves.add(id(own))
+                kept.extend(run)
+                run = []
             if child is not None:
                 kept.append(child)
         node.children = kept
+    return leaves
 
 
 PATH, STYLE, CONTENT = 0, 1, 2
@@ -249,15 +278,26 @@ class StyleNode:
     style: int | None   # key of another element's sequence of children's styles
 
 
-def style_nodes(root: dom.Node, host: str | None) -> Iterator[StyleNode]:
-    """The elements of an enclosed page from the root down; leaves are branches of text and inline elements alone, empty ones are left out."""
-    leaves = _leaves(root)
-    stack = [(root, _hash(host or "", 0))]
+def style_nodes(page: Page, host: str | None, names: bool = False, article_only: bool = False) -> Iterator[StyleNode]:
+    """The elements of a page from the root down; empty leaves are left out.
+
+    With `names`, leaves inside what names itself the article have no finer keys, as these don't count there; article_only leaves out
+    everything else.
+    """
+    leaves = page.leaves
+    stack = [(page.root, _hash(host or "", 0), False)]
     while stack:
-        node, path = stack.pop()
+        node, path, inside = stack.pop()
+        inside = inside or names and is_main(node)
+        if article_only and not inside:
+            if id(node) not in leaves:
+                stack.extend((c, _hash(f"{c.tag} {_named(c).strip()}", path), False) for c in node.children if not isinstance(c, str))
+            continue
         if id(node) in leaves:
             text = clean(_text(node))
-            if text:
+            if text and inside:
+                yield StyleNode(node, path, _hash(text, path ^ _TEXT), [], None)
+            elif text:
                 finer = {_hash(w, path ^ _WORD) for w in text.split()}
                 for inner in _walk(node):
                     if inner.attributes:
@@ -268,23 +308,35 @@ def style_nodes(root: dom.Node, host: str | None) -> Iterator[StyleNode]:
         below = [c for c in node.children if not isinstance(c, str)]
         styles = [f"{c.tag} {_named(c).strip()}" for c in below]
         yield StyleNode(node, path, None, [], _hash("\x1f".join(styles), path ^ _LOOK))
-        stack.extend((c, _hash(s, path)) for c, s in zip(below, styles))
+        stack.extend((c, _hash(s, path), inside) for c, s in zip(below, styles))
 
 
-def _page(source: str | None) -> dom.Node:
+@dataclasses.dataclass
+class Page:
+    """A page's DOM, enclosed, and the ids of its leaves."""
+
+    root: dom.Node
+    leaves: set[int]
+
+
+def _page(source: str | None) -> Page:
     root = dom.parse(source or "")
-    enclose(root)
-    return root
+    return Page(root, enclose(root))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _has_article(page: Page) -> bool:
+    """Whether some element names itself the article and holds text."""
+    return any(is_main(n) and any(t.strip() for t in _text(n)) for n in _nodes(page.root))
+
+
+def _features(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
     """How many pages of a slice have each (path, kind, key); a path's own rows, its number of pages, have the key 0."""
     for batch in batches:
         for part in words.slices(batch, "html"):
             count: dict[tuple[int, int, int], int] = {}
             for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 own = set()
-                for at in style_nodes(_page(source), host):
+                for at in style_nodes(_page(source), host, names):
                     own.add((at.path, PATH, 0))
                     if at.style is not None:
                         own.add((at.path, STYLE, at.style))
@@ -299,8 +351,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["path", "kind", "key", "n"])
 
 
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(key, path, value): the entries of the style tree that make branches less important; pages: host, html.
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, names: bool = False) -> DataFrame:
+    """(key, path, value): the entries of the style tree that make branches less important; pages: host, html. `names` as in style_nodes.
 
     For content, value is the entropy of its spread over the pages that have its path, to base their number: log n / log m, so 1 where
     all m pages have it and 0 where one has. Content on fewer than m ** OWN_POWER pages is the page's own and has no entry. For a
@@ -308,7 +360,7 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     -1. All pages of a host take part; they are counted per slice first, so a hot host is no one's group, and what one page has alone goes
     no further than the first shuffle.
     """
-    seen = pages.mapInArrow(_features, "path long, kind byte, key long, n long")
+    seen = pages.mapInArrow(lambda b: _features(b, names), "path long, kind byte, key long, n long")
     each = seen.groupBy("path", "kind", "key").agg(F.sum("n").alias("n"))
     each = cut(each.where((F.col("kind") != CONTENT) | (F.col("n") >= max(2, min_pages ** OWN_POWER))))
     paths = each.where(F.col("kind") == PATH).select("path", F.col("n").alias("m")).where(F.col("m") >= min_pages)
@@ -339,37 +391,43 @@ class Known:
 NOTHING_KNOWN = Known(np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
-def importance(root: dom.Node, known: Known, host: str | None, inside_main: set[int], damping: float = DAMPING) -> None:
-    """Set each element's composite importance.
+def importance(page: Page, known: Known, host: str | None, names: bool, article_only: bool = False, damping: float = DAMPING) -> float:
+    """Set each element's composite importance; return the least of a leaf.
 
     A leaf's is what its whole text leaves, or the mean of what its words, links and attributes leave, if there are LEAST_EVIDENCE of them, whichever
-    is less; inside what names itself the article (ids of elements) the whole text alone. Another element's weighs its presentation and its children's mean.
+    is less; with `names`, inside what names itself the article the whole text alone. Another element's weighs its presentation and its children's mean.
     """
-    nodes = list(style_nodes(root, host))
-    keys = [k for at in nodes for k in ((at.text, *at.finer) if at.style is None else (at.path,))]
+    nodes = list(style_nodes(page, host, names, article_only))
+    if not nodes:
+        return 1.0
+    sizes = np.array([1 + len(at.finer) for at in nodes])
+    keys = [k for at in nodes for k in ((at.text if at.style is None else at.path), *at.finer)]
     values = known.of(np.array(keys, np.uint64).view(np.int64))
-    ends = np.cumsum([1 + len(at.finer) if at.style is None else 1 for at in nodes])
-    for at, end in zip(reversed(nodes), reversed(ends.tolist())):
-        own = values[end - 1 - len(at.finer):end] if at.style is None else values[end - 1:end]
+    starts = np.cumsum(sizes) - sizes
+    left = 1 - np.nan_to_num(values)
+    whole = left[starts]
+    others = (np.add.reduceat(left, starts) - whole) / np.maximum(sizes - 1, 1)
+    weights = np.where(sizes > LEAST_EVIDENCE, np.minimum(whole, others), whole).tolist()
+    for at, weight, value in zip(reversed(nodes), reversed(weights), reversed(values[starts].tolist())):
         if at.style is None:
-            left = 1 - np.nan_to_num(own)
-            at.node.weight = float(left[0]) if id(at.node) in inside_main or len(left) <= LEAST_EVIDENCE else float(min(left[0], left[1:].mean()))
+            at.node.weight = weight
             continue
-        look, styles = (1.0, 1) if np.isnan(own[0]) else (float(own[0]) + round(-float(own[0]) + 0.5), max(round(-float(own[0]) + 0.5), 1))
+        styles = 1 if value != value else max(round(0.5 - value), 1)
+        look = 1.0 if value != value else value + round(0.5 - value)
         below = [c.weight for c in at.node.children if not isinstance(c, str)]
         loose = any(isinstance(c, str) and c.strip() for c in at.node.children)
         share = damping ** styles
         mean = 1.0 if loose else sum(below) / len(below) if below else 1.0
         at.node.weight = (1 - share) * look + share * mean
+    return min((w for at, w in zip(nodes, weights) if at.style is None), default=1.0)
 
 
-def prune(root: dom.Node, min_importance: float) -> None:
+def prune(page: Page, min_importance: float) -> None:
     """Remove the branches that, like everything in them, are of little importance."""
-    leaves = _leaves(root)
     stays: set[int] = set()
-    for node in reversed(list(_walk(root))):
+    for node in reversed(_nodes(page.root)):
         below = False
-        if id(node) not in leaves:
+        if id(node) not in page.leaves:
             node.children = [c if isinstance(c, str) or id(c) in stays else " " for c in node.children]
             below = any(not isinstance(c, str) or c.strip() for c in node.children)
         if below or node.weight >= min_importance:
@@ -379,23 +437,24 @@ def prune(root: dom.Node, min_importance: float) -> None:
 def main_text(source: str | None, known: Known = NOTHING_KNOWN, host: str | None = None, min_importance: float = MIN_IMPORTANCE,
               names: bool = True) -> str:
     """The main text of one page. Without `names` the style tree alone decides, and the whole page is the article."""
-    root = _page(source)
-    mains = [n for n in _walk(root) if is_main(n)] if names else []
-    importance(root, known, host, {id(n) for main in mains for n in _walk(main)})
-    if names:
-        mains = settle(root)
-        if not any(clean(_text(m)) for m in mains):
-            root = _page(source)
-            importance(root, known, host, set())
-            drop_apart(root)
-            mains = [root]
-    else:
-        mains = [root]
+    page = _page(source)
+    articles = names and _has_article(page)
+    least = importance(page, known, host, names, articles) if len(known.keys) else 1.0
+    mains = settle(page.root) if names else [page.root]
+    if names and not any(clean(_text(m)) for m in mains) or articles and mains == [page.root]:
+        empty = not any(clean(_text(m)) for m in mains)
+        page = _page(source)
+        least = importance(page, known, host, names and not empty) if len(known.keys) else 1.0
+        if empty:
+            drop_apart(page.root)
+            mains = [page.root]
+        else:
+            mains = settle(page.root)
     texts = [clean(_text(m)) for m in mains]
-    if len(known.keys):
-        prune(root, min_importance)
+    if least < min_importance:
+        prune(page, min_importance)
         left = [clean(_text(m)) for m in mains]
-        if mains == [root] or any(left):
+        if mains == [page.root] or any(left):
             texts = left
     return " ".join(t for t in texts if t)
 
@@ -446,7 +505,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """
     plain = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"),
                          host_of(F.col(url_column)).alias("host"))
-    tree = cut(style_tree(plain.select("host", "html"), min_pages))
+    tree = cut(style_tree(plain.select("host", "html"), min_pages, names))
     kinds = "page_id long, url string, text string"
     if tree.count() <= broadcast_entries:
         table = tree.select("key", F.col("value").cast("float")).toArrow()
