@@ -57,16 +57,16 @@ def listing_state(merged: DataFrame, window_days: int = HISTORY_WINDOW_DAYS) ->
     reading. A listing's instants meet one row; the aggregate after it combines within tasks, and skewed joins are split at run time.
     """
     current = current_state(merged)
-    bound = current.select("listing_id", F.col("scraped_at").alias("current_at"))
-    start = F.col("current_at") - F.expr(f"INTERVAL {int(window_days)} DAYS")
+    now = current.select("listing_id", F.struct(*(c for c in current.columns if c != "listing_id")).alias("now"))
+    start = F.col("now.scraped_at") - F.expr(f"INTERVAL {int(window_days)} DAYS")
     window = (
-        merged.select("listing_id", "scraped_at", "points", "undiscounted", "highest").join(bound, "listing_id").where(F.col("scraped_at") >= start)
+        merged.select("listing_id", "scraped_at", "points", "undiscounted", "highest").join(now, "listing_id").where(F.col("scraped_at") >= start)
         .groupBy("listing_id").agg(
+            F.first("now").alias("now"),  # the same in all rows of a listing, which has one at least: the latest itself
             F.max(F.when(F.col("undiscounted") > 0, F.struct("highest", "scraped_at"))).alias("top"), F.min("scraped_at").alias("observed_from"),
-            F.sum("points").alias("points_in_window"), F.sum("undiscounted").alias("undiscounted_points"))
-        .select("listing_id", F.col("top.highest").alias("reference"), F.col("top.scraped_at").alias("reference_at"), "observed_from",
-                "points_in_window", "undiscounted_points"))
-    return current.join(window, "listing_id")
+            F.sum("points").alias("points_in_window"), F.sum("undiscounted").alias("undiscounted_points")))
+    return window.select("listing_id", "now.*", F.col("top.highest").alias("reference"), F.col("top.scraped_at").alias("reference_at"), "observed_from",
+                         "points_in_window", "undiscounted_points")
 
 
 def offers_of(state: DataFrame, listings: DataFrame, since: Column) -> DataFrame:

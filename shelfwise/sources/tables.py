@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,88 @@ def require_named(fragrances: DataFrame) -> None:
         raise ValueError(f"refusing to write: lines without a name, e.g. {bad}")
 
 
-def write_version(table: DataFrame, root: str, version: int | str, partition_by: Sequence[str] = ()) -> str:
-    """Write a table version beside the earlier ones; readers move when the pointer does."""
-    path = f"{root}/version={version}"
-    writer = table.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+class Conflict(RuntimeError):
+    """Another writer moved the pointer first."""
+
+
+class VersionedTable:
+    """A table whose versions are folders under root/data, and whose pointer is the highest numbered file under root/pointer.
+
+    A pointer file is created with its number or not at all, so of two writers that saw the same version one wins. It says which folder
+    holds the version and by which token it was written: a commit that is replayed finds its token and does nothing. Readers see whole versions
+    only; what a failed writer left has no pointer and is cleaned. root is a folder that every executor reaches.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._paths = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._paths(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self._paths("/".join((self.root, *parts)))
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self._files.listStatus(path)) if self._files.exists(path) else []
+
+    def pointers(self) -> list[tuple[int, str]]:
+        """(version, token) of all commits, oldest first: a pointer's name is the version, its content the token."""
+        out = []
+        for name in self._names("pointer"):
+            if name.isdigit():
+                stream = self._files.open(self._path("pointer", name))
+                try:
+                    out.append((int(name), bytes(stream.readAllBytes()).decode()))
+                finally:
+                    stream.close()
+        return out
+
+    def version(self) -> int:
+        """The current version's number; 0 before the first commit."""
+        names = [n for n in self._names("pointer") if n.isdigit()]
+        return int(names[-1]) if names else 0
+
+    def read(self, version: int | None = None) -> DataFrame:
+        wanted = self.version() if version is None else version
+        for number, token in self.pointers():
+            if number == wanted:
+                return self.spark.read.parquet(f"{self.root}/data/{token}")
+        raise ValueError(f"{self.root} has no version {wanted}")
+
+    def commit(self, table: DataFrame, token: str, expected: int | None = None, partition_by: Sequence[str] = ()) -> int:
+        """Write `table` as the version after `expected` (the current one, if not given) and move the pointer to it; returns the version.
+
+        A token that was committed before returns its version and writes nothing. Raises Conflict if the pointer is not at
+        `expected` any more; the folder written stays behind as an orphan.
+        """
+        for number, known in self.pointers():
+            if known == token:
+                return number
+        before = self.version() if expected is None else expected
+        writer = table.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{self.root}/data/{token}")
+        pointer = self._path("pointer", f"{before + 1:010d}")
+        try:
+            stream = self._files.create(pointer, False)
+        except Py4JJavaError as error:
+            raise Conflict(f"version {before + 1} of {self.root} exists") from error
+        try:
+            stream.write(bytearray(token.encode()))
+        finally:
+            stream.close()
+        if self.version() != before + 1:
+            raise Conflict(f"{self.root} moved on from version {before}")
+        return before + 1
+
+    def clean(self, keep: int = 2) -> list[str]:
+        """Delete the folders that none of the newest `keep` versions uses; returns their names. Not while a writer is at work."""
+        used = {token for _, token in self.pointers()[-keep:]}
+        gone = [name for name in self._names("data") if name not in used]
+        for name in gone:
+            self._files.delete(self._path("data", name), True)
+        return gone
 
 
 def orphans(table: DataFrame, used: DataFrame, key: str) -> DataFrame:

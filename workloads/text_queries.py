@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shelfwise.functions import fixed
@@ -14,6 +15,7 @@ from shelfwise.operators import mentions as H
 from shelfwise.operators import tokens
 from shelfwise.sources import labels as L
 from shelfwise.sources import payloads as Y
+from shelfwise.session import work_folder
 from shelfwise.sources import tables as T
 
 from . import match_queries as Q
@@ -465,3 +467,25 @@ def listing_names(spark, folder):
     vectors = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("listing_id"), "embedding")
     scanned = tokens.scan_listings(listings.join(vectors, "listing_id", "left"), ("store1", "store2", "store4"))
     return scanned.select("listing_id", "raw_name")
+
+
+@query("table_versions", """
+WITH base AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN price + 1 ELSE price END AS price, CAST(2 AS BIGINT) AS version FROM base""")
+def table_versions(spark, folder):
+    """Two versions are committed, one of them twice; a third fails half-way and a late writer loses: readers get the second."""
+    base = V.table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price"))
+    table = T.VersionedTable(spark, work_folder(spark, "versions"))
+    table.commit(base, "load-1")
+    changed = T.merge(table.read(), base.where("l_linenumber % 2 = 0").withColumn("price", F.col("price") + 1), ["l_orderkey", "l_linenumber"]).drop("change")
+    table.commit(changed, "load-2", expected=1)
+    table.commit(base, "load-2")
+    broken = base.withColumn("price", F.when(F.col("l_orderkey") % 10 == 9, F.raise_error(F.lit("disk full"))).otherwise(F.col("price")))
+    for late, expected in ((broken, 2), (base.limit(1), 1)):
+        try:
+            table.commit(late, f"late-{expected}", expected)
+        except (T.Conflict, PySparkException):
+            continue
+        raise AssertionError("a failed or late writer moved the pointer")
+    table.clean()
+    return table.read().withColumn("version", F.lit(table.version()).cast("bigint"))
