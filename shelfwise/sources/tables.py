@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,15 +78,19 @@ class VersionedTable:
         names = [n for n in self._names("pointer") if n.isdigit()]
         return int(names[-1]) if names else 0
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, part: str = "", version: int | None = None) -> DataFrame:
+        """A version, the current one if not given; of a version made of several tables, one part."""
         wanted = self.version() if version is None else version
         for number, token in self.pointers():
             if number == wanted:
-                return self.spark.read.parquet(f"{self.root}/data/{token}")
+                return self.spark.read.parquet(f"{self.root}/data/{token}/{part}".rstrip("/"))
         raise ValueError(f"{self.root} has no version {wanted}")
 
-    def commit(self, table: DataFrame, token: str, expected: int | None = None, partition_by: Sequence[str] = ()) -> int:
-        """Write `table` as the version after `expected` (the current one, if not given) and move the pointer to it; returns the version.
+    def has(self, token: str) -> bool:
+        return any(known == token for _, known in self.pointers())
+
+    def commit(self, table: DataFrame | Mapping[str, DataFrame], token: str, expected: int | None = None, partition_by: Sequence[str] = ()) -> int:
+        """Write `table`, or several by name, as the version after `expected` (the current one, if not given) and move the pointer; returns the version.
 
         A token that was committed before returns its version and writes nothing. Raises Conflict if the pointer is not at
         `expected` any more; the folder written stays behind as an orphan.
@@ -95,10 +99,11 @@ class VersionedTable:
             if known == token:
                 return number
         before = self.version() if expected is None else expected
-        writer = table.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/data/{token}")
+        for name, part in ({"": table} if isinstance(table, DataFrame) else table).items():
+            writer = part.write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(f"{self.root}/data/{token}/{name}".rstrip("/"))
         pointer = self._path("pointer", f"{before + 1:010d}")
         try:
             stream = self._files.create(pointer, False)

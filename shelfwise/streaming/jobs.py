@@ -7,17 +7,21 @@ leaves the result as a table, restartable from its checkpoint.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.completeness import DROP_SCHEMA, HISTORY, review_snapshots
+from ..plans.load import load
 from ..schemas import SNAPSHOT
+from ..session import cut
+from ..sources.snapshots import gate, headers, products
+from ..sources.tables import VersionedTable
 
 DAY = 24 * 3600 * 1000
 
@@ -30,7 +34,7 @@ def file_stream(spark: SparkSession, schema: StructType, folder: str, file_forma
 def snapshot_stream(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFrame:
     """Snapshot files as they arrive, oldest first, each once."""
     return (spark.readStream.schema(SNAPSHOT).option("multiLine", True).option("maxFilesPerTrigger", per_batch)
-            .option("latestFirst", False).json(folder).withColumn("file", F.input_file_name()))
+            .option("latestFirst", False).option("recursiveFileLookup", True).json(folder).withColumn("file", F.input_file_name()))
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -126,3 +130,28 @@ def newest_review(drained: DataFrame) -> DataFrame:
     """Each store's last review, of all those drained."""
     last = drained.groupBy("store").agg(F.max("batch").alias("batch"))
     return drained.join(F.broadcast(last), ["store", "batch"]).drop("batch")
+
+
+def snapshot_loader(table: VersionedTable, stores: Sequence[str], **options) -> Callable[[DataFrame, int], None]:
+    """A handler for run_batches that loads snapshots (snapshot_stream) into the parts "listings" and "prices" of a table, each batch once.
+
+    A batch's snapshots that pass the gate are loaded oldest first, one of each store at a time, with plans.load and its options. Both
+    parts move with one pointer whose token is the batch's number: a batch replayed after a failure finds it and loads nothing.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        token = f"batch-{batch_id:010d}"
+        if table.has(token):
+            return
+        snapshots = cut(batch)
+        turn = F.row_number().over(Window.partitionBy("store").orderBy("scraped_at", "file"))
+        heads = cut(gate(headers(snapshots), stores).where("rejected IS NULL").withColumn("turn", turn))
+        cards = products(snapshots)
+        listings, prices = table.read("listings"), table.read("prices")
+        for n in range(1, (heads.agg(F.max("turn").alias("n")).first()["n"] or 0) + 1):
+            chosen = heads.where(F.col("turn") == n).drop("turn", "rejected")
+            done = load(chosen, cards.join(F.broadcast(chosen.select("file")), "file", "left_semi"), listings, prices, **options)
+            listings = cut(done.listings.select(*listings.columns))
+            prices = cut(done.kept_prices.select(*prices.columns).unionByName(done.prices.select(*prices.columns)))
+        table.commit({"listings": listings, "prices": prices}, token)
+
+    return handle

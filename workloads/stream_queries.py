@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.session import work_folder
+from shelfwise.operators import prices as P
+from shelfwise.session import cut, work_folder
+from shelfwise.sources import snapshots as S
+from shelfwise.sources.tables import VersionedTable
 from shelfwise.streaming import jobs as J
 
 from . import views as V
-from .ingest_queries import DROP_SQL, store_totals
+from .ingest_queries import DROP_SQL, LOAD_SQL, load_tables, store_totals
 from .registry import query
 
 
@@ -67,3 +70,52 @@ def stream_drop_alerts(spark, folder):
     store_totals(spark, folder).withColumn("scraped_at", F.col("scraped_at").cast("timestamp")).repartition(4).write.parquet(source)
     totals = spark.readStream.schema("store string, scraped_at timestamp, key string, total long").option("maxFilesPerTrigger", 2).parquet(source)
     return J.newest_review(drain(spark, J.drop_alerts(totals), "drops", "update")).withColumn("scraped_at", V.stamp("scraped_at"))
+
+
+PERIOD = "least(datediff(scraped_at, DATE '2000-01-01') DIV 150, 4)"
+
+
+@query("stream_load", f"WITH {LOAD_SQL}" + """,
+periods AS (
+  SELECT listing_id, store, period, CASE WHEN is_available THEN price END AS price FROM (
+    SELECT *, row_number() OVER (PARTITION BY listing_id, period ORDER BY scraped_at DESC, tie1 DESC, tie2 DESC, price DESC, list_price DESC NULLS LAST, is_available DESC) AS rn
+    FROM (SELECT *, least(date_diff('day', DATE '2000-01-01', CAST(scraped_at AS DATE)) // 150, 4) AS period FROM readings WHERE scraped_at >= TIMESTAMP '2000-01-01')) WHERE rn = 1),
+last_seen AS (SELECT listing_id, any_value(store) AS store, arg_max(price IS NOT NULL, period) AS is_active FROM periods GROUP BY 1),
+listed AS (SELECT coalesce(n.store, o.store) AS store, count(*) AS listings, count(*) FILTER (WHERE coalesce(n.is_active, o.is_active)) AS active
+           FROM old_listings o FULL JOIN last_seen n USING (listing_id) GROUP BY 1),
+priced AS (SELECT store, count(*) AS prices, CAST(sum(price) AS BIGINT) AS total FROM (
+             SELECT store, price FROM periods WHERE price IS NOT NULL UNION ALL SELECT store, price FROM old_prices JOIN old_listings USING (listing_id)) GROUP BY 1)
+SELECT store, listings, active, prices, total FROM listed JOIN priced USING (store)""")
+def stream_load(spark, folder):
+    """Five snapshots of every store arrive as files and are loaded batch by batch, one batch twice: as if loaded one after the other."""
+    r = V.readings(spark, folder)
+    old, prices, _ = load_tables(spark, folder)
+    stamp, text = (lambda c: F.col(c).cast("timestamp")), (lambda c: F.col(c).cast("string"))
+    listings = old.select(text("listing_id").alias("listing_id"), "store", "listing_url", "raw_name", "raw_brand", "image_url", stamp("first_seen_at").alias("first_seen_at"),
+                          stamp("last_seen_at").alias("last_seen_at"), "is_active", F.lit(None).cast("string").alias("declared_gender"))
+    known = prices.select(text("listing_id").alias("listing_id"), "price", F.lit(None).cast("bigint").alias("list_price"), F.lit("CLP").alias("currency"),
+                          F.lit(True).alias("is_available"), stamp("scraped_at").alias("scraped_at"))
+    table = VersionedTable(spark, work_folder(spark, "load"))
+    table.commit({"listings": listings, "prices": known}, "history")
+
+    recent = r.where("scraped_at >= timestamp_ntz '2000-01-01'").withColumn("period", F.expr(PERIOD))
+    newest = P.pick(recent, ["listing_id", "product_id", "store", "period"], V.READING_ORDER, largest=True)
+    price = F.when(F.col("is_available"), F.concat(F.lit("$"), F.translate(F.format_number("price", 0), ",", ".")))
+    url = F.concat(F.lit("https://"), "store", F.lit(".example/p/"), F.col("product_id").cast("string"))
+    card = F.struct(F.concat(F.lit("part "), F.col("product_id").cast("string")).alias("name"), price.alias("current_price"), url.alias("url"))
+    day = F.date_format(F.date_add(F.lit("2002-01-01").cast("date"), F.col("period").cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    files = cut(newest.groupBy("store", "period").agg(F.collect_list(card).alias("products")).select(
+        "store", "period", day.alias("scraped_at"), F.lit(2).alias("price_extraction_version"), F.struct(F.lit("done").alias("step")).alias("progress"),
+        F.struct(F.lit("all_pages").alias("stop_reason"), F.lit(True).alias("catalog_exhausted")).alias("pagination"), "products"))
+    source = work_folder(spark, "snapshots")
+    for period in range(5):
+        own = files.where(F.col("period") == period).drop("period").withColumn("shop", F.col("store"))
+        own.repartition("store").write.mode("append").partitionBy("shop").json(f"{source}/{period}")
+    stores = [f"store{i}" for i in range(6)]
+    handle = J.snapshot_loader(table, stores, stop_rules={}, total_rules={}, max_share=1.0)
+    J.run_batches(J.snapshot_stream(spark, source, per_batch=12), handle, f"{work_folder(spark, 'checkpoint')}")
+    handle(S.read_snapshots(spark, f"{source}/0/*/*.json"), 0)  # a replay of the first batch loads nothing
+    listed = table.read("listings").groupBy("store").agg(F.count(F.lit(1)).alias("listings"), F.count_if("is_active").alias("active"))
+    owners = table.read("listings").select("listing_id", "store")
+    priced = table.read("prices").join(owners, "listing_id").groupBy("store").agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("total"))
+    return listed.join(priced, "store")
