@@ -1,6 +1,6 @@
 """URL filters: host and path rules by longest match, and rules mined from labelled URLs by FP-growth.
 
-Both kinds are matched through an inverted index: fixed rules by host, mined rules by their rarest token.
+Both kinds are matched through an inverted index: fixed rules by host, mined rules by the first of their tokens.
 """
 
 from __future__ import annotations
