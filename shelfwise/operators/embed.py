@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 BATCH = 32
@@ -16,13 +14,19 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def ngram_encoder(dimensions: int = DIMENSIONS, n: int = 3) -> Encoder:
-    """Signed hashed character n-grams of the whole text: needs no model, equal on every worker."""
+    """Signed hashed character n-grams of the whole text, with a space at both ends: needs no model, equal on every worker.
+
+    A gram's hash is its code points as digits of base 131; modulo `dimensions` it gives the place, the next bit the sign.
+    """
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions))
         for i, text in enumerate(texts):
-            data = f" {text} ".encode()
-            hashes = np.fromiter((zlib.crc32(data[j:j + n]) for j in range(max(len(data) - n + 1, 1))), dtype=np.int64)
-            np.add.at(out[i], hashes % dimensions, np.where((hashes >> 16) & 1, 1.0, -1.0))
+            points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            count = max(len(points) - n + 1, 0)
+            hashes = np.zeros(count, np.int64)
+            for k in range(n):
+                hashes = hashes * 131 + points[k:k + count]
+            out[i] = np.bincount(hashes % dimensions, np.where(hashes // dimensions % 2 == 1, 1.0, -1.0), dimensions)
         return out
 
     return encode
@@ -44,11 +48,3 @@ def embed(rows: DataFrame, make_encoder: Callable[[], Encoder] = ngram_encoder,
             yield pd.DataFrame({key: frame[key], "embedding": list(unit)})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {key_type}, embedding array<float>")
-
-
-def embed_missing(listings: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Listings with every vector present: only those without one are encoded."""
-    todo = listings.where(F.col("embedding").isNull())
-    made = embed(todo, text=text, **options).withColumnRenamed("embedding", "_made")
-    done = listings.where(F.col("embedding").isNotNull())
-    return done.unionByName(todo.join(made, "listing_id").withColumn("embedding", F.col("_made")).drop("_made"))

@@ -100,7 +100,7 @@ def unpriced_kinds(cards: DataFrame, listings: DataFrame, prices: DataFrame, rep
 
     patient_stores say themselves which skus have no price (reported: store, sku). There a card of a
     listing with a price history was just not read, until `limit` snapshots in a row. "Snapshots
-    since the last price" is a rank difference over the store's distinct price times, not a range join.
+    since the last price" is a difference of ranks among the store's distinct price times.
     """
     bare = cards.where("price IS NULL").select("store", "listing_url", "store_sku", "scraped_at")
     known = listings.select("listing_id", "store", "listing_url", "is_active")
@@ -111,12 +111,14 @@ def unpriced_kinds(cards: DataFrame, listings: DataFrame, prices: DataFrame, rep
     from pyspark.sql import Window
 
     ranked = times.withColumn("place", F.row_number().over(Window.partitionBy("store").orderBy("scraped_at")))
-    now = bare.select("store", "scraped_at").distinct().withColumnRenamed("scraped_at", "now")
-    before = now.join(times, "store").where("scraped_at < now").groupBy("store", "now").agg(F.count(F.lit(1)).alias("snapshots"))
+    # How many of them lie before a card's time: a running count over both, the card's time ahead of an equal one.
+    both = times.withColumn("counts", F.lit(1)).unionByName(bare.select("store", "scraped_at").distinct().withColumn("counts", F.lit(0)))
+    running = F.sum("counts").over(Window.partitionBy("store").orderBy("scraped_at", "counts").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = both.withColumn("snapshots", running).where("counts = 0").drop("counts")
     rows = (
         bare.join(known, ["store", "listing_url"], "left").join(last, "listing_id", "left")
         .join(ranked.select("store", F.col("scraped_at").alias("last_at"), "place"), ["store", "last_at"], "left")
-        .join(before.withColumnRenamed("now", "scraped_at"), ["store", "scraped_at"], "left")
+        .join(before, ["store", "scraped_at"], "left")
     )
     if reported is None:
         rows = rows.withColumn("told", F.lit(False))

@@ -326,12 +326,16 @@ def semantic_top(spark, folder):
     return C.semantic_search(wanted, fragrances, summary, limit=25).select("product_id", "canonical_name", "similarity")
 
 
-@query("embed_text", "SELECT doc_id, 64 AS dimensions, 1.0 AS norm FROM documents")
+@query("embed_text", """
+WITH c AS (SELECT doc_id, list_transform(string_split(' ' || text || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 131 + c[i + 1]) * 131 + c[i + 2])) AS h FROM c),
+s AS (SELECT doc_id, h % 64 AS pos, CAST(sum(CASE WHEN h // 64 % 2 = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS s FROM g GROUP BY 1, 2)
+SELECT doc_id, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 2) AS value FROM s WHERE s <> 0""")
 def embed_text(spark, folder):
-    from shelfwise.functions.vectors import norm
-
-    made = E.embed(V.table(spark, folder, "documents"), key="doc_id")
-    return made.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm(F.col("embedding")), 3).alias("norm"))
+    """The vectors by value: every component that isn't zero."""
+    made = E.embed(V.table(spark, folder, "documents").where("text IS NOT NULL"), key="doc_id")
+    return made.select("doc_id", F.posexplode("embedding").alias("pos", "v")).where("v <> 0").select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("v").cast("double"), 2).alias("value"))
 
 
 @query("embed_queries", "SELECT conv_id, turn, 64 AS dimensions, 1.0 AS norm FROM conversations")
@@ -433,6 +437,16 @@ def review_queue(spark, folder):
     return L.review_rows(G.review_queue(d, accepted, rows), rows, ("store3", "store1"))
 
 
+@query("review_file", S.recursive(S.DECIDED + S.REVIEWS, f""", oriented AS (
+  SELECT *, {REVIEW_RANK.format(s='y')} < {REVIEW_RANK.format(s='x')} AS swap, x.listing_url AS ux, y.listing_url AS uy FROM reviews JOIN tok x ON x.listing_id = a JOIN tok y ON y.listing_id = b)
+SELECT printf('%.3f', similarity) AS similarity, reason, CASE WHEN swap THEN uy ELSE ux END AS url_a, CASE WHEN swap THEN ux ELSE uy END AS url_b FROM oriented"""))
+def review_file(spark, folder):
+    """The queue as reviewers get it: written as CSV and read back."""
+    path = work_folder(spark, "review")
+    L.write_review(review_queue(spark, folder), path)
+    return spark.read.csv(path, header=True).select("similarity", "reason", "url_a", "url_b")
+
+
 @query("table_upsert_sink", """
 WITH base AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, CASE WHEN shipped >= TIMESTAMP '1999-01-01' AND l_linenumber % 2 = 0 THEN price + 1 ELSE price END AS price,
