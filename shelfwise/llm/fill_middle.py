@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .training import unused
 
 #: Marks of the parts in an output; a text that holds one of them stays as it is.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
