@@ -55,19 +55,6 @@ def resolved(listings: DataFrame) -> DataFrame:
     return listings.where(F.col("matching_status").isin(*RESOLVED))
 
 
-def current_offers(readings: DataFrame, listings: DataFrame, since: Column,
-                   order: Sequence[str] = ("scraped_at",)) -> DataFrame:
-    """Latest reading of every active, resolved listing, and whether it is stale."""
-    wanted = resolved(listings).where("is_active").select(
-        "listing_id", "product_id", "store", "listing_url", "image_url")
-    values = readings.drop("product_id", "store")
-    return (
-        latest_readings(values, order=order).join(wanted, "listing_id")
-        .where(F.col("product_id").isNotNull())
-        .withColumn("is_stale", F.col("scraped_at") < since)
-    )
-
-
 def _live() -> Column:
     return F.col("is_available") & ~F.col("is_stale")
 

@@ -23,8 +23,6 @@ from ..session import cut
 from ..sources.snapshots import gate, headers, products
 from ..sources.tables import VersionedTable
 
-DAY = 24 * 3600 * 1000
-
 
 def file_stream(spark: SparkSession, schema: StructType, folder: str, file_format: str, pattern: str, per_batch: int = 100) -> DataFrame:
     return (spark.readStream.schema(schema).format(file_format).option("pathGlobFilter", pattern)
@@ -78,10 +76,17 @@ def daily_band(readings: DataFrame, watermark: str = "2 days") -> DataFrame:
 LATEST_SCHEMA = "listing_id string, scraped_at timestamp, price long, is_stale boolean"
 
 
-def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 days") -> DataFrame:
-    """Running latest price per listing; a listing unread past its stale bound reports once as stale.
+def stale_at(micros: int, stale_days: int, zone: str) -> int:
+    """Milliseconds of the local midnight at which a reading turns stale: that after stale_days whole days without another."""
+    day = pd.Timestamp(micros, unit="us", tz="UTC").tz_convert(zone).normalize()
+    return int((day + pd.DateOffset(days=stale_days + 1)).value // 1_000_000)
+
+
+def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 days", zone: str = "UTC") -> DataFrame:
+    """Running latest price per listing; a listing unread past its stale bound, a local midnight, reports once as stale.
 
-    Rows of a key stream through in chunks and the state is one reading, whatever the listing's volume.
+    Rows of a key stream through in chunks and the state is one reading, whatever the listing's volume. Late and repeated readings change
+    nothing: the latest instant counts, of equal ones the highest price.
     """
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -98,8 +103,7 @@ def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 d
         if best is None:
             return
         state.update(tuple(best))
-        local_midnight = (best[0] // 1000) // DAY * DAY
-        state.setTimeoutTimestamp(max(local_midnight + (stale_days + 1) * DAY, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(stale_at(best[0], stale_days, zone), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"listing_id": [key[0]], "scraped_at": [pd.Timestamp(best[0], unit="us")], "price": [best[1]], "is_stale": [False]})
 
     return readings.withWatermark("scraped_at", watermark).groupBy("listing_id").applyInPandasWithState(
