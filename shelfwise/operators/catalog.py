@@ -110,7 +110,7 @@ def text_search(summary: DataFrame, words: Sequence[str]) -> DataFrame:
     haystack = F.concat(name, F.lit(" "), brand)
     for word in words:
         summary = summary.where(F.contains(haystack, plain(F.lit(word))))
-    return summary.withColumn("text_rank", _text_rank(plain(F.lit(" ".join(words)))))
+    return summary.withColumn("text_rank", _text_rank(name, brand, plain(F.lit(" ".join(words)))))
 
 
 SEARCH_GRAM = 3
@@ -126,27 +126,33 @@ def search_many(summary: DataFrame, queries: DataFrame, key: str = "query_id", t
     """text_search for a table of queries: the key, text_rank and the columns of summary, one row per query and product found.
 
     An inverted index of character grams of the folded names, of those grams alone that some query holds. A query reads the postings
-    of its rarest gram and verifies all its words on what they name. Queries without words, and too long ones, find nothing.
+    of its rarest gram and verifies all its words on what they name. Products of one folded name and brand are indexed and verified as
+    one and only joined to what was found. Queries without words, and too long ones, find nothing.
+
+    The joins that grow with the names are never broadcast: Spark takes an exploded index for as small as the file it comes from.
     """
-    haystack = F.concat(plain(F.col("canonical_name")), F.lit(" "), plain(F.col("brand")))
-    products = summary.select("product_id", haystack.alias("haystack"))
+    folded = [plain(F.col("canonical_name")).alias("_name"), plain(F.col("brand")).alias("_brand")]
+    texts = cut(summary.select(*folded).where("_name IS NOT NULL AND _brand IS NOT NULL").distinct().withColumn(
+        "haystack", F.concat("_name", F.lit(" "), "_brand")))
     words = F.filter(F.split(plain(F.trim(F.col(text))), r"\s+"), lambda w: w != "")
     asked = queries.where((F.char_length(text) <= MAX_QUERY_LENGTH) & (F.size(words) <= MAX_WORDS)).select(F.col(key).alias("_query"), words.alias("_words"))
+    asked = cut(asked)
     offered = cut(asked.select("_query", F.explode("_words").alias("word")).select(
         "_query", F.explode(_grams(F.col("word"), F.least(F.char_length("word"), F.lit(SEARCH_GRAM)))).alias("gram")))
     wanted = offered.select("gram").distinct()
     all_grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("haystack"), n), F.array().cast("array<string>")) for n in range(1, SEARCH_GRAM + 1)]))
-    index = cut(products.select("product_id", F.explode(all_grams).alias("gram")).join(wanted, "gram", "left_semi"))
+    index = cut(texts.select("_name", "_brand", F.explode(all_grams).alias("gram")).hint("merge").join(wanted, "gram", "left_semi"))
     uses = index.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = offered.join(uses, "gram", "left").groupBy("_query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r"))
-    hits = rarest.where("r.uses > 0").select("_query", F.col("r.gram").alias("gram")).join(index, "gram").select("_query", "product_id")
-    rows = hits.join(asked, "_query").join(summary, "product_id").where(F.forall("_words", lambda w: F.contains(haystack, w)))
-    rank = _text_rank(F.array_join("_words", " "))
-    return rows.withColumn("text_rank", rank).drop("_words").withColumnRenamed("_query", key)
+    rarest = offered.hint("merge").join(uses, "gram", "left").groupBy("_query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r"))
+    sought = rarest.where("r.uses > 0").select("_query", F.col("r.gram").alias("gram")).hint("merge").join(asked, "_query")
+    held = F.concat("_name", F.lit(" "), "_brand")
+    found = cut(index.hint("merge").join(sought, "gram").where(F.forall("_words", lambda w: F.contains(held, w))).select(
+        "_query", "_name", "_brand", _text_rank(F.col("_name"), F.col("_brand"), F.array_join("_words", " ")).alias("text_rank")))
+    rows = summary.select("*", *folded).hint("merge").join(found, ["_name", "_brand"]).drop("_name", "_brand")
+    return rows.select(F.col("_query").alias(key), *summary.columns, "text_rank")
 
 
-def _text_rank(phrase: Column) -> Column:
-    name, brand = plain(F.col("canonical_name")), plain(F.col("brand"))
+def _text_rank(name: Column, brand: Column, phrase: Column) -> Column:
     after_brand = F.startswith(name, F.concat(brand, F.lit(" "), phrase))
     return F.when(name == phrase, 0).when(F.startswith(name, phrase) | after_brand, 1).otherwise(2)
 
