@@ -22,3 +22,11 @@ def test_listings_of_one_form_are_tokenised_once(spark):
     assert {i: r["form"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
     assert {i: r["store"] for i, r in got.items()} == {i: s for i, s, *_ in rows}
     assert got[3]["coded_gender"] and not got[1]["coded_gender"] and got[1]["listing_key"] and got[6]["listing_key"] is None
+
+
+def test_splitting_keys_leaves_nothing_to_walk_again(spark):
+    rows = T.tokenize_listings(listings(spark, [(i, "s", "Norte", "Rio Cologne 50 ml" if i % 2 else "Rio 50 ml", 50, None) for i in range(12)]))
+    members = products.grouped_listings(rows, spark.createDataFrame([], "a long, b long, similarity double, group_id long")).localCheckpoint()
+    parts = products.split_keys(members, products.group_keys(members))
+    assert "Pandas" not in plan(parts)
+    assert {r["group_id"]: r["part"] for r in parts.collect()} == {i: i % 2 for i in range(12)}
