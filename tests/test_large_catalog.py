@@ -30,3 +30,13 @@ def test_splitting_keys_leaves_nothing_to_walk_again(spark):
     parts = products.split_keys(members, products.group_keys(members))
     assert "Pandas" not in plan(parts)
     assert {r["group_id"]: r["part"] for r in parts.collect()} == {i: i % 2 for i in range(12)}
+
+
+def test_reference_names_cut_a_name_once_per_form(spark):
+    rows = T.tokenize_listings(listings(spark, [(i, "s" if i % 2 else "t", "Norte" if i % 3 else None, "Norte Rio 50 ml", 50, None) for i in range(12)]))
+    members = products.grouped_listings(rows, spark.createDataFrame([], "a long, b long, similarity double, group_id long")).localCheckpoint()
+    groups = products.group_keys(members)
+    assigned = products.assign_products(members, groups, products.split_keys(members, groups))
+    names = products.reference_names(members, assigned, products.brand_spelling(rows))
+    assert "levenshtein" not in plan(names)
+    assert {(r["brand"], r["name"], r["listings"], r["reference_listing"]) for r in names.collect()} == {("Norte", "Rio", 8, 1), ("", "Norte Rio", 4, 0)}
