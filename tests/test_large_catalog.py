@@ -40,3 +40,15 @@ def test_reference_names_cut_a_name_once_per_form(spark):
     names = products.reference_names(members, assigned, products.brand_spelling(rows))
     assert "levenshtein" not in plan(names)
     assert {(r["brand"], r["name"], r["listings"], r["reference_listing"]) for r in names.collect()} == {("Norte", "Rio", 8, 1), ("", "Norte Rio", 4, 0)}
+
+
+def test_pairs_are_shipped_without_words(spark):
+    names = [" ".join(f"{w}{i % 7}" for w in ("magnolia", "bergamota", "sandalo", "vainilla", "pachuli", "jazmin")) + f" {50 + 50 * (i % 2)} ml" for i in range(14)]
+    rows = rules.with_split_flags(T.tokenize_listings(listings(
+        spark, [(i, "s" if i % 2 else "t", "Norte", names[i % 14], 50 + 50 * (i % 2), None) for i in range(400)]))).localCheckpoint()
+    pairs = spark.range(400).toDF("a").crossJoin(spark.range(400).toDF("b")).where("a < b").withColumn("similarity", F.lit(0.5)).localCheckpoint()
+    judged = rules.classify(pairs, rows)
+    assert not any("words_a" in line and "similarity" in line for line in plan(judged).splitlines())
+    got = {(r["a"], r["b"]): r["reason"] for r in judged.collect()}
+    assert len(got) == 400 * 399 // 2
+    assert all(reason == ("volume" if (a - b) % 2 else "variant" if (a - b) % 14 else "same_name") for (a, b), reason in got.items())
