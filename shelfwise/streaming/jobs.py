@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,38 +77,67 @@ def daily_band(readings: DataFrame, watermark: str = "2 days") -> DataFrame:
 LATEST_SCHEMA = "listing_id string, scraped_at timestamp, price long, is_stale boolean"
 
 
-def stale_at(micros: int, stale_days: int, zone: str) -> int:
-    """Milliseconds of the local midnight at which a reading turns stale: that after stale_days whole days without another."""
-    day = pd.Timestamp(micros, unit="us", tz="UTC").tz_convert(zone).normalize()
-    return int((day + pd.DateOffset(days=stale_days + 1)).value // 1_000_000)
+BUCKETS = 1024   # of listings, each with one state: a listing of its own would cost its task a call per batch
 
 
-def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 days", zone: str = "UTC") -> DataFrame:
+def stale_at(micros: pd.Series, stale_days: int, zone: str) -> pd.Series:
+    """Milliseconds of the local midnight at which each reading turns stale: that after stale_days whole days without another.
+
+    A midnight that a clock change skips is the first instant after it, one that comes twice is the first of both.
+    """
+    days = pd.DatetimeIndex(pd.to_datetime(micros.astype("int64"), unit="us", utc=True)).tz_convert(zone).tz_localize(None).normalize()
+    ends = (days + pd.Timedelta(days=stale_days + 1)).tz_localize(zone, nonexistent="shift_forward", ambiguous=np.ones(len(days), dtype=bool))
+    return pd.Series(ends.as_unit("ms").asi8, index=micros.index)
+
+
+def _pack(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["at", "price"]).drop_duplicates("listing_id", keep="last")
+
+
+def latest_price(readings: DataFrame, stale_days: int = 2, watermark: str = "2 days", zone: str = "UTC", buckets: int = BUCKETS) -> DataFrame:
     """Running latest price per listing; a listing unread past its stale bound, a local midnight, reports once as stale.
 
-    Rows of a key stream through in chunks and the state is one reading, whatever the listing's volume. Late and repeated readings change
-    nothing: the latest instant counts, of equal ones the highest price.
+    A state holds the latest readings of a bucket of listings, one each, and its timer rings for the first of them to turn stale. Rows stream
+    through in chunks, whatever a listing's volume. Late and repeated readings change nothing: the latest instant counts, of equal ones the
+    highest price. Readings without an instant or a price say nothing. A checkpoint belongs to its number of buckets.
     """
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at, price = state.get
-            yield pd.DataFrame({"listing_id": [key[0]], "scraped_at": [pd.Timestamp(at, unit="us")], "price": [price], "is_stale": [True]})
-            state.remove()
+        mark = state.getCurrentWatermarkMs()
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas()] if state.exists else []
+        touched: set = set()
+        if not state.hasTimedOut:
+            for frame in frames:
+                at = frame["scraped_at"].astype("datetime64[us]").astype("int64")
+                part = _newest(frame[["listing_id", "price"]].assign(at=at))
+                touched.update(part["listing_id"])
+                parts = [_newest(pd.concat([*parts, part], ignore_index=True))]
+        if not parts:
             return
-        best = state.get if state.exists else None
-        for frame in frames:
-            if len(frame):
-                top = frame.sort_values(["scraped_at", "price"]).iloc[-1]
-                seen = (int(top["scraped_at"].value // 1000), int(top["price"]))
-                best = seen if best is None or seen > tuple(best) else best
-        if best is None:
+        known = parts[0]
+        bound = stale_at(known["at"], stale_days, zone)
+        read = known["listing_id"].isin(touched)
+        stale = ~read & (bound < mark)
+        told = known[read | stale]
+        if len(told):
+            yield pd.DataFrame({"listing_id": told["listing_id"], "scraped_at": pd.to_datetime(told["at"], unit="us"), "price": told["price"],
+                                "is_stale": stale[told.index]})
+        if stale.all():
+            state.remove()
             return
-        state.update(tuple(best))
-        state.setTimeoutTimestamp(max(stale_at(best[0], stale_days, zone), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"listing_id": [key[0]], "scraped_at": [pd.Timestamp(best[0], unit="us")], "price": [best[1]], "is_stale": [False]})
+        state.update((_pack(known[~stale]),))
+        state.setTimeoutTimestamp(max(int(bound[~stale].min()), mark + 1))
 
-    return readings.withWatermark("scraped_at", watermark).groupBy("listing_id").applyInPandasWithState(
-        follow, LATEST_SCHEMA, "at long, price long", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = readings.where("scraped_at IS NOT NULL AND price IS NOT NULL").withWatermark("scraped_at", watermark)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("listing_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(follow, LATEST_SCHEMA, "readings binary", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drop_alerts(totals: DataFrame, keep: int = HISTORY) -> DataFrame:
