@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.money import discounted
 from .prices import HISTORY_WINDOW_DAYS, RESOLVED
 
+MUCH_READ = 1_000_000   # readings of a listing, beyond which they are merged per instant before they meet
 VALUES = ("price", "list_price", "is_available")
 HISTORY = ("reference", "reference_at", "observed_from", "points_in_window", "undiscounted_points")
 
@@ -69,6 +70,40 @@ def listing_state(merged: DataFrame, window_days: int = HISTORY_WINDOW_DAYS) ->
                          "points_in_window", "undiscounted_points")
 
 
+def much_read(readings: DataFrame, limit: int = MUCH_READ, buckets: int = 10_000) -> DataFrame | None:
+    """The listings with more than `limit` readings, None if there are none: looked for in those buckets of listings alone that hold so many."""
+    bucket = F.pmod(F.xxhash64("listing_id"), F.lit(buckets))
+    full = [r["b"] for r in readings.groupBy(bucket.alias("b")).count().where(F.col("count") > limit).collect()]
+    if not full:
+        return None
+    return readings.where(bucket.isin(full)).groupBy("listing_id").count().where(F.col("count") > limit).select("listing_id")
+
+
+def readings_state(readings: DataFrame, window_days: int = HISTORY_WINDOW_DAYS, order: Sequence[str] = ("scraped_at",), keep: Sequence[str] = (),
+                   limit: int = MUCH_READ) -> DataFrame:
+    """listing_state of the instants of readings, for readings that are kept nowhere as instants.
+
+    Merging readings per instant ships them once more, and few readings share an instant: they meet their listing's latest as they are. Only
+    listings read more than `limit` times are merged first, so that none of them is one task's; there are at most so many of them
+    as the limit goes into all readings.
+    """
+    hot = much_read(readings, limit)
+    few = readings if hot is None else readings.join(F.broadcast(hot), "listing_id", "left_anti")
+    usable = ~discounted(F.col("price"), F.col("list_price")) & F.col("is_available")
+    current = few.groupBy("listing_id").agg(F.max(F.struct("scraped_at", _last(order, keep).alias("last"))).alias("now"))
+    start = F.col("now.scraped_at") - F.expr(f"INTERVAL {int(window_days)} DAYS")
+    state = (
+        few.select("listing_id", "scraped_at", F.coalesce(usable, F.lit(False)).alias("usable"), F.when(usable, F.col("price")).alias("highest"))
+        .join(current, "listing_id").where(F.col("scraped_at") >= start).groupBy("listing_id").agg(
+            F.first("now").alias("now"), F.max(F.when(F.col("usable"), F.struct("highest", "scraped_at"))).alias("top"),
+            F.min("scraped_at").alias("observed_from"), F.count(F.lit(1)).alias("points_in_window"), F.count_if("usable").alias("undiscounted_points"))
+        .select("listing_id", "now.scraped_at", "now.last.*", F.col("top.highest").alias("reference"), F.col("top.scraped_at").alias("reference_at"),
+                "observed_from", "points_in_window", "undiscounted_points"))
+    if hot is None:
+        return state
+    return state.unionByName(listing_state(instants(readings.join(F.broadcast(hot), "listing_id", "left_semi"), order, keep), window_days))
+
+
 def offers_of(state: DataFrame, listings: DataFrame, since: Column) -> DataFrame:
     """The state of every active, resolved listing with a product, and whether it is stale."""
     wanted = listings.where(F.col("matching_status").isin(*RESOLVED) & F.col("is_active") & F.col("product_id").isNotNull()).select(

@@ -82,8 +82,8 @@ def listings_from(source: DataFrame) -> DataFrame:
 
 def state(spark: SparkSession, folder: str) -> DataFrame:
     """Every listing's latest reading and the window before it, published once and read by all queries of a job."""
-    return stage(spark, folder, "state", lambda: cut(S.listing_state(
-        S.instants(readings(spark, folder), READING_ORDER, ("product_id", "store")), WINDOW_DAYS)))
+    return stage(spark, folder, "state", lambda: cut(S.readings_state(
+        readings(spark, folder), WINDOW_DAYS, READING_ORDER, ("product_id", "store"))))
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
