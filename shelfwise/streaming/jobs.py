@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..operators.completeness import DROP_SCHEMA, HISTORY, review_snapshots
 from ..plans.load import load
 from ..schemas import SNAPSHOT
-from ..session import cut
+from ..session import cut, spread
 from ..sources.snapshots import gate, headers, products
 from ..sources.tables import VersionedTable
 
@@ -176,16 +176,18 @@ def snapshot_loader(table: VersionedTable, stores: Sequence[str], **options) ->
         token = f"batch-{batch_id:010d}"
         if table.has(token):
             return
-        snapshots = cut(batch)
         turn = F.row_number().over(Window.partitionBy("store").orderBy("scraped_at", "file"))
-        heads = cut(gate(headers(snapshots), stores).where("rejected IS NULL").withColumn("turn", turn))
-        cards = products(snapshots)
+        heads = cut(gate(headers(batch), stores).where("rejected IS NULL").withColumn("turn", turn))
+        # A snapshot is one row of its file: its cards are dealt to all tasks before they are parsed, and whole snapshots are kept nowhere.
+        cards = cut(spread(products(batch), "url"))
         listings, prices = table.read("listings"), table.read("prices")
         for n in range(1, (heads.agg(F.max("turn").alias("n")).first()["n"] or 0) + 1):
             chosen = heads.where(F.col("turn") == n).drop("turn", "rejected")
             done = load(chosen, cards.join(F.broadcast(chosen.select("file")), "file", "left_semi"), listings, prices, **options)
-            listings = cut(done.listings.select(*listings.columns))
-            prices = cut(done.kept_prices.select(*prices.columns).unionByName(done.prices.select(*prices.columns)))
+            listings = done.listings.select(*listings.columns)  # cut by load, as the new prices are: the tables aren't copied once more
+            prices = done.kept_prices.select(*prices.columns).unionByName(done.prices.select(*prices.columns))
+            if options.get("replace_today"):
+                prices = cut(prices)
         table.commit({"listings": listings, "prices": prices}, token)
 
     return handle

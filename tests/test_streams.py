@@ -1,10 +1,14 @@
 """Streaming jobs at the level of their operators."""
 
 import datetime as dt
+import json
 import random
 
 import pandas as pd
 
+from shelfwise.schemas import LISTINGS, PRICES
+from shelfwise.sources.snapshots import read_snapshots
+from shelfwise.sources.tables import VersionedTable
 from shelfwise.streaming import jobs as J
 
 UTC = dt.timezone.utc
@@ -40,3 +44,23 @@ def test_latest_price_keeps_a_state_per_bucket_and_reports_each_stale_listing_on
     last = {row[1]: row[2:] for row in sorted(out)}
     assert last == {key: (at, price, midnight[key] <= mark) for key, (at, price) in newest.items()}
     assert len({row[1:4] for row in out if row[4]}) == sum(row[4] for row in out) > 30
+
+
+def test_the_cards_of_one_snapshot_are_parsed_by_all_tasks_and_tables_are_not_copied(spark, tmp_path, monkeypatch):
+    products = [{"name": f"part {i}", "current_price": f"${i}", "url": f"https://store0.example/p/{i}"} for i in range(1, 201)]
+    for day in (1, 2):
+        head = {"store": "store0", "scraped_at": f"2024-05-0{day}T00:00:00", "price_extraction_version": 2, "progress": {"step": "done"},
+                "pagination": {"stop_reason": "all_pages", "catalog_exhausted": True}, "products": products}
+        (tmp_path / f"snapshot{day}.json").write_text(json.dumps(head))
+    table = VersionedTable(spark, f"{tmp_path}/table")
+    wanted = [f for f in LISTINGS if f.name in ("listing_id", "store", "listing_url", "raw_name", "raw_brand", "image_url", "first_seen_at", "last_seen_at", "is_active")]
+    table.commit({"listings": spark.createDataFrame([], type(LISTINGS)(wanted)), "prices": spark.createDataFrame([], PRICES)}, "start")
+    seen, cuts, load = [], [], J.load
+    monkeypatch.setattr(J, "load", lambda heads, cards, *rest, **options: seen.append(cards.rdd.getNumPartitions()) or load(heads, cards, *rest, **options))
+    cut = J.cut
+    monkeypatch.setattr(J, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    J.snapshot_loader(table, ["store0"], stop_rules={}, total_rules={}, max_share=1.0)(read_snapshots(spark, f"{tmp_path}/*.json"), 0)
+    assert len(seen) == 2 and min(seen) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(cuts) == 2 and not any("products" in columns for columns in cuts)  # heads and cards alone, whatever the turns
+    assert table.read("listings").count() == 200 and table.read("prices").groupBy("scraped_at").count().count() == 2
+    assert table.read("prices").count() == 400

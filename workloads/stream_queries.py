@@ -128,13 +128,13 @@ def stream_load(spark, folder):
     url = F.concat(F.lit("https://"), "store", F.lit(".example/p/"), F.col("product_id").cast("string"))
     card = F.struct(F.concat(F.lit("part "), F.col("product_id").cast("string")).alias("name"), price.alias("current_price"), url.alias("url"))
     day = F.date_format(F.date_add(F.lit("2002-01-01").cast("date"), F.col("period").cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
-    files = cut(newest.groupBy("store", "period").agg(F.collect_list(card).alias("products")).select(
-        "store", "period", day.alias("scraped_at"), F.lit(2).alias("price_extraction_version"), F.struct(F.lit("done").alias("step")).alias("progress"),
-        F.struct(F.lit("all_pages").alias("stop_reason"), F.lit(True).alias("catalog_exhausted")).alias("pagination"), "products"))
+    cards = cut(newest.select("store", "period", day.alias("scraped_at"), card.alias("card")))
     source = work_folder(spark, "snapshots")
     for period in range(5):
-        own = files.where(F.col("period") == period).drop("period").withColumn("shop", F.col("store"))
-        own.repartition("store").write.mode("append").partitionBy("shop").json(f"{source}/{period}")
+        own = cards.where(F.col("period") == period).groupBy("store", "scraped_at").agg(F.collect_list("card").alias("products")).select(
+            "store", "scraped_at", F.lit(2).alias("price_extraction_version"), F.struct(F.lit("done").alias("step")).alias("progress"),
+            F.struct(F.lit("all_pages").alias("stop_reason"), F.lit(True).alias("catalog_exhausted")).alias("pagination"), "products", F.col("store").alias("shop"))
+        own.write.mode("append").partitionBy("shop").json(f"{source}/{period}")
     stores = [f"store{i}" for i in range(6)]
     handle = J.snapshot_loader(table, stores, stop_rules={}, total_rules={}, max_share=1.0)
     J.run_batches(J.snapshot_stream(spark, source, per_batch=12), handle, f"{work_folder(spark, 'checkpoint')}")
