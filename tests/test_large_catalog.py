@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import products, rules
+from shelfwise.operators import blocking, products, rules
 from shelfwise.operators import tokens as T
 
 
@@ -52,3 +52,35 @@ def test_pairs_are_shipped_without_words(spark):
     got = {(r["a"], r["b"]): r["reason"] for r in judged.collect()}
     assert len(got) == 400 * 399 // 2
     assert all(reason == ("volume" if (a - b) % 2 else "variant" if (a - b) % 14 else "same_name") for (a, b), reason in got.items())
+
+
+def test_pairs_are_settled_by_scalars_and_wordings_compared_once(spark, monkeypatch):
+    rows = rules.with_split_flags(T.tokenize_listings(listings(
+        spark, [(i, f"s{i % 2}", "Norte", f"{('Lago Azul', 'Lago', 'Rio Verde')[i % 3]} {50 + i} ml" if i < 60 else None, 50 + i if i % 2 else None, None)
+                for i in range(62)]))).localCheckpoint()
+    pairs = spark.range(62).toDF("a").crossJoin(spark.range(62).toDF("b")).where("a < b").withColumn("similarity", F.lit(0.5)).localCheckpoint()
+    tables = []
+    monkeypatch.setattr(rules, "cut", lambda df: tables.append(df.localCheckpoint()) or tables[-1])
+    judged = rules.classify(pairs, rows)
+    got = {(r["a"], r["b"]): r["reason"] for r in judged.collect()}
+    worded = [t for t in tables if "other_name" in t.columns]
+    assert [t.count() for t in worded] == [13]  # of three names and none
+    assert len(got) == 62 * 61 // 2
+    for (a, b), reason in got.items():
+        if b < 60:
+            want = "volume" if a % 2 and b % 2 else "name" if (a % 3 == 2) != (b % 3 == 2) else "extra_words" if a % 3 != b % 3 else "unknown_volume"
+            assert reason == want, (a, b, reason)
+
+
+def test_labels_and_candidates_meet_in_one_join(spark):
+    rows = spark.createDataFrame([(i, f"s{i}", f"u{i}", [float(i == 1), float(i != 1)]) for i in range(5)],
+                                 "listing_id long, store string, listing_url string, embedding array<float>")
+    pairs = spark.createDataFrame([(0, 1, 0.25), (0, 2, 0.5), (0, 3, 0.75)], "a long, b long, similarity double")
+    labels = spark.createDataFrame([("u0", "u1", "same"), ("u0", "u3", None), ("u1", "u2", "different"), ("u2", "u4", None), ("u3", "gone", "same")],
+                                   "url_a string, url_b string, label string")
+    keyed = blocking.label_pairs(pairs, rows, labels)
+    assert "Join" not in plan(keyed)
+    assert sorted(keyed.collect(), key=str) == sorted(
+        [(0, 1, 0.25, "same"), (0, 2, 0.5, None), (0, 3, 0.75, None), (1, 2, 0.0, "different"), (2, 4, 1.0, None)], key=str)
+    old = blocking.add_labelled(pairs, rows, labels)
+    assert sorted(map(tuple, old.collect())) == sorted((r["a"], r["b"], r["similarity"]) for r in keyed.collect())
