@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import blocking, products, rules
 from shelfwise.operators import tokens as T
+from shelfwise.session import store
 
 
 def plan(df):
@@ -84,3 +85,12 @@ def test_labels_and_candidates_meet_in_one_join(spark):
         [(0, 1, 0.25, "same"), (0, 2, 0.5, None), (0, 3, 0.75, None), (1, 2, 0.0, "different"), (2, 4, 1.0, None)], key=str)
     old = blocking.add_labelled(pairs, rows, labels)
     assert sorted(map(tuple, old.collect())) == sorted((r["a"], r["b"], r["similarity"]) for r in keyed.collect())
+
+
+def test_shared_tables_are_read_by_column(spark):
+    frame = spark.createDataFrame([(1, "a", [0.5] * 64), (2, None, None)] + [(3, "b", [0.25] * 64)] * 998, "listing_id long, store string, embedding array<float>")
+    kept = store(frame)
+    assert sorted(kept.collect(), key=str) == sorted(frame.collect(), key=str) and kept.dtypes == frame.dtypes
+    assert "ReadSchema: struct<listing_id:bigint>" in kept.select("listing_id")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 998 * 64 * 4  # equal rows too count as such
