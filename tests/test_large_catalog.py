@@ -94,3 +94,15 @@ def test_shared_tables_are_read_by_column(spark):
     assert "ReadSchema: struct<listing_id:bigint>" in kept.select("listing_id")._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 998 * 64 * 4  # equal rows too count as such
+
+
+def test_store_duplicates_resolves_no_products(spark, monkeypatch):
+    from workloads import id_queries, match_queries
+
+    def refuse(*_):
+        raise AssertionError("products are not needed")
+
+    monkeypatch.setattr(match_queries, "resolved_products", refuse)
+    assert id_queries.store_duplicates(spark, "/root/testdata/sf0.001").columns == ["group_id", "listings", "inconsistent"]
+    _, members = match_queries.grouped_members(spark, "/root/testdata/sf0.001")
+    assert "embedding" not in members.columns and members.count() == members.select("listing_id").distinct().count()
