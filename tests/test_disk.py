@@ -5,9 +5,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import blocking
+from shelfwise.operators import blocking, rules
 from shelfwise.session import cut, remove, store
 
+from .test_large_catalog import listings
+
 
 def shuffles(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
@@ -43,6 +45,14 @@ def test_packed_tables_are_small_and_go_when_removed(spark):
     assert not os.path.exists(folder_of(plain).rsplit("/", 1)[0] + "/" + folder_of(packed).rsplit("/", 1)[1]) and plain.count() == 100_000
 
 
+def test_sliced_decisions_are_the_same(spark):
+    rows = rules.with_split_flags(store(rules.T.tokenize_listings(listings(
+        spark, [(i, f"s{i % 3}", "Norte", f"{('Lago Azul', 'Lago', 'Rio Verde')[i % 3]} 50 ml", 50 + i % 2, None) for i in range(60)]))))
+    pairs = store(spark.range(60).toDF("a").crossJoin(spark.range(60).toDF("b")).where("a < b").withColumn("similarity", F.lit(0.5)))
+    whole, sliced = rules.classify(pairs, rows), rules.classify(pairs, rows, slice_rows=300)
+    assert sorted(whole.collect()) == sorted(sliced.collect()) and sliced.count() == pairs.count()
+
+
 def test_candidates_meet_labels_where_they_are_made(spark):
     vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
     rows = store(spark.createDataFrame([(i, f"s{i % 3}", "norte" if i < 9 else "sur", f"u{i}", vectors[i % 3]) for i in range(12)],
