@@ -5,8 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import blocking, rules
-from shelfwise.session import cut, remove, store
+from shelfwise.operators import blocking, graph, rules
+from shelfwise.session import cut, remove, store, work_folder
 
 from .test_large_catalog import listings
 
@@ -45,6 +45,14 @@ def test_packed_tables_are_small_and_go_when_removed(spark):
     assert not os.path.exists(folder_of(plain).rsplit("/", 1)[0] + "/" + folder_of(packed).rsplit("/", 1)[1]) and plain.count() == 100_000
 
 
+def test_rounds_of_components_leave_one_table(spark):
+    root = work_folder(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(root))
+    found = graph.components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == 41
+    assert len([n for n in set(os.listdir(root)) - before if n.startswith("table-")]) == 1
+
+
 def test_sliced_decisions_are_the_same(spark):
     rows = rules.with_split_flags(store(rules.T.tokenize_listings(listings(
         spark, [(i, f"s{i % 3}", "Norte", f"{('Lago Azul', 'Lago', 'Rio Verde')[i % 3]} 50 ml", 50 + i % 2, None) for i in range(60)]))))
