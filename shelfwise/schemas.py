@@ -25,7 +25,7 @@ PAGINATION = _struct(
 SNAPSHOT = _struct(
     store=_s, category_url=_s, scraped_at=_s, price_extraction_version=_i,
     progress=_struct(step=_s, url=_s, updated_at=_s), failures=T.ArrayType(_struct(step=_s, url=_s, error=_s)),
-    pagination=PAGINATION, products=T.ArrayType(PRODUCT))
+    pagination=PAGINATION, products=T.ArrayType(PRODUCT), part=_i, parts=_i)  # a large snapshot comes in `parts` files, numbered from 1
 
 LISTINGS = _struct(
     listing_id=_s, store=_s, product_id=_s, store_sku=_s, listing_url=_s, raw_name=_s, raw_brand=_s,

@@ -86,6 +86,10 @@ class VersionedTable:
                 return self.spark.read.parquet(f"{self.root}/data/{token}/{part}".rstrip("/"))
         raise ValueError(f"{self.root} has no version {wanted}")
 
+    def holds(self, part: str) -> bool:
+        """Is there such a part in the current version?"""
+        return any(part in self._names(f"data/{token}") for _, token in self.pointers()[-1:])
+
     def has(self, token: str) -> bool:
         return any(known == token for _, known in self.pointers())
 

@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from ..operators.completeness import DROP_SCHEMA, HISTORY, review_snapshots
 from ..plans.load import load
 from ..schemas import SNAPSHOT
-from ..session import cut, spread
-from ..sources.snapshots import gate, headers, products
+from ..session import cut, is_empty, spread
+from ..sources.snapshots import gate, headers, products, whole
 from ..sources.tables import VersionedTable
 
 
@@ -171,23 +171,31 @@ def snapshot_loader(table: VersionedTable, stores: Sequence[str], **options) ->
 
     A batch's snapshots that pass the gate are loaded oldest first, one of each store at a time, with plans.load and its options. Both
     parts move with one pointer whose token is the batch's number: a batch replayed after a failure finds it and loads nothing.
+    A snapshot may come in several files (`part` of `parts`), each read whole by one task: what of it came waits beside the tables, in the part
+    "waiting", until the batch that brings the rest.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         token = f"batch-{batch_id:010d}"
         if table.has(token):
             return
-        turn = F.row_number().over(Window.partitionBy("store").orderBy("scraped_at", "file"))
-        heads = cut(gate(headers(batch), stores).where("rejected IS NULL").withColumn("turn", turn))
+        if table.holds("waiting"):
+            batch = batch.unionByName(table.read("waiting"))
+        turn = F.row_number().over(Window.partitionBy("store", "complete").orderBy("scraped_at", "file"))
+        heads = cut(whole(gate(headers(batch), stores).where("rejected IS NULL")).withColumn("turn", turn))
         # A snapshot is one row of its file: its cards are dealt to all tasks before they are parsed, and whole snapshots are kept nowhere.
         cards = cut(spread(products(batch), "url"))
         listings, prices = table.read("listings"), table.read("prices")
-        for n in range(1, (heads.agg(F.max("turn").alias("n")).first()["n"] or 0) + 1):
-            chosen = heads.where(F.col("turn") == n).drop("turn", "rejected")
-            done = load(chosen, cards.join(F.broadcast(chosen.select("file")), "file", "left_semi"), listings, prices, **options)
+        ready, late = heads.where("complete"), heads.where("NOT complete").select(F.explode("files").alias("file"))
+        for n in range(1, (ready.agg(F.max("turn").alias("n")).first()["n"] or 0) + 1):
+            chosen = ready.where(F.col("turn") == n)
+            files = chosen.select("file", F.explode("files").alias("part_file"))
+            own = cards.withColumnRenamed("file", "part_file").join(F.broadcast(files), "part_file").drop("part_file")
+            done = load(chosen.drop("turn", "rejected", "files", "complete"), own, listings, prices, **options)
             listings = done.listings.select(*listings.columns)  # cut by load, as the new prices are: the tables aren't copied once more
             prices = done.kept_prices.select(*prices.columns).unionByName(done.prices.select(*prices.columns))
             if options.get("replace_today"):
                 prices = cut(prices)
-        table.commit({"listings": listings, "prices": prices}, token)
+        waiting = {} if is_empty(late) else {"waiting": batch.join(F.broadcast(late), "file", "left_semi")}
+        table.commit({"listings": listings, "prices": prices, **waiting}, token)
 
     return handle

@@ -64,3 +64,30 @@ def test_the_cards_of_one_snapshot_are_parsed_by_all_tasks_and_tables_are_not_co
     assert len(cuts) == 2 and not any("products" in columns for columns in cuts)  # heads and cards alone, whatever the turns
     assert table.read("listings").count() == 200 and table.read("prices").groupBy("scraped_at").count().count() == 2
     assert table.read("prices").count() == 400
+
+
+def test_a_snapshot_in_parts_is_loaded_once_all_have_come(spark, tmp_path):
+    def write(folder, store, part, parts, cards):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        products = [{"name": f"part {i}", "current_price": f"${price}", "url": f"https://{store}.example/p/{i}"} for i, price in cards]
+        head = {"store": store, "scraped_at": "2024-05-01T00:00:00", "price_extraction_version": 2, "progress": {"step": "done"}, "products": products,
+                "pagination": {"stop_reason": "all_pages", "catalog_exhausted": True}} | ({"part": part, "parts": parts} if parts else {})
+        (tmp_path / folder / f"{store}-{part}.json").write_text(json.dumps(head))
+
+    write("0", "store0", 1, 3, [(i, 1000 + i) for i in range(1, 41)])
+    write("0", "store1", 0, 0, [(i, 2000 + i) for i in range(1, 11)])
+    write("1", "store0", 3, 3, [(5, 9000), *((i, 1000 + i) for i in range(61, 81))])
+    write("1", "store0", 9, 3, [])
+    (tmp_path / "1" / "store0-9.json").write_text((tmp_path / "0" / "store0-1.json").read_text())  # part 1 once more
+    write("2", "store0", 2, 3, [(i, 1000 + i) for i in range(41, 61)])
+    table = VersionedTable(spark, f"{tmp_path}/table")
+    wanted = [f for f in LISTINGS if f.name in ("listing_id", "store", "listing_url", "raw_name", "raw_brand", "image_url", "first_seen_at", "last_seen_at", "is_active")]
+    table.commit({"listings": spark.createDataFrame([], type(LISTINGS)(wanted)), "prices": spark.createDataFrame([], PRICES)}, "start")
+    handle = J.snapshot_loader(table, ["store0", "store1"], stop_rules={}, total_rules={}, max_share=1.0)
+    seen = []
+    for n in range(3):
+        handle(read_snapshots(spark, f"{tmp_path}/{n}/*.json"), n)
+        seen.append(({r["store"]: r["count"] for r in table.read("listings").groupBy("store").count().collect()}, table.holds("waiting")))
+    assert seen == [({"store1": 10}, True), ({"store1": 10}, True), ({"store0": 80, "store1": 10}, False)]
+    prices = [r["price"] for r in table.read("prices").collect()]
+    assert len(prices) == 90 and 9000 in prices and 1005 not in prices  # of a card in two parts the later one

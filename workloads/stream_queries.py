@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import prices as P
@@ -96,6 +97,9 @@ def stream_drop_alerts(spark, folder):
     return J.newest_review(drain(spark, J.drop_alerts(totals), "drops", "update")).withColumn("scraped_at", V.stamp("scraped_at"))
 
 
+FILE_CARDS = 50_000   # cards of a snapshot's file, about
+
+
 PERIOD = "least(datediff(scraped_at, DATE '2000-01-01') DIV 150, 4)"
 
 
@@ -111,7 +115,7 @@ priced AS (SELECT store, count(*) AS prices, CAST(sum(price) AS BIGINT) AS total
              SELECT store, price FROM periods WHERE price IS NOT NULL UNION ALL SELECT store, price FROM old_prices JOIN old_listings USING (listing_id)) GROUP BY 1)
 SELECT store, listings, active, prices, total FROM listed JOIN priced USING (store)""")
 def stream_load(spark, folder):
-    """Five snapshots of every store arrive as files and are loaded batch by batch, one batch twice: as if loaded one after the other."""
+    """Five snapshots of every store arrive as files, large ones in parts, and are loaded batch by batch, one batch twice: as if loaded one after the other."""
     r = V.readings(spark, folder)
     old, prices, _ = load_tables(spark, folder)
     stamp, text = (lambda c: F.col(c).cast("timestamp")), (lambda c: F.col(c).cast("string"))
@@ -129,16 +133,24 @@ def stream_load(spark, folder):
     card = F.struct(F.concat(F.lit("part "), F.col("product_id").cast("string")).alias("name"), price.alias("current_price"), url.alias("url"))
     day = F.date_format(F.date_add(F.lit("2002-01-01").cast("date"), F.col("period").cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
     cards = cut(newest.select("store", "period", day.alias("scraped_at"), card.alias("card")))
+    most = cards.groupBy("store", "period").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    files = most // FILE_CARDS + 1
+    cards = cards.withColumn("deal", F.pmod(F.xxhash64("card.url"), F.lit(files)))
+    numbered = F.row_number().over(Window.partitionBy("store", "period").orderBy("deal")).alias("part")
+    several = cards.select("store", "period", "deal").distinct().select(
+        "*", numbered, F.count(F.lit(1)).over(Window.partitionBy("store", "period")).cast("int").alias("parts"))
     source = work_folder(spark, "snapshots")
     for period in range(5):
-        own = cards.where(F.col("period") == period).groupBy("store", "scraped_at").agg(F.collect_list("card").alias("products")).select(
-            "store", "scraped_at", F.lit(2).alias("price_extraction_version"), F.struct(F.lit("done").alias("step")).alias("progress"),
-            F.struct(F.lit("all_pages").alias("stop_reason"), F.lit(True).alias("catalog_exhausted")).alias("pagination"), "products", F.col("store").alias("shop"))
-        own.write.mode("append").partitionBy("shop").json(f"{source}/{period}")
+        own = cards.where(F.col("period") == period).repartition(6 * files, "store", "period", "scraped_at", "deal")  # a task gathers a few files' cards
+        documents = own.groupBy("store", "period", "scraped_at", "deal").agg(F.collect_list("card").alias("products"))
+        own = documents.join(F.broadcast(several), ["store", "period", "deal"]).select(
+            "part", "parts", "store", "scraped_at", F.lit(2).alias("price_extraction_version"), F.struct(F.lit("done").alias("step")).alias("progress"),
+            F.struct(F.lit("all_pages").alias("stop_reason"), F.lit(True).alias("catalog_exhausted")).alias("pagination"), "products", F.col("store").alias("shop"), F.col("part").alias("piece"))
+        own.write.mode("append").partitionBy("shop", "piece").json(f"{source}/{period}")
     stores = [f"store{i}" for i in range(6)]
     handle = J.snapshot_loader(table, stores, stop_rules={}, total_rules={}, max_share=1.0)
-    J.run_batches(J.snapshot_stream(spark, source, per_batch=12), handle, f"{work_folder(spark, 'checkpoint')}")
-    handle(S.read_snapshots(spark, f"{source}/0/*/*.json"), 0)  # a replay of the first batch loads nothing
+    J.run_batches(J.snapshot_stream(spark, source, per_batch=12 * files), handle, f"{work_folder(spark, 'checkpoint')}")
+    handle(S.read_snapshots(spark, f"{source}/0/*/*/*.json"), 0)  # a replay of the first batch loads nothing
     listed = table.read("listings").groupBy("store").agg(F.count(F.lit(1)).alias("listings"), F.count_if("is_active").alias("active"))
     owners = table.read("listings").select("listing_id", "store")
     priced = table.read("prices").join(owners, "listing_id").groupBy("store").agg(F.count(F.lit(1)).alias("prices"), F.sum("price").alias("total"))
